@@ -16,6 +16,7 @@ documents; every frame is checked before it is decompressed.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,30 +34,78 @@ FOOTER = struct.Struct("<QIIIQ8s")
 FRAME = np.dtype([("offset", "<u8"), ("bytes", "<u4"), ("crc", "<u4"), ("docs", "<u4")])
 DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("ids", "<u4")])
 END = 1
-_encoders: dict[str, common.Cache] = {}
+#: Characters whose lower case and composition are plain, and the tokenizer's own pattern over them.
+SAFE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+KEEP = 600_000
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> common.Cache:
-    """piece of text without blanks -> its ids as little-endian 32-bit integers.
+class Encoder:
+    """The tokenizer, called once for each distinct part of the texts of a batch.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of
-    its pieces between blanks and line feeds, which repeat; a piece is encoded once a worker.
+    its pieces between blanks and line feeds. Pieces of plain characters consist of the
+    parts that its pattern matches; new parts are encoded many to a call and told apart
+    again by their last ids, which alone end a word. All other pieces are encoded whole.
     """
-    if path not in _encoders:
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        _encoders[path] = common.Cache(lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes(), 200_000)
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text, without the end id."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.pieces) > KEEP:
+            self.pieces = {"": b""}
+        if len(self.parts) > KEEP:
+            self.parts = {}
+        new = set().union(*split) - self.pieces.keys()
+        plain = {}
+        for piece in new:
+            if (piece.isascii() and piece.isprintable() or SAFE.fullmatch(piece)) and "<|" not in piece:
+                low = piece.lower()
+                plain[piece] = [low] if low in self.parts else PARTS.findall(low)
+            else:
+                self.pieces[piece] = self.whole(piece)
+        self._learn(sorted(set().union(*plain.values()) - self.parts.keys()))
+        part, join = self.parts.__getitem__, b"".join
+        for piece, parts in plain.items():
+            self.pieces[piece] = part(parts[0]) if len(parts) == 1 else join(map(part, parts))
+        found = self.pieces.__getitem__
+        return [join(map(found, pieces)) for pieces in split]
+
+    def _learn(self, parts: list[str], at_once: int = 256) -> None:
+        groups = [parts[a : a + at_once] for a in range(0, len(parts), at_once)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(group) and last[-1] == len(ids):
+                data, a = ids.tobytes(), 0
+                for word, b in zip(group, (last * 4).tolist()):
+                    self.parts[word] = data[a:b]
+                    a = b
+            else:
+                self.parts |= {word: self.whole(word) for word in group}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
-def encode(text: str, path: str) -> bytes:
-    """All ids of a text, without the end id."""
-    pieces = encoder(path)
-    return b"".join([pieces[p] for p in text.replace("\n", " ").split(" ") if p])
-
-
 class ShardWriter:
     """Yields the bytes of a shard; frames close at frame_bytes of ids and never split a document."""
 
@@ -152,7 +201,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, frame_bytes: int =
 
         shard = TaskContext.get().partitionId()
         writer = ShardWriter(frame_bytes)
-        source = ((i, encode(t, tokenizer_path) + end) for batch in batches for i, t in zip(batch.column("doc_id").to_pylist(), common.texts(batch)))
+        source = ((i, ids + end) for batch in batches for i, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer_path).batch(common.texts(batch))))
         first = next(source, None)
         if first is None:
             return
