@@ -36,6 +36,7 @@ DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("ids", "<u4")])
 END = 1
 #: Characters whose lower case and composition are plain, and the tokenizer's own pattern over them.
 SAFE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+SAFE_TEXT = re.compile("[\n\x20-\x7eÀ-ÖØ-öø-ÿ]*+")
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 KEEP = 600_000
 _encoders: dict[str, Encoder] = {}
@@ -66,7 +67,7 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """All ids of each text, without the end id."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [(t.lower() if (t.isascii() or SAFE_TEXT.fullmatch(t)) and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
         if len(self.pieces) > KEEP:
             self.pieces = {"": b""}
         if len(self.parts) > KEEP:
@@ -109,7 +110,7 @@ def encoder(path: str) -> Encoder:
 class ShardWriter:
     """Yields the bytes of a shard; frames close at frame_bytes of ids and never split a document."""
 
-    def __init__(self, frame_bytes: int = 1 << 20, level: int = 3):
+    def __init__(self, frame_bytes: int = 1 << 20, level: int = 1):
         self.frame_bytes, self.packer = frame_bytes, zstandard.ZstdCompressor(level=level)
         self.frames: list[tuple] = []
         self.docs: list[tuple] = []
