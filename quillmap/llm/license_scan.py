@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 THRESHOLD = 0.8
-#: Words once A-Z are lower case, and the same words in a text as it stands.
+#: Words once A-Z are lower case, and what parts words in a text as it stands.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Base phrases with their labels, and notices with labels of their own.
@@ -60,12 +59,10 @@ def notices(docs: DataFrame, templates=NOTICES, threshold: float = THRESHOLD) ->
     prefixes = [(order[w], place, k, len(t), n) for k, ((_, t), n) in enumerate(zip(sets, need)) for place, w in enumerate(t[: len(t) - n + 1])]
     spark = docs.sparkSession
     index = F.broadcast(spark.createDataFrame(prefixes, "w int, place int, notice int, m int, t int"))
-    rare = sorted({vocabulary_word for vocabulary_word, i in order.items() if i in {p[0] for p in prefixes}})
-    any_rare = F.lit(False)
-    for w in rare:
-        any_rare = any_rare | F.contains("low", F.lit(w))
+    rare = [w for w, i in order.items() if i in {p[0] for p in prefixes}]
+    any_rare = F.arrays_overlap(F.split(F.lower("text"), GAP), F.array(*map(F.lit, rare)))
     ranks = F.create_map(*(x for w, i in order.items() for x in (F.lit(w), F.lit(i))))
-    blocks = docs.where("text is not null").withColumn("low", F.lower("text")).where(any_rare).select("row", F.posexplode(F.split("text", "\n")).alias("block", "line"))
+    blocks = docs.where("text is not null").where(any_rare).select("row", F.posexplode(F.split("text", "\n")).alias("block", "line"))
     held = F.array_sort(F.transform(F.array_intersect(words(F.col("line")), F.array(*map(F.lit, vocabulary))), lambda w: F.element_at(ranks, w)))
     blocks = blocks.select("row", "block", held.alias("held")).where(F.size("held") >= min(need))
     probes = blocks.select("row", "block", "held", F.posexplode("held").alias("at", "w"))
@@ -93,9 +90,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     row = F.struct(F.col("doc_id"), F.xxhash64("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row)
-    phrase = "(?i)" + "|".join(GAP.join(p.split()) for p in PHRASES)
-    has = F.col("text").rlike(phrase)
-    base = rows.select("doc_id", "row", F.regexp_count("text", F.lit(ANY_CASE)).cast("long").alias("n_words"), F.when(has, words(F.col("text"))).alias("w"))
+    has = F.contains(F.lower("text"), F.lit("license")) | F.contains(F.lower("text"), F.lit("cc"))
+    n = F.size(F.array_remove(F.split("text", GAP), ""))
+    base = rows.select("doc_id", "row", n.cast("long").alias("n_words"), F.when(has, words(F.col("text"))).alias("w"))
     places = [(F.coalesce(_places("w", p), F.array().cast("array<int>")), label) for p, label in PHRASES.items()]
     base = base.select("doc_id", "row", "n_words", *(c.alias(f"p{i}") for i, (c, _) in enumerate(places)))
     every = F.concat(*(F.col(f"p{i}") for i in range(len(places))))
