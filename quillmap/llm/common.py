@@ -99,6 +99,17 @@ def labelled_ids(labels: DataFrame, label: str, modulus: int, remainder: int, mo
     return rows
 
 
+_owner: list = ["", lambda: None]
+
+
+def own(name: str, clear) -> None:
+    """To be called as an operator starts in a worker: what another one kept there in its caches goes."""
+    if _owner[0] != name:
+        _owner[1]()
+        pa.default_memory_pool().release_unused()
+    _owner[:] = name, clear
+
+
 class Cache(dict):
     """A dict that fills itself and forgets everything beyond `most` entries, to bound a worker's memory."""
 

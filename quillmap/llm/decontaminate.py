@@ -50,6 +50,11 @@ def _token(word: str) -> int:
 _tokens = common.Cache(_token, 200_000)
 
 
+def _forget() -> None:
+    _tokens.clear()
+    shingles.word_hash.clear()
+
+
 def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template hashes, plain hashes, whether a slot) of a text's words.
 
@@ -108,6 +113,7 @@ class Benchmark:
 
     def unpacked(self) -> np.ndarray:
         if not hasattr(self, "_seen"):
+            common.own("decontaminate", _forget)
             self._seen = np.unpackbits(self.filter).astype(bool)
         return self._seen
 

@@ -103,6 +103,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
+        common.own("tokens", _encoders.clear)
         _encoders[path] = Encoder(path)
     return _encoders[path]
 

@@ -29,7 +29,7 @@ ADDRESS = frozenset("you your youre ya du dich dein ihr euch tu toi ton vous vot
 QUOTES = re.compile("[\"«»“”„]")
 SPELT = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "|": "l", "0": "o", "$": "s", "5": "s", "7": "t", "*": ""})
 SPAN = 8
-STATES = 100_000
+STATES = 40_000
 
 
 def edits(term: str) -> int:
@@ -122,6 +122,7 @@ def matcher(model: Model) -> common.Cache:
     """word -> None, or (term, edits); kept for the model at hand."""
     if id(model) not in _matchers:
         _matchers.clear()
+        common.own("toxicity", _matchers.clear)
         automaton = Automaton(sorted(model.terms))
 
         def find(word: str):
@@ -132,7 +133,7 @@ def matcher(model: Model) -> common.Cache:
             plain = word if word.isalpha() else word.translate(SPELT)
             return automaton.match(plain) if plain else None
 
-        _matchers[id(model)] = (model, common.Cache(find, 150_000))
+        _matchers[id(model)] = (model, common.Cache(find, 100_000))
     return _matchers[id(model)][1]
 
 
