@@ -46,8 +46,9 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, part_bytes: int = 128 << 20) -> int:
-    """Partitions for a shuffle of df: at least the session's number, and more once they would exceed part_bytes."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(df) // part_bytes))
+    """Partitions for a shuffle of df: at least the session's number, and more once they would exceed part_bytes; that number alone where the size is unknown."""
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    return max(least, -(-size // part_bytes)) if size < 1 << 50 else least
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
