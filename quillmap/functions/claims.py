@@ -13,34 +13,41 @@ ENTITY = (
 )
 
 
-def usable(claims: Column, prop: str) -> Column:
-    """A property's statements that aren't deprecated and have a value, preferred ones first, each rank in input order."""
-    ok = F.filter(F.coalesce(F.try_element_at(claims, F.lit(prop)), F.array()), lambda s: (F.coalesce(s["rank"], F.lit("normal")) != "deprecated") & (s["mainsnak"]["snaktype"] == "value"))
-    return F.concat(F.filter(ok, lambda s: F.coalesce(s["rank"] == "preferred", F.lit(False))), F.filter(ok, lambda s: ~F.coalesce(s["rank"] == "preferred", F.lit(False))))
+def ranked(claims: Column) -> Column:
+    """Property -> its statements that aren't deprecated and have a value, preferred ones first, each rank in input order."""
+    ok = lambda a: F.filter(a, lambda s: (F.coalesce(s["rank"], F.lit("normal")) != "deprecated") & (s["mainsnak"]["snaktype"] == "value"))
+    place = lambda s, i: F.struct(F.when(s["rank"] == "preferred", 0).otherwise(1).alias("r"), i.alias("i"), s["mainsnak"].alias("mainsnak"))
+    order = lambda x, y: F.when(x["r"] != y["r"], x["r"] - y["r"]).otherwise(x["i"] - y["i"])
+    return F.transform_values(claims, lambda _, a: F.array_sort(F.transform(ok(a), place), order))
+
+
+def usable(statements: Column, prop: str) -> Column:
+    """A property's ranked statements; none give an empty list."""
+    return F.coalesce(F.try_element_at(statements, F.lit(prop)), F.array())
 
 
 def value_of(statement: Column) -> Column:
     return statement["mainsnak"]["datavalue"]["value"]
 
 
-def ids(claims: Column, prop: str) -> Column:
+def ids(statements: Column, prop: str) -> Column:
     """Entity ids of a property, missing and empty ones left out."""
-    return F.filter(F.transform(usable(claims, prop), lambda s: F.get_json_object(value_of(s), "$.id")), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(usable(statements, prop), lambda s: F.get_json_object(value_of(s), "$.id")), lambda x: x.isNotNull() & (x != ""))
 
 
 def first(values: Column) -> Column:
     return F.get(values, F.lit(0))
 
 
-def first_year(claims: Column, prop: str) -> Column:
+def first_year(statements: Column, prop: str) -> Column:
     from .text import parse_year
 
-    return first(F.filter(F.transform(usable(claims, prop), lambda s: parse_year(F.get_json_object(value_of(s), "$.time"))), lambda y: y.isNotNull()))
+    return first(F.filter(F.transform(usable(statements, prop), lambda s: parse_year(F.get_json_object(value_of(s), "$.time"))), lambda y: y.isNotNull()))
 
 
-def first_coordinate(claims: Column, prop: str = "P625") -> Column:
+def first_coordinate(statements: Column, prop: str = "P625") -> Column:
     """struct<lat, lon> of the first statement with both."""
-    points = F.transform(usable(claims, prop), lambda s: F.struct(F.get_json_object(value_of(s), "$.latitude").try_cast("double").alias("lat"), F.get_json_object(value_of(s), "$.longitude").try_cast("double").alias("lon")))
+    points = F.transform(usable(statements, prop), lambda s: F.struct(F.get_json_object(value_of(s), "$.latitude").try_cast("double").alias("lat"), F.get_json_object(value_of(s), "$.longitude").try_cast("double").alias("lon")))
     return first(F.filter(points, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull()))
 
 
@@ -52,24 +59,21 @@ def external_count(claims: Column) -> Column:
     return F.coalesce(F.aggregate(F.map_values(claims), F.lit(0), lambda n, a: n + F.size(F.filter(a, lambda s: s["mainsnak"]["datatype"] == "external-id"))), F.lit(0))
 
 
-def figure_row(entity: Column) -> dict[str, Column]:
-    """The fifteen columns of a figure."""
-    c = entity["claims"]
+def figure_row(entity: Column, c: Column) -> dict[str, Column]:
+    """The fifteen columns of a figure; c: its ranked statements, a column of their own."""
     return {
         "qid": entity["id"], "title": F.try_element_at(entity["sitelinks"], F.lit("enwiki"))["title"], "description": F.try_element_at(entity["descriptions"], F.lit("en"))["value"],
-        "birth_year": first_year(c, "P569"), "death_year": first_year(c, "P570"), "sitelink_count": F.coalesce(F.size(entity["sitelinks"]), F.lit(0)), "claim_count": statement_count(c),
-        "identifier_count": external_count(c), "has_image": F.size(usable(c, "P18")) > 0, "gender": first(ids(c, "P21")), "citizenships": ids(c, "P27"), "birth_place_qid": first(ids(c, "P19")),
+        "birth_year": first_year(c, "P569"), "death_year": first_year(c, "P570"), "sitelink_count": F.coalesce(F.size(entity["sitelinks"]), F.lit(0)), "claim_count": statement_count(entity["claims"]),
+        "identifier_count": external_count(entity["claims"]), "has_image": F.size(usable(c, "P18")) > 0, "gender": first(ids(c, "P21")), "citizenships": ids(c, "P27"), "birth_place_qid": first(ids(c, "P19")),
         "death_place_qid": first(ids(c, "P20")), "occupations": ids(c, "P106"), "instance_of_qids": ids(c, "P31"),
     }
 
 
-def is_figure(entity: Column) -> Column:
+def is_figure(entity: Column, c: Column) -> Column:
     """A human with a death year and an article."""
-    c = entity["claims"]
     return F.array_contains(ids(c, "P31"), "Q5") & first_year(c, "P570").isNotNull() & F.try_element_at(entity["sitelinks"], F.lit("enwiki")).isNotNull()
 
 
-def place_row(entity: Column) -> dict[str, Column]:
-    c = entity["claims"]
+def place_row(entity: Column, c: Column) -> dict[str, Column]:
     point = first_coordinate(c)
     return {"qid": entity["id"], "label": F.try_element_at(entity["labels"], F.lit("en"))["value"], "lat": point["lat"], "lon": point["lon"], "instance_of_qids": ids(c, "P31"), "admin_parent_qid": first(ids(c, "P131")), "country_qid": first(ids(c, "P17"))}

@@ -66,7 +66,10 @@ def tiers(placed: DataFrame, floor: int = 80, sectors: int = 24, rings: int = 14
 
 def place(figures: DataFrame) -> DataFrame:
     """Radius, angle, x, y, tier and scale of figures(row_idx, qid, birth_year, death_year, lon, sitelinks, words)."""
-    rows = figures.withColumns({"radius": G.placed_radius(F.col("qid"), F.col("birth_year"), F.col("death_year")), "base_angle": G.base_angle(F.col("qid"), F.col("lon"))})
-    rows = rows.withColumn("angle", G.placed_angle(F.col("qid"), F.col("base_angle"), F.col("radius")))
-    rows = rows.withColumns({"x": F.col("radius") * F.cos("angle"), "y": F.col("radius") * F.sin("angle"), "date_uncertainty": G.uncertainty(F.col("birth_year"), F.col("death_year")), "book_scale": G.book_scale(F.col("words"))})
+    q, death = F.col("qid"), F.col("death_year")
+    rows = figures.withColumns({"nr": noise.normal(q, "radius"), "ns": noise.normal(q, "scatter"), "na": noise.normal(q, "angle"), "date_uncertainty": G.uncertainty(F.col("birth_year"), death), "base_angle": G.base_angle(q, F.col("lon"))})
+    rows = rows.withColumn("radius", G.era_radius(death) + G.JITTER * F.col("nr") + G.SCATTER * F.col("ns") * F.col("date_uncertainty"))
+    rows = rows.withColumn("radius", G.reflect(F.col("radius")))
+    rows = rows.withColumn("angle", G.wrap(F.col("base_angle") + F.col("na") * G.ARC / F.greatest("radius", F.lit(G.R_INNER))))
+    rows = rows.withColumns({"x": F.col("radius") * F.cos("angle"), "y": F.col("radius") * F.sin("angle"), "book_scale": G.book_scale(F.col("words"))}).drop("nr", "ns", "na")
     return tiers(rows)

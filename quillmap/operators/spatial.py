@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def cell(x: Column, edge: float) -> Column:
-    return F.floor(x / edge).cast("long")
+    """Grid cell of a coordinate; never null, so that a join on cells pushes no test of the coordinate's whole expression below. Null points meet nothing: their distances are null."""
+    return F.coalesce(F.floor(x / edge).cast("long"), F.lit(0).cast("long"))
 
 
 def pairs_within(points: DataFrame, radius: float, ident: str = "id", strict: bool = False) -> DataFrame:

@@ -139,6 +139,11 @@ LINES = [(i, json.dumps(e)) for i, e in enumerate(ENTITIES)]
 ENTITY_CTE = f"e AS (SELECT j::JSON AS j FROM (VALUES {_sql_values(LINES)}) t(i, j))"
 
 
+def _entities(spark: SparkSession) -> DataFrame:
+    e = _values(spark, LINES, "i int, value string").select(F.from_json("value", C.ENTITY).alias("e"))
+    return e.withColumn("c", C.ranked(F.col("e.claims")))
+
+
 def _sql_usable(prop: str) -> str:
     statements = f"from_json(coalesce(json_extract(j, '$.claims.{prop}'), '[]'), '[\"JSON\"]')"
     ok = f"list_filter({statements}, lambda s: coalesce(json_extract_string(s, '$.rank'), 'normal') <> 'deprecated' AND json_extract_string(s, '$.mainsnak.snaktype') = 'value')"
@@ -161,16 +166,16 @@ def _sql_year(prop: str) -> str:
     f"FROM e WHERE list_contains({_sql_ids('P31')}, 'Q5') AND {_sql_year('P570')} IS NOT NULL AND json_extract(j, '$.sitelinks.enwiki') IS NOT NULL"
 )
 def json_entity_rows(spark, d):
-    e = _values(spark, LINES, "i int, value string").select(F.from_json("value", C.ENTITY).alias("e"))
-    row = C.figure_row(F.col("e"))
-    return e.where(C.is_figure(F.col("e"))).select("e", C.first(row["citizenships"]).alias("citizenship"), *(row[k].alias(k) for k in ("qid", "title", "birth_year", "death_year", "birth_place_qid", "has_image"))).drop("e")
+    e = _entities(spark)
+    row = C.figure_row(F.col("e"), F.col("c"))
+    return e.where(C.is_figure(F.col("e"), F.col("c"))).select(C.first(row["citizenships"]).alias("citizenship"), *(row[k].alias(k) for k in ("qid", "title", "birth_year", "death_year", "birth_place_qid", "has_image")))
 
 
 @query(
     f"WITH {ENTITY_CTE} SELECT json_extract_string(j, '$.id') AS qid, len(json_keys(coalesce(json_extract(j, '$.sitelinks'), '{{}}')))::INT AS sitelink_count, coalesce(list_sum(list_transform(json_keys(json_extract(j, '$.claims')), lambda k: json_array_length(json_extract(j, '$.claims.' || k)))), 0)::INT AS claim_count FROM e"
 )
 def entity_counts(spark, d):
-    e = _values(spark, LINES, "i int, value string").select(F.from_json("value", C.ENTITY).alias("e"))
+    e = _entities(spark)
     return e.select(F.col("e.id").alias("qid"), F.coalesce(F.size("e.sitelinks"), F.lit(0)).alias("sitelink_count"), C.statement_count(F.col("e.claims")).alias("claim_count"))
 
 
@@ -179,8 +184,8 @@ def entity_counts(spark, d):
     f"SELECT json_extract_string(j, '$.id') AS qid, json_extract_string(j, '$.labels.en.value') AS label, c.lat AS lat, c.lon AS lon, {_sql_ids('P17')}[1] AS country_qid FROM p"
 )
 def place_rows(spark, d):
-    e = _values(spark, LINES, "i int, value string").select(F.from_json("value", C.ENTITY).alias("e"))
-    row = C.place_row(F.col("e"))
+    e = _entities(spark)
+    row = C.place_row(F.col("e"), F.col("c"))
     return e.select(*(row[k].alias(k) for k in ("qid", "label", "lat", "lon", "country_qid")))
 
 
@@ -407,7 +412,7 @@ POINTS = f"{PLACED}, points AS (SELECT row_idx AS id, x, y, {SQL_SCALE} * 3 AS r
 
 
 def _points(spark, d):
-    return placed(spark, d).select(F.col("row_idx").alias("id"), "x", "y", (F.col("book_scale") * 3).alias("r"))
+    return B.layout(spark, d).select(F.col("row_idx").alias("id"), "x", "y", (F.col("book_scale") * 3).alias("r"))
 
 
 SQL_PAIR = "sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)"
@@ -597,9 +602,9 @@ def world_bounds(spark, d):
     return placed(spark, d).agg(_r(F.max("radius"), 4).alias("rmax"), _r(F.min("x"), 4).alias("x0"), _r(F.max("x"), 4).alias("x1"), _r(F.min("y"), 4).alias("y0"), _r(F.max("y"), 4).alias("y1"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '9') ORDER BY p_partkey LIMIT 40")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'an') ORDER BY p_partkey LIMIT 40")
 def title_search(spark, d):
-    return table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lower(F.trim(F.lit(" 9 "))))).orderBy("p_partkey").limit(40).select("p_partkey", "p_name")
+    return table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lower(F.trim(F.lit(" AN "))))).orderBy("p_partkey").limit(40).select("p_partkey", "p_name")
 
 
 @query(f"WITH {FIGURES} SELECT qid FROM figures WHERE abs(death_year - 1500) <= 50")
@@ -609,7 +614,7 @@ def ring_window(spark, d):
 
 @query(f"WITH {PLACED} SELECT qid FROM placed WHERE sqrt(x * x + y * y) <= 1500 AND abs(x - 200) <= 900 AND abs(y) <= 900")
 def disc_clip(spark, d):
-    return placed(spark, d).where((F.hypot("x", "y") <= 1500) & (F.abs(F.col("x") - 200) <= 900) & (F.abs("y") <= 900)).select("qid")
+    return B.layout(spark, d).where((F.hypot("x", "y") <= 1500) & (F.abs(F.col("x") - 200) <= 900) & (F.abs("y") <= 900)).select("qid")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity * 2 AS l_quantity, upper(l_returnflag) AS flag FROM lineitem WHERE l_quantity > 45")
@@ -675,7 +680,7 @@ SQL_HASH = "(((row_idx & 65535) * 2654435761 + (((row_idx >> 16) % 65536) * 2654
 @query(f"WITH {PLACED}, h AS (SELECT qid, x, y, {SQL_HASH} AS h FROM placed) SELECT qid FROM h WHERE x * x + y * y < (1500 + 400 * ((xor(h, h >> 15) % 4294967296) / 4294967296.0::DOUBLE)) ** 2")
 def lod_membership(spark, d):
     edge = 1500 + 400 * G.hash32(F.col("row_idx"))
-    return placed(spark, d).where(F.col("x") * F.col("x") + F.col("y") * F.col("y") < edge * edge).select("qid")
+    return B.layout(spark, d).where(F.col("x") * F.col("x") + F.col("y") * F.col("y") < edge * edge).select("qid")
 
 
 @query(f"WITH {PLACED}, m AS (SELECT abs(angle - base_angle) AS v FROM placed) SELECT round(median(v), 6) AS mid, round(max(v), 6) AS most, sum((v > 0.01)::INT)::BIGINT AS moved FROM m")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,17 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.placement import place
 
     return place(figures(spark, sf_dir))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a stage leaves them to the next: a Parquet table in the shared folder."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored placement, which spatial queries read: filters on positions then reach the scan, not the noise below it."""
+    return stored(placed(spark, sf_dir).select("row_idx", "qid", "x", "y", "radius", "angle", "book_scale"), "layout")
