@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 #: Unicode white space.
 BLANK = r"(?U)\s+"
-#: Fixed list: title prefixes of pages that are no articles.
-NAMESPACES = ("file", "image", "category", "template", "wikipedia", "help", "portal", "user", "talk", "special", "media", "module", "draft", "book", "mediawiki", "timedtext")
+#: Title prefixes of pages that are no articles.
+NAMESPACES = (
+    "talk", "user", "user talk", "wikipedia", "wp", "wikipedia talk", "file", "image", "file talk", "mediawiki", "mediawiki talk", "template", "template talk", "help", "help talk",
+    "category", "category talk", "portal", "portal talk", "draft", "draft talk", "timedtext", "timedtext talk", "module", "module talk", "book", "book talk", "special",
+)
+#: What removed templates leave behind, and what stays of it, in this order.
+TIDY = ((r"\(\s*[;,:\s]+", "("), (r"[;,:\s]+\)", ")"), (r"\(\s*\)", ""), (r"\s+([,.;:])", "$1"), (r"\n{3,}", "\n\n"), (r"[ \t]+", " "))
 
 
 def word_count(text: Column) -> Column:
@@ -32,15 +37,16 @@ def sentence_count(text: Column) -> Column:
 
 def tidy_lead(text: Column) -> Column:
     """Loose punctuation that removed templates leave behind."""
-    for pattern, put in ((r"\(\s*[,;:]+\s*", "("), (r"\s*[,;:]+\s*\)", ")"), (r"\(\s*\)", ""), (r"\s+([,.;:])", "$1"), (r"\n{3,}", "\n\n"), (r"[ \t]+", " ")):
+    for pattern, put in TIDY:
         text = F.regexp_replace(text, pattern, put)
-    return F.trim(text)
+    return text
 
 
 def normalize_title(target: Column) -> Column:
     """A link target as a page title: no leading colon, no fragment, blanks for underscores, first letter upper case."""
-    t = F.regexp_replace(F.trim(target), r"^:\s*", "")
-    t = F.trim(F.translate(F.substring_index(t, "#", 1), "_", " "))
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    t = F.regexp_replace(trim(target), r"(?U)^:\s*", "")
+    t = trim(F.translate(F.substring_index(t, "#", 1), "_", " "))
     return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))
 
 

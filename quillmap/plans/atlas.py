@@ -240,7 +240,7 @@ LEADS = [("Ada ( ; born 1815) was  here .",), ("Bo (1 , ) x",), ("C ( ) d\n\n\n\
 
 
 @query(
-    "SELECT t, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\(\\s*[,;:]+\\s*', '(', 'g'), '\\s*[,;:]+\\s*\\)', ')', 'g'), '\\(\\s*\\)', '', 'g'), '\\s+([,.;:])', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g')) AS lead FROM (VALUES "
+    "SELECT t, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\(\\s*[;,:\\s]+', '(', 'g'), '[;,:\\s]+\\)', ')', 'g'), '\\(\\s*\\)', '', 'g'), '\\s+([,.;:])', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g') AS lead FROM (VALUES "
     + _sql_values(LEADS) + ") v(t)"
 )
 def lead_tidy(spark, d):

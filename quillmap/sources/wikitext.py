@@ -14,26 +14,27 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.text import TIDY
+
 SCHEMA = "title string, lead_text string, lead_word_count int, article_word_count int, article_section_count int, article_ref_count int, short_description string, links array<string>"
 INNER = re.compile(r"\{\{([^{}]*)\}\}")
 LINK = re.compile(r"\[\[([^\[\]|]*)(?:\|([^\[\]]*))?\]\]")
 REF = re.compile(r"<ref\b[^>/]*(?:/>|>.*?</ref\s*>)", re.S | re.I)
 HEAD = re.compile(r"^==[^=].*?==\s*$", re.M)
 MEDIA = re.compile(r"^\s*(?:file|image|category)\s*:", re.I)
-#: Templates that stand for a character.
-PLAIN = {"ndash": "–", "snd": " – ", "spaced ndash": " – ", "mdash": "—", "nbsp": " ", "spaces": " ", "'": "'", "dash": "–"}
+#: Templates that stand for characters, and those that stand for a vague year.
+PLAIN = {"snd": " – ", "spaced ndash": " – ", "ndash": "–", "endash": "–", "en dash": "–", "mdash": "—", "emdash": "—", "em dash": "—", "nbsp": " ", "'": "'", "=": "="}
+CIRCA = ("circa", "c.", "ca.", "ca", "c")
+FLORUIT = ("floruit", "fl.", "fl")
 
 
 def _template(body: str) -> str:
     name, *rest = [x.strip() for x in body.split("|")]
-    name = name.lower().replace("_", " ")
+    name = name.lower()
     if name in PLAIN:
         return PLAIN[name]
-    if name in ("circa", "c."):
-        return "c. " + (rest[0] if rest else "")
-    if name in ("floruit", "fl."):
-        return "fl. " + (rest[0] if rest else "")
-    return ""
+    sign = "c." if name in CIRCA else "fl." if name in FLORUIT else ""
+    return f"{sign} {rest[0]}" if sign and rest and rest[0] else sign
 
 
 def strip(text: str) -> str:
@@ -49,8 +50,8 @@ def strip(text: str) -> str:
 
 
 def tidy(text: str) -> str:
-    for pattern, put in ((r"\(\s*[,;:]+\s*", "("), (r"\s*[,;:]+\s*\)", ")"), (r"\(\s*\)", ""), (r"\s+([,.;:])", r"\1"), (r"\n{3,}", "\n\n"), (r"[ \t]+", " ")):
-        text = re.sub(pattern, put, text)
+    for pattern, put in TIDY:
+        text = re.sub(pattern, put.replace("$1", r"\1"), text)
     return text.strip()
 
 
