@@ -209,6 +209,18 @@ def test_large_bucket_goes_in_chunks(spark):
     reps = near_dedup.signatures(docs, shared).select(F.col("doc_id").alias("rep"), "bands")
     comp = near_dedup.classes(near_dedup.links(reps, docs, shared, chunk=8))
     assert comp.select("l").distinct().count() == 1 and comp.count() == 90
+    rows = [(i, " ".join(base[:100] + [f"y{i}_{j}" for j in range(k)])) for i, k in enumerate(range(0, 90, 3))]  # a chain: only neighbours are alike
+    chain = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = spark.sparkContext.broadcast(near_dedup.frequencies(chain))
+    got = near_dedup.classes(near_dedup.links(chain.select(F.col("doc_id").alias("rep"), F.array(F.lit(1).cast("long")).alias("bands")), chain, shared, chunk=4)).collect()
+    sets, root = [shared.value.of(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            m = near_dedup._minima(*sets[a], *sets[b])
+            if m >= 0.8 * (sets[a][1].sum() + sets[b][1].sum() - m) - 1e-6:
+                ra, rb = root[a], root[b]
+                root = [min(ra, rb) if r in (ra, rb) else r for r in root]
+    assert {r["v"]: r["l"] for r in got} == {i: r for i, r in enumerate(root) if root.count(r) > 1}
     junk = spark.createDataFrame([(i, words(rng, 50)) for i in range(40)], "doc_id long, text string")
     same = junk.select(F.col("doc_id").alias("rep"), F.array(F.lit(1).cast("long")).alias("bands"))
     assert near_dedup.links(same, junk, shared, chunk=8).count() == 0
