@@ -8,9 +8,11 @@ query meets the rows of its own and of both neighbouring windows. The orderings'
 are merged and reranked by the exact measure.
 
 How often the farther half of a query's finds turned up over the orderings tells how
-many were missed: finds that every ordering repeats are surely complete. Vectors without
-near neighbours in many dimensions have no locality that any curve could keep; for a
-query whose finds don't repeat, the window is widened to the whole curve, in blocks.
+many were missed: if each ordering finds a neighbour with chance p, all miss it with
+chance (1 - p) ^ CURVES, 3 % at p = REPEATED. A query whose finds repeat less often asks
+again in windows WIDER times as wide, until they repeat or the windows cover the curve.
+Vectors without near neighbours in many dimensions have no locality that any curve could
+keep, so their windows grow to a fixed share of the table.
 
 Equal vectors are searched once and given their ids again at the end.
 """
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 from . import common
 
 CURVES, DIMS, BITS = 8, 8, 7
-BLOCK = 1024
-QUERY_BLOCK = 16_384
-REPEATED = 0.5
+BLOCK, WIDER = 1024, 4
+#: Rows that one task holds; wider windows are several blocks of that many.
+MOST_ROWS = 16_384
+ASKED_AT_ONCE = 256
+REPEATED = 0.35
 
 
 def usable(vector: Column) -> Column:
@@ -90,13 +94,13 @@ def _found(q: list, c: list, s: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(join(q, np.int64)), pa.array(join(c, np.int64)), pa.array(join(s, np.float64))], ["q", "c", "score"])
 
 
-def _window_finds(rows: DataFrame, queries: DataFrame, width: int, most: float, k: int) -> DataFrame:
-    """(q, c, score): what each ordering finds for queries(rep, v) among rows(rep, v); v is packed."""
+def _placed(rows: DataFrame, queries: DataFrame, width: int, most: float) -> DataFrame:
+    """(curve, at, rep, asks, v): each ordering's rows(rep, v) numbered from 0, and queries(rep, v) at the number of the row before them."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column("v"), width)
-            asks = np.array(batch.column("asks").to_pylist())
+            asks = np.array(batch.column("asks").to_pylist(), bool)
             norm = np.sqrt((v * v).sum(1))
             unit = np.hstack((v / np.where(asks, norm, most)[:, None], np.sqrt(np.maximum(0, 1 - np.where(asks, 1, (norm / most) ** 2)))[:, None]))
             for curve in range(CURVES):
@@ -104,80 +108,90 @@ def _window_finds(rows: DataFrame, queries: DataFrame, width: int, most: float,
 
     both = rows.select("rep", F.lit(False).alias("asks"), "v").union(queries.select("rep", F.lit(True), "v"))
     lines = both.mapInArrow(keyed, "curve int, key long, rep long, asks boolean, v binary")
-    n = common.parts_for(lines)
-    lines = lines.repartitionByRange(n, "curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
+    lines = lines.repartitionByRange(common.parts_for(lines), "curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
 
-    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             curves, asks = batch.column("curve").to_numpy(), np.array(batch.column("asks").to_pylist(), bool)
-            block = np.empty(len(curves), np.int64)
+            place = np.empty(len(curves), np.int64)
             for c in np.unique(curves):
                 mine = curves == c
-                n = seen.get(int(c), 0) + np.cumsum(~asks[mine])
-                block[mine] = np.maximum(0, n - 1) // BLOCK
-                seen[int(c)] = int(n[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("curve"), pa.array(np.full(len(curves), part), pa.int32()), pa.array(block), batch.column("rep"), batch.column("asks"), batch.column("v")], ["curve", "part", "block", "rep", "asks", "v"])
-
-    placed = common.written(lines.mapInArrow(blocked, "curve int, part int, block long, rep long, asks boolean, v binary"), "curves")
-    ends = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = placed.groupBy("curve", "part").agg((F.max("block") + 1).alias("n")).select("curve", "part", F.coalesce(F.sum("n").over(ends), F.lit(0)).alias("first"))
-    at = F.col("first") + F.col("block")
-    met = F.when(F.col("asks"), F.array(at - 1, at, at + 1)).otherwise(F.array(at))
-    windows = placed.join(first, ["curve", "part"]).select("curve", F.explode(met).alias("window"), "asks", "rep", "v")
-    windows = windows.repartition(n, "curve", "window").sortWithinPartitions("curve", "window", "asks", "rep")
+                place[mine] = seen.get(int(c), 0) + np.cumsum(~asks[mine])
+                seen[int(c)] = int(place[mine][-1])
+            yield pa.RecordBatch.from_arrays([batch.column("curve"), pa.array(np.full(len(curves), part), pa.int32()), pa.array(place), batch.column("rep"), batch.column("asks"), batch.column("v")], ["curve", "part", "place", "rep", "asks", "v"])
+
+    placed = common.written(lines.mapInArrow(numbered, "curve int, part int, place long, rep long, asks boolean, v binary"), "curves")
+    ahead = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy("curve", "part").agg(F.max("place").alias("n")).select("curve", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
+    return placed.join(first, ["curve", "part"]).select("curve", F.greatest(F.lit(0), F.col("first") + F.col("place") - 1).alias("at"), "rep", "asks", "v")
+
+
+def _window_finds(placed: DataFrame, width: int, block: int, reach: int, last: int, k: int) -> DataFrame:
+    """(q, c, score): the k best that each block of the curves holds for queries at most `reach` blocks away; `last` is a curve's last block."""
+    own = F.floor(F.col("at") / block)
+    met = F.when(F.col("asks"), F.sequence(F.greatest(F.lit(0), own - reach), F.least(F.lit(last), own + reach))).otherwise(F.array(own))
+    windows = placed.select("curve", F.explode(met).alias("window"), "asks", "rep", "v")
+    windows = windows.repartition(common.parts_for(placed), "curve", "window").sortWithinPartitions("curve", "window", "asks", "rep")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, held, asked, asks = None, [], [], [], []
+        here, ids, held, asked, asks, rows = None, [], [], [], [], None
 
-        def done() -> pa.RecordBatch:
+        def answer() -> pa.RecordBatch:
+            nonlocal rows
+            if rows is None:
+                rows = np.array(ids, np.int64), np.frombuffer(b"".join(held), "<f8").reshape(-1, width)
+                held.clear()
             q, c, s = [], [], []
-            if ids and asked:
-                mine, every = np.array(ids), np.frombuffer(b"".join(held), "<f8").reshape(-1, width)
-                scores = np.frombuffer(b"".join(asks), "<f8").reshape(-1, width) @ every.T
-                for a, row in zip(asked, scores):
-                    top = best(row, mine, k)
-                    q.append(np.full(len(top), a)), c.append(mine[top]), s.append(row[top])
+            for a, row in zip(asked, np.frombuffer(b"".join(asks), "<f8").reshape(-1, width) @ rows[1].T):
+                top = best(row, rows[0], k)
+                q.append(np.full(len(top), a)), c.append(rows[0][top]), s.append(row[top])
+            asked.clear(), asks.clear()
             return _found(q, c, s)
 
         for batch in batches:
             for curve, window, ask, rep, v in zip(*(batch.column(x).to_pylist() for x in ("curve", "window", "asks", "rep", "v"))):
-                if (curve, window) != at:
-                    if at is not None:
-                        yield done()
-                    at, ids, held, asked, asks = (curve, window), [], [], [], []
+                if (curve, window) != here:
+                    if asked:
+                        yield answer()
+                    here, ids, held, rows = (curve, window), [], [], None
                 (asked if ask else ids).append(rep)
                 (asks if ask else held).append(v)
-        if at is not None:
-            yield done()
+                if len(asked) == ASKED_AT_ONCE:
+                    yield answer()
+        if asked:
+            yield answer()
 
     return windows.mapInArrow(search, "q long, c long, score double")
 
 
-def _whole_curve(rows: DataFrame, queries: list, width: int, k: int) -> DataFrame:
-    """(q, c, score) over the whole curve for one block of queries, k at most for each task."""
-    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["rep"] for r in queries]), np.frombuffer(b"".join(bytes(r["v"]) for r in queries), "<f8").reshape(-1, width)))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, asks = shared.value
-        kept = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
-        for batch in batches:
-            ids, v = batch.column("rep").to_numpy(), _matrix(batch.column("v"), width)
-            for a in range(0, len(ids), 4096):
-                for lo in range(0, len(asked), 1024):
-                    scores = asks[lo : lo + 1024] @ v[a : a + 4096].T
-                    for j, row in enumerate(scores, lo):
-                        top = best(row, ids[a : a + 4096], k)
-                        i, s = np.concatenate((kept[j][0], ids[a : a + 4096][top])), np.concatenate((kept[j][1], row[top]))
-                        top = best(s, i, k)
-                        kept[j] = i[top], s[top]
-        for lo in range(0, len(asked), 512):
-            part = list(zip(asked[lo : lo + 512], kept[lo : lo + 512]))
-            yield _found([np.full(len(i), a) for a, (i, _) in part], [i for _, (i, _) in part], [s for _, (_, s) in part])
-
-    return rows.mapInArrow(search, "q long, c long, score double")
+def _search(one: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
+    """(q, c, score): the k best rows(rep, v, norm) found for each of queries(rep, v), in windows as wide as its finds ask for."""
+    size, most = one.agg(F.count("*"), F.max("norm")).first()
+    placed = _placed(one, queries, width, most)
+    by = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    block, reach, met = BLOCK, 1, None
+    while True:
+        last = (size - 1) // block
+        finds = _window_finds(placed, width, block, reach, last, k).groupBy("q", "c").agg(F.max("score").alias("score"), F.count("*").alias("times"))
+        finds = common.written(finds.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k), "finds")
+        met = finds.select("q", "c", "score") if met is None else met.union(finds.select("q", "c", "score"))
+        if reach >= last:
+            break
+        sure = finds.where(F.col("r") >= k // 2).groupBy("q").agg(F.avg("times").alias("times"), F.max("r").alias("r")).where((F.col("times") >= REPEATED * CURVES) & (F.col("r") == k))
+        doubtful = common.written(queries.select("rep").join(sure, queries["rep"] == sure["q"], "left_anti"), "doubtful")
+        if doubtful.isEmpty():
+            break
+        queries = doubtful
+        placed = placed.where(~F.col("asks")).union(placed.where("asks").join(doubtful, "rep", "left_semi").select(placed.columns))
+        if block < MOST_ROWS:
+            block *= WIDER
+        else:
+            reach *= WIDER
+    top = met.groupBy("q", "c").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(by))
+    return top.where(F.col("r") <= k).select("q", "c", "score")
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -210,20 +224,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "e").join(few.groupBy("e").agg(F.min("vec_id").alias("rep")), "e").select(F.col("vec_id").alias("query_id"), "rep").distinct()
     asked = common.written(asked, "asked")
     queries = common.written(one.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v"), "queries")
-    most = one.agg(F.max("norm")).first()[0]
-    finds = _window_finds(one, queries, width, most, k + 1).groupBy("q", "c").agg(F.max("score").alias("score"), F.count("*").alias("times"))
-    by = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    finds = common.written(finds.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1), "finds")
-    sure = finds.where(F.col("r") > k // 2).groupBy("q").agg(F.avg("times").alias("times"), F.max("r").alias("r")).where((F.col("times") >= REPEATED * CURVES) & (F.col("r") > k))
-    doubtful = common.written(queries.join(sure, queries["rep"] == sure["q"], "left_anti"), "doubtful")
-    n = doubtful.count()
-    blocks = -(-n // QUERY_BLOCK)
-    whole = finds.select("q", "c", "score")
-    for b in range(blocks):
-        block = doubtful.where(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == b).collect()
-        if block:
-            whole = whole.union(_whole_curve(one.select("rep", "v"), block, width, k + 1))
-    top = whole.groupBy("q", "c").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1)
+    top = _search(one, queries, width, k + 1)
     ids = one.select(F.col("rep").alias("c2"), "ids")
     pairs = asked.join(top, asked["rep"] == top["q"]).join(ids, F.col("c") == F.col("c2")).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -83,6 +83,20 @@ def test_nearest_equals_brute_force_and_skips_bad_vectors(spark):
     assert ann.nearest(df.where("vec_id is null")).count() == 0
 
 
+def test_windows_widen_until_finds_repeat(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 8)
+    monkeypatch.setattr(ann, "MOST_ROWS", 32)
+    x = np.random.default_rng(8).standard_normal((1500, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<float>")
+    got, f, hit = {}, x.astype(float), 0
+    for r in ann.nearest(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in range(0, 1500, 20):
+        order = [int(i) for i in np.argsort(-(f @ f[q])) if i != q][:20]
+        hit += len(set(order) & got[q])
+    assert hit >= 0.9 * 20 * len(got) and len(got) == 75 and {len(g) for g in got.values()} == {20}
+
+
 def test_hilbert_visits_neighbours():
     side = 8
     cells = np.array([(i, j) for i in range(side) for j in range(side)])
