@@ -28,8 +28,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of all rows, and what reading them back gives for each."""
-    return token_output.export(docs, queries.tokenizer())
+    """Token shards of all rows in the training order that the mix stored, and what reading them back gives for each."""
+    return token_output.export(docs, queries.tokenizer(), common.stored_order(docs))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontaminate", drop_leaks), ("mix", mix_sources), ("tokens", write_tokens)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -9,7 +11,7 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +42,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_order(df: DataFrame) -> tuple[Column, ...]:
+    """Sort keys that give the rows of a table read from Parquet in the order in which they were written; none for other rows.
+
+    Writers number files by partition, and by chunk within it, and rows by place in the file.
+    """
+    if not df._jdf.queryExecution().analyzed().metadataOutput().nonEmpty():
+        return ()
+    name = F.col("_metadata.file_name")
+    number = lambda p: F.regexp_extract(name, p, 1).try_cast("int")
+    return number(r"^part-(\d+)"), number(r"-c(\d+)"), name, F.col("_metadata.row_index")
+
+
 def plan_bytes(df: DataFrame) -> int:
     """What the optimizer thinks the rows weigh."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -104,10 +118,14 @@ _owner: list = ["", lambda: None]
 
 
 def own(name: str, clear) -> None:
-    """To be called as an operator starts in a worker: what another one kept there in its caches goes."""
+    """To be called as an operator starts in a worker: what another one kept there in its caches goes back to the system."""
     if _owner[0] != name:
         _owner[1]()
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
     _owner[:] = name, clear
 
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -183,19 +183,19 @@ class ShardReader:
         return [self.document(int(k)) for k in np.flatnonzero((self.docs["doc_id"] == doc_id) & (self.docs["null"] == 0))]
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, frame_bytes: int = 1 << 20) -> DataFrame:
-    """Write docs(doc_id, text) in ascending doc_id order; (shard, uri, n_docs, n_ids, start) of the shards, few rows.
+def write(docs: DataFrame, folder: str, tokenizer_path: str, frame_bytes: int = 1 << 20, order: tuple[Column, ...] = ()) -> DataFrame:
+    """Write docs(doc_id, text) in the given order, or in that of doc_id; (shard, uri, n_docs, n_ids, start) of the shards, few rows.
 
     Null texts are empty: such documents hold the end id alone. Null ids come first;
-    equal ids are ordered by a hash of their text, and repeated rows are all written.
-    Other columns are not read. An empty table gives no shard. A range of ids makes a
-    shard, so shards follow each other in order, and a repeated or lost task leaves one
-    whole file of its name.
+    rows of equal keys are ordered by id and a hash of their text, and repeated rows are
+    all written. Other columns are not read. An empty table gives no shard. A range of
+    keys makes a shard, so shards follow each other in order, and a repeated or lost
+    task leaves one whole file of its name.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    tie = F.xxhash64("text")
-    rows = rows.repartitionByRange(common.parts_for(rows), F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(c.alias(f"key{i}") for i, c in enumerate(order)))
+    keys = [F.col(c).asc_nulls_first() for c in (*(f"key{i}" for i in range(len(order))), "doc_id")] + [F.xxhash64("text")]
+    rows = rows.repartitionByRange(common.parts_for(rows), *keys).sortWithinPartitions(*keys)
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +245,6 @@ def read(shards: DataFrame) -> DataFrame:
     return shards.repartition(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
-def export(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def export(docs: DataFrame, tokenizer_path: str, order: tuple[Column, ...] = ()) -> DataFrame:
     """Write docs to the shared folder and read every document back from the files."""
-    return read(write(docs, common.shared_dir(docs.sparkSession, "tokens"), tokenizer_path))
+    return read(write(docs, common.shared_dir(docs.sparkSession, "tokens"), tokenizer_path, order=order))
