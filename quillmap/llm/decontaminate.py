@@ -2,10 +2,10 @@
 
 Words become template tokens: numbers, names and units turn into typed placeholders,
 everything else into its lower-case form without outer punctuation. Windows of five
-template tokens are looked up in a hash table of the benchmark's windows. Matches of one
-item are laid on alignments (place in the document less place in the item); an item
-leaks where the windows matched within one stretch of the document reach the share of
-its windows, and where its slots are filled consistently: one value of the item always
+template tokens are looked up in a hash table of the benchmark's windows. Of the matches
+of one item within one stretch of the document, the best alignment counts: both places
+rise along it, and their difference changes seldom. An item leaks where the windows on
+one alignment reach the share of its windows, and where its slots on that alignment are filled consistently: one value of the item always
 by one value of the document, which a question with new numbers or names does and a
 chance likeness of templates does not.
 """
@@ -29,6 +29,8 @@ NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|[a-z]{1,2})?$", re.
 SHARE = shingles.SIMILAR
 #: Benchmark windows that one pass over the documents takes along: the broadcast's bound.
 BLOCK_WINDOWS = 2_000_000
+#: What a change of the alignment costs, in windows: next to nothing, and more than a chance window brings.
+BENDS = (1e-6, 2.0)
 PLAIN, NUM, UNIT, CAPITAL = 0, 1, 2, 4
 ENDS = 8
 _slot = {k: np.uint64(shingles.word_hash[f"\x00{k}"]) for k in (NUM, UNIT, CAPITAL)}
@@ -119,7 +121,7 @@ class Benchmark:
 
     def leaks(self, text: str, share: float = SHARE) -> list[tuple[int, float, int]]:
         """(item id, share of its windows, first word in the text) of every item that leaks into a text."""
-        t, plain, slot = template(text)
+        t, plain, _ = template(text)
         if not len(t) or not self.ids:
             return []
         out: dict[int, tuple[float, int]] = {}
@@ -138,52 +140,82 @@ class Benchmark:
                 if min(len(self.words[i]), shingles.WORDS) != n:
                     continue
                 mine = items == i
-                found = self._best(i, doc_at[mine], places[mine], plain, slot, share)
+                found = self._best(i, doc_at[mine], places[mine], plain, share)
                 if found:
                     out[self.ids[i]] = max(found, out.get(self.ids[i], (0.0, 0)))
         return sorted((i, s, a) for i, (s, a) in out.items())
 
-    def _best(self, i: int, doc_at: np.ndarray, places: np.ndarray, plain: np.ndarray, slot: np.ndarray, share: float) -> tuple[float, int] | None:
+    def _best(self, i: int, doc_at: np.ndarray, places: np.ndarray, plain: np.ndarray, share: float) -> tuple[float, int] | None:
         words, slots = self.words[i], self.slots[i]
         total = max(1, len(words) - shingles.WORDS + 1)
         if len(np.unique(places)) < share * total:
             return None
-        order = np.argsort(doc_at, kind="stable")
+        order = np.lexsort((places, doc_at))
         doc_at, places = doc_at[order], places[order]
-        best: tuple[float, int] | None = None
         reach = int(1.25 * len(words)) + shingles.WORDS
-        counts: dict[int, int] = {}
-        lo = 0
-        for hi in range(len(doc_at)):
-            counts[places[hi]] = counts.get(places[hi], 0) + 1
-            while doc_at[hi] - doc_at[lo] > reach:
-                counts[places[lo]] -= 1
-                if not counts[places[lo]]:
-                    del counts[places[lo]]
-                lo += 1
-            if len(counts) >= share * total and (best is None or len(counts) > best[0] * total):
-                if self._consistent(words, slots, doc_at[lo : hi + 1], places[lo : hi + 1], plain):
-                    best = (len(counts) / total, int(doc_at[lo]))
+        starts = np.flatnonzero(np.diff(doc_at, prepend=-1))
+        best: tuple[float, int] | None = None
+        for lo, hi in zip(starts.tolist(), np.searchsorted(doc_at, doc_at[starts] + reach, "right").tolist()):
+            if best is not None and best[0] == 1:
+                break
+            if len(np.unique(places[lo:hi])) < share * total:
+                continue
+            for bend in BENDS:
+                line = _alignment(doc_at[lo:hi].tolist(), places[lo:hi].tolist(), bend)
+                if len(line) >= share * total and (best is None or len(line) > best[0] * total) and self._consistent(words, slots, line, plain):
+                    best = (len(line) / total, line[0][0])
         return best
 
     @staticmethod
-    def _consistent(words: np.ndarray, slots: np.ndarray, doc_at: np.ndarray, places: np.ndarray, plain: np.ndarray) -> bool:
-        """Whether the item's slot values go to one document value each, for nine slots in ten."""
+    def _consistent(words: np.ndarray, slots: np.ndarray, line: list[tuple[int, int]], plain: np.ndarray) -> bool:
+        """Whether the item's slot values go to one document value each along an alignment, for nine slots in ten."""
         if not slots.any():
             return True
-        pairs: dict[tuple[int, int], None] = {}
-        for d, p in zip(doc_at.tolist(), places.tolist()):
+        across: dict[int, dict[int, int]] = {}
+        for d, p in line:
             for j in range(min(shingles.WORDS, len(words) - p, len(plain) - d)):
                 if slots[p + j]:
-                    pairs[(p + j, d + j)] = None
+                    votes = across.setdefault(p + j, {})
+                    votes[d + j] = votes.get(d + j, 0) + 1
         by_value: dict[int, dict[int, int]] = {}
-        for p, d in pairs:
-            row = by_value.setdefault(int(words[p]), {})
-            row[int(plain[d])] = row.get(int(plain[d]), 0) + 1
+        for p, votes in across.items():
+            row, value = by_value.setdefault(int(words[p]), {}), int(plain[max(votes, key=votes.__getitem__)])
+            row[value] = row.get(value, 0) + 1
         agree, every = sum(max(r.values()) for r in by_value.values()), sum(sum(r.values()) for r in by_value.values())
         return every == 0 or agree >= 0.9 * every
 
 
+def _alignment(doc_at: list[int], places: list[int], bend: float) -> list[tuple[int, int]]:
+    """The (document place, item place) matches, both rising, that are most, less `bend` for every change of their difference.
+
+    Matches come sorted by document place, then item place; for each document place the
+    larger item places go first, so that none follows another of the same document place.
+    """
+    most: list[tuple[float, int]] = [(0.0, -1)] * (max(places) + 2)  # a Fenwick tree of prefix maxima over item places
+    score, back, last = [0.0] * len(places), [-1] * len(places), {}
+    for m in sorted(range(len(places)), key=lambda m: (doc_at[m], -places[m])):
+        k, found = places[m], (0.0, -1)
+        while k:
+            found = max(found, most[k])
+            k &= k - 1
+        if found[1] >= 0:
+            found = max((found[0] - bend, found[1]), (0.0, -1))
+        same = last.get(doc_at[m] - places[m], -1)
+        if same >= 0 and score[same] >= found[0]:
+            found = (score[same], same)
+        score[m], back[m] = found[0] + 1, found[1]
+        last[doc_at[m] - places[m]] = m
+        k = places[m] + 1
+        while k < len(most):
+            most[k] = max(most[k], (score[m], m))
+            k += k & -k
+    m, line = max(range(len(places)), key=score.__getitem__), []
+    while m >= 0:
+        line.append((doc_at[m], places[m]))
+        m = back[m]
+    return line[::-1]
+
+
 def blocks(benchmark: DataFrame, most: int = BLOCK_WINDOWS) -> Iterator[Benchmark]:
     """The benchmark in blocks of about `most` windows; null or empty items have none."""
     rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")

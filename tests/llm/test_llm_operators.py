@@ -274,6 +274,16 @@ def test_templates_catch_new_numbers_and_names_only_if_consistent(spark):
     assert block.leaks("nothing of that kind stands in this text at all") == []
 
 
+def test_slots_are_judged_on_one_alignment(spark):
+    series = "2 4 8 16 32 64 is a sequence whose next term is what"
+    listed = "sort the values 3 9 27 81 3 9 27 81 and then the values 5 25 5 25 5 25 5 in that order"
+    block = decontaminate.Benchmark.of([(1, series), (2, listed)])
+    assert [x[:2] for x in block.leaks("so " + series)] == [(1, 1.0)]
+    assert [x[:2] for x in block.leaks("rows 1 2 3 4 5 6 7 8 9 here and " + series + " then 9 8 7 6 5 4 3")] == [(1, 1.0)]
+    assert [x[:2] for x in block.leaks("as follows: " + listed)] == [(2, 1.0)]
+    assert block.leaks("sort the values 1 2 3 4 5 6 7 8 and then the values 1 2 3 4 5 6 7 in that order") == []
+
+
 def test_decontamination_equals_brute_force_in_blocks(spark):
     docs, bench = common.table(spark, SF, "documents"), common.table(spark, SF, "benchmark")
     items = [(r["item_id"], shingles.windows(decontaminate.template(r["text"])[0])) for r in bench.collect()]
