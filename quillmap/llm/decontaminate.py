@@ -1,7 +1,9 @@
 """Benchmark decontamination by templates, windows and slots.
 
-Words become template tokens: numbers, names and units turn into typed placeholders,
-everything else into its lower-case form without outer punctuation. Windows of five
+Words become template tokens: runs of numbers with their units and runs of names turn
+into a typed placeholder each, everything else into its lower-case form without outer
+punctuation. Any capital makes a name, save on common words; a second reading has no
+names, for copies in other case and for items with capitals on most words. Windows of five
 template tokens are looked up in a hash table of the benchmark's windows. Of the matches
 of one item within one stretch of the document, the best alignment counts: both places
 rise along it, and their difference changes seldom. An item leaks where the windows on
@@ -31,25 +33,34 @@ SHARE = shingles.SIMILAR
 BLOCK_WINDOWS = 2_000_000
 #: What a change of the alignment costs, in windows: next to nothing, and more than a chance window brings.
 BENDS = (1e-6, 2.0)
+#: Fixed word list: words that are no names though a sentence or a title gives them a capital.
+COMMON = frozenset("a an the this that these those some any each every all both no one and or but if when while as because so than then though although in on at by for from of to into with without within after before during since until about above below over under between through per i you he she it we they his her its our their my your who whom whose what which where why how is are was were be been am do does did has have had can could will would shall should may might must not there here let find given suppose".split())
+#: Titles and initials, after which a point does not part a name.
+TITLES = frozenset("dr mr mrs ms st sr jr prof".split())
 PLAIN, NUM, UNIT, CAPITAL = 0, 1, 2, 4
-ENDS = 8
-_slot = {k: np.uint64(shingles.word_hash[f"\x00{k}"]) for k in (NUM, UNIT, CAPITAL)}
+#: A mark after the word parts runs.
+STOPS = 8
+NAMES, NUMBERS, EXACT = 0, 1, 2
+_slot = {k: np.uint64(shingles.word_hash[f"\x00{k}"]) for k in (NUM, CAPITAL)}
 
 
 def _token(word: str) -> int:
     """Hash of the plain form, its last four bits the flags."""
     core = word.strip(".,;:!?\"'()[]{}«»“”„…*_`|")
-    flags = ENDS if word[-1:] in ".!?:" or word[-2:-1] in ".!?" else 0
+    low = core.lower()
+    flags = STOPS if (word[-1:] in ".,;:!?" or word[-2:-1] in ".,;:!?") and not (len(core) == 1 and core.isalpha() or low in TITLES) else 0
     if core and NUMBER.match(core):
         flags |= NUM
-    elif core.lower() in UNITS:
+    elif low in UNITS:
         flags |= UNIT
-    elif core[:1].isupper():
+    elif core[:1].isupper() and low not in COMMON:
         flags |= CAPITAL
-    return shingles.word_hash[core.lower()] & ~15 | flags
+    return shingles.word_hash[low] & ~15 | flags
 
 
 _tokens = common.Cache(_token, 200_000)
+_EMPTY = np.uint64(shingles.word_hash[""] & ~15)
+_POWERS = np.array(shingles._POWERS)
 
 
 def _forget() -> None:
@@ -57,32 +68,68 @@ def _forget() -> None:
     shingles.word_hash.clear()
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template hashes, plain hashes, whether a slot) of a text's words.
-
-    A capital makes a name unless the word opens a text or a sentence; a text that is
-    mostly capitals has no names.
-    """
+def _hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(plain hashes, flags) of a text's words."""
     words = text.split()
     both = np.fromiter(map(_tokens.__getitem__, words), np.uint64, len(words))
-    plain, flags = both & np.uint64(0xFFFFFFFFFFFFFFF0), (both & np.uint64(15)).astype(np.uint8)
-    if not len(words):
-        return plain, plain, flags.astype(bool)
-    opens = np.concatenate(([True], (flags[:-1] & ENDS) > 0))
-    name = ((flags & CAPITAL) > 0) & ~opens
-    if name.sum() > 0.5 * len(name):
-        name[:] = False
+    return both & np.uint64(0xFFFFFFFFFFFFFFF0), (both & np.uint64(15)).astype(np.uint8)
+
+
+def _read(plain: np.ndarray, flags: np.ndarray, reading: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template hashes, value hashes, whether a slot, first word) of the tokens of one reading.
+
+    A run of numbers and their units makes one token, and, in NAMES, a run of names,
+    until a mark parts it; its value is that of all its words. What a word is depends
+    on nothing but the word, and for a unit the number before it, so that an item and
+    the document around its copy are read alike. NUMBERS has no names, EXACT no slots.
+    """
+    n = len(plain)
+    if not n or reading == EXACT:
+        return plain, plain, np.zeros(n, bool), np.arange(n)
+    kind = np.zeros(n, np.uint8)
+    if reading == NAMES:
+        kind[(flags & CAPITAL) > 0] = CAPITAL
     number = (flags & NUM) > 0
-    unit = ((flags & UNIT) > 0) & np.concatenate(([False], number[:-1]))
-    out = plain.copy()
-    out[name], out[number], out[unit] = _slot[CAPITAL], _slot[NUM], _slot[UNIT]
-    return out, plain, name | number | unit
+    kind[number] = NUM
+    kind[1:][((flags[1:] & UNIT) > 0) & number[:-1]] = NUM
+    begins = np.ones(n, bool)
+    begins[1:] = (kind[1:] == PLAIN) | (kind[1:] != kind[:-1]) | ((flags[:-1] & STOPS) > 0)
+    first = np.flatnonzero(begins)
+    kind, length = kind[first], np.diff(first, append=n)
+    out, value = plain[first], plain[first]
+    joined = length > 1
+    if joined.any():
+        place = np.arange(n) - np.repeat(first, length)
+        value[joined] = shingles.mixed(np.add.reduceat(plain * _POWERS[place % len(_POWERS)], first)[joined])
+    out[kind == CAPITAL], out[kind == NUM] = _slot[CAPITAL], _slot[NUM]
+    return out, value, kind != PLAIN, first
+
+
+def template(text: str, reading: int = NAMES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template hashes, value hashes, whether a slot) of a text's tokens."""
+    return _read(*_hashed(text), reading)[:3]
+
+
+def readings(text: str) -> list[int]:
+    """The readings by which an item is looked for: its words, numbers as slots, and names as slots too.
+
+    A reading needs three plain words, or two in three, as all else would be a question
+    with nothing but slots; an item without a plain word beside its numbers counts as it stands.
+    """
+    out = []
+    for reading in (NAMES, NUMBERS):
+        _, value, slot = template(text, reading)
+        said = int((~slot & (value != _EMPTY)).sum())
+        if said and (said >= 3 or 3 * said >= 2 * len(slot)):
+            out.append(reading)
+    return out if NUMBERS in out else [*out, EXACT]
 
 
 @dataclass
-class Benchmark:
-    """Windows of a block of items: sorted hashes with item and place, and the items' words."""
+class Reading:
+    """Windows of a block of items in one reading: sorted hashes with item and place, and the items' values."""
 
+    reading: int
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -93,17 +140,17 @@ class Benchmark:
     lengths: tuple[int, ...]
 
     @staticmethod
-    def of(rows: list[tuple[int, str]]) -> Benchmark:
+    def of(rows: list[tuple[int, str]], reading: int) -> Reading:
         hashes, item, place, words, slots, ids = [], [], [], [], [], []
         for item_id, text in rows:
-            t, plain, slot = template(text or "")
+            t, values, slot = template(text, reading)
             if not len(t):
                 continue
             w = shingles.windows(t)
             hashes.append(w)
             item.append(np.full(len(w), len(ids)))
             place.append(np.arange(len(w)))
-            words.append(plain)
+            words.append(values)
             slots.append(slot)
             ids.append(item_id)
         none = np.zeros(0, np.uint64)
@@ -111,7 +158,7 @@ class Benchmark:
         order = np.argsort(h, kind="stable")
         seen = np.zeros(1 << 24, bool)
         seen[(h & np.uint64((1 << 24) - 1)).astype(np.int64)] = True
-        return Benchmark(h[order], i[order], p[order], words, slots, ids, np.packbits(seen), tuple(sorted({min(len(w), shingles.WORDS) for w in words})))
+        return Reading(reading, h[order], i[order], p[order], words, slots, ids, np.packbits(seen), tuple(sorted({min(len(w), shingles.WORDS) for w in words})))
 
     def unpacked(self) -> np.ndarray:
         if not hasattr(self, "_seen"):
@@ -119,11 +166,9 @@ class Benchmark:
             self._seen = np.unpackbits(self.filter).astype(bool)
         return self._seen
 
-    def leaks(self, text: str, share: float = SHARE) -> list[tuple[int, float, int]]:
-        """(item id, share of its windows, first word in the text) of every item that leaks into a text."""
-        t, plain, _ = template(text)
-        if not len(t) or not self.ids:
-            return []
+    def leaks(self, hashed: tuple[np.ndarray, np.ndarray], share: float) -> list[tuple[int, float, int]]:
+        """(item id, share of its windows, first word in the text) of every item that leaks into a text in this reading."""
+        t, plain, _, first = _read(*hashed, self.reading)
         out: dict[int, tuple[float, int]] = {}
         for n in self.lengths:  # items under five words are one window of their own length
             if len(t) < n:
@@ -143,7 +188,7 @@ class Benchmark:
                 found = self._best(i, doc_at[mine], places[mine], plain, share)
                 if found:
                     out[self.ids[i]] = max(found, out.get(self.ids[i], (0.0, 0)))
-        return sorted((i, s, a) for i, (s, a) in out.items())
+        return [(i, s, int(first[a])) for i, (s, a) in out.items()]
 
     def _best(self, i: int, doc_at: np.ndarray, places: np.ndarray, plain: np.ndarray, share: float) -> tuple[float, int] | None:
         words, slots = self.words[i], self.slots[i]
@@ -185,6 +230,30 @@ class Benchmark:
         return every == 0 or agree >= 0.9 * every
 
 
+@dataclass
+class Benchmark:
+    """A block of items in every reading."""
+
+    parts: list[Reading]
+
+    @staticmethod
+    def of(rows: list[tuple[int, str]]) -> Benchmark:
+        kinds = [(item_id, text, readings(text)) for item_id, text in rows if text and text.strip()]
+        parts = [Reading.of([(i, t) for i, t, r in kinds if k in r], k) for k in (NAMES, NUMBERS, EXACT)]
+        return Benchmark([x for x in parts if x.ids])
+
+    def leaks(self, text: str, share: float = SHARE) -> list[tuple[int, float, int]]:
+        """(item id, share of its windows, first word in the text) of every item that leaks into a text in any reading."""
+        if not self.parts:
+            return []
+        hashed, out = _hashed(text), {}
+        if len(hashed[0]):
+            for part in self.parts:
+                for i, s, a in part.leaks(hashed, share):
+                    out[i] = max((s, a), out.get(i, (0.0, 0)))
+        return sorted((i, s, a) for i, (s, a) in out.items())
+
+
 def _alignment(doc_at: list[int], places: list[int], bend: float) -> list[tuple[int, int]]:
     """The (document place, item place) matches, both rising, that are most, less `bend` for every change of their difference.
 

@@ -274,6 +274,20 @@ def test_templates_catch_new_numbers_and_names_only_if_consistent(spark):
     assert block.leaks("nothing of that kind stands in this text at all") == []
 
 
+def test_templates_hold_for_new_names_at_sentence_starts_and_longer_names(spark):
+    opens = "Ada has 12 apples. Ada gives 5 to Bob."
+    trip = "A train leaves Boston at 9 and arrives in Chicago after it has gone 300 km, so how fast was it on its way from Boston?"
+    title = "Which Very Old City Stands Upon Seven Green Hills Beside That Long River"
+    block = decontaminate.Benchmark.of([(1, opens), (2, trip), (3, title), (4, "12 30 45 99 100"), (5, "Ada Lovelace")])
+    found = lambda t: [i for i, _, _ in block.leaks(t)]
+    assert found("Once more. Eve has 31 apples. Eve gives 8 to Dan. That is all.") == [1]
+    assert found("hear this: " + trip.replace("Boston", "New York").replace("Chicago", "Los Angeles").replace("300 km", "90 miles")) == [2]
+    assert found("it was an ordinary text of plain words that ended and then came " + title + " and it went on in plain words as before") == [3]
+    assert found("it was " + title.lower() + " and on") == [3] and found(trip.upper()) == [2]
+    assert found("the values 7 8 9 10 11 stand here, as Tim Miller wrote") == []
+    assert found("the values 12 30 45 99 100 stand here, as Ada Lovelace wrote") == [4, 5]
+
+
 def test_slots_are_judged_on_one_alignment(spark):
     series = "2 4 8 16 32 64 is a sequence whose next term is what"
     listed = "sort the values 3 9 27 81 3 9 27 81 and then the values 5 25 5 25 5 25 5 in that order"
