@@ -294,40 +294,42 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WINDOWS) -> Iterator[Benchmar
         yield Benchmark.of([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).orderBy("item_id", "text").collect()])
 
 
-def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, items, best_share, first_word) for every row of docs(doc_id, text), repeated rows included.
 
     items are the item ids that leak into the text, ascending, empty for clean texts;
     best_share is the largest share of an item's windows (0 without a leak) and
     first_word the place of the first leaked window (null without). Null and empty texts
     leak nothing, null ids stay null, other columns are not read; texts are read whole.
+    Blocks of `most` benchmark windows pass over the rows one after another and add to
+    what a row carries.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, items array<long>, best_share double, first_word long"
-    parts = [rows.mapInArrow(_probe(spark, b, share), schema) for b in blocks(benchmark)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.union(p)
-    return whole.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("best_share").alias("best_share"), F.min("first_word").alias("first_word"))
+    found = "items array<long>, best_share double, first_word long"
+    waiting = None
+    for block in blocks(benchmark, most):
+        if waiting is not None:
+            rows = rows.mapInArrow(_probe(spark, waiting, share, True), f"doc_id long, text string, {found}")
+        waiting = block
+    return rows.mapInArrow(_probe(spark, waiting, share, False), f"doc_id long, {found}")
 
 
-def _probe(spark: SparkSession, block: Benchmark, share: float):
+def _probe(spark: SparkSession, block: Benchmark, share: float, keep_text: bool):
     shared = spark.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.leaks(t, share) for t in common.texts(batch)]
+            items, best, first = [[i for i, _, _ in x] for x in found], [max((s for _, s, _ in x), default=0.0) for x in found], [min((a for _, _, a in x), default=None) for x in found]
+            if "items" in batch.schema.names:
+                items = [sorted({*x, *y}) for x, y in zip(items, batch.column("items").to_pylist())]
+                best = [max(x, y) for x, y in zip(best, batch.column("best_share").to_pylist())]
+                first = [min((z for z in (x, y) if z is not None), default=None) for x, y in zip(first, batch.column("first_word").to_pylist())]
+            kept = ["doc_id", "text"] if keep_text else ["doc_id"]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([[i for i, _, _ in x] for x in found], pa.list_(pa.int64())),
-                    pa.array([max((s for _, s, _ in x), default=0.0) for x in found], pa.float64()),
-                    pa.array([min((a for _, _, a in x), default=None) for x in found], pa.int64()),
-                ],
-                ["doc_id", "items", "best_share", "first_word"],
+                [*(batch.column(c) for c in kept), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64()), pa.array(first, pa.int64())],
+                [*kept, "items", "best_share", "first_word"],
             )
 
     return run

@@ -308,6 +308,17 @@ def test_decontamination_equals_brute_force_in_blocks(spark):
     assert len(list(decontaminate.blocks(bench, 300))) > 3
 
 
+def test_blocks_of_the_benchmark_change_no_row(spark):
+    items = [(i, f"item number {'abcdefgh'[i]} asks what {w} makes of the {w} stone by night") for i, w in enumerate("red green blue black white grey brown pink".split())]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, items[0][1]), (1, items[0][1]), (1, items[5][1]), (None, items[3][1]), (None, "a clean text"), (None, None), (2, items[6][1] + " and " + items[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(list(decontaminate.blocks(bench, 30))) > 2
+    got = [sorted(map(tuple, decontaminate.find(docs, bench, most=n).collect()), key=str) for n in (30, 10**6)]
+    assert got[0] == got[1] and len(got[0]) == 7
+    assert sorted((str(r[0]), r[1]) for r in got[0]) == [("1", [0]), ("1", [0]), ("1", [5]), ("2", [1, 6]), ("None", []), ("None", []), ("None", [3])]
+
+
 def test_mix_meets_targets_and_orders(spark):
     rng = random.Random(7)
     rows = [(i, words(rng, rng.randint(1, 30)), rng.choice(["a", "a", "a", "b", None, "é"])) for i in range(1500)]
