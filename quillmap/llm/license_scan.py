@@ -1,7 +1,7 @@
 """Licence scans: base phrases, and notices found by an exact set-similarity join.
 
-A notice is a set of words; a text block (a line) meets it if it holds THRESHOLD of them
-at least. Words are ordered by the number of documents that hold them, rarest first. A
+A notice is a set of words; a text block (a line, and with a line of wrapped text the
+lines after it, RUN in all) meets it if it holds THRESHOLD of them at least. Words are ordered by the number of documents that hold them, rarest first. A
 block that meets a notice of m words holds t = ceil(THRESHOLD m) of them, so it holds one
 of the notice's first m - t + 1 words (prefix filter) and t words of all notices (length
 filter); from a shared word on, so many must still be left on both sides (positional
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 THRESHOLD = 0.8
+#: Lines of at most so many characters count as wrapped, and so many of them make a block.
+WIDTH, RUN = 100, 5
 #: Words once A-Z are lower case, and what parts words in a text as it stands.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -49,6 +51,24 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return dict.fromkeys(vocabulary, 0) | {r["w"]: r["n"] for r in counts}
 
 
+def blocks_of(text: Column) -> Column:
+    """The block that begins with each line: it ends before a line without a word, a long line, or after RUN lines.
+
+    A block holds what its shorter beginnings hold, so these need no blocks of their own.
+    """
+    lines = F.split(text, "\n")
+
+    def grown(block: Column, line: Column) -> Column:
+        more = block["open"] & (F.length(line) <= WIDTH) & line.rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+        return F.struct(F.when(more, F.concat(block["words"], F.lit(" "), line)).otherwise(block["words"]).alias("words"), more.alias("open"))
+
+    def block(line: Column, i: Column) -> Column:
+        start = F.struct(line.alias("words"), (F.length(line) <= WIDTH).alias("open"))
+        return F.aggregate(F.slice(lines, i + 2, RUN - 1), start, grown, lambda b: b["words"])
+
+    return F.transform(lines, block)
+
+
 def notices(docs: DataFrame, templates=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
     """(row, label, containment) of every block of docs(row, text) that meets a notice."""
     vocabulary = sorted({w for _, t in templates for w in t.split()})
@@ -62,7 +82,7 @@ def notices(docs: DataFrame, templates=NOTICES, threshold: float = THRESHOLD) ->
     rare = [w for w, i in order.items() if i in {p[0] for p in prefixes}]
     any_rare = F.arrays_overlap(F.split(F.lower("text"), GAP), F.array(*map(F.lit, rare)))
     ranks = F.create_map(*(x for w, i in order.items() for x in (F.lit(w), F.lit(i))))
-    blocks = docs.where("text is not null").where(any_rare).select("row", F.posexplode(F.split("text", "\n")).alias("block", "line"))
+    blocks = docs.where("text is not null").where(any_rare).select("row", F.posexplode(blocks_of(F.col("text"))).alias("block", "line"))
     held = F.array_sort(F.transform(F.array_intersect(words(F.col("line")), F.array(*map(F.lit, vocabulary))), lambda w: F.element_at(ranks, w)))
     blocks = blocks.select("row", "block", held.alias("held")).where(F.size("held") >= min(need))
     probes = blocks.select("row", "block", "held", F.posexplode("held").alias("at", "w"))

@@ -319,6 +319,16 @@ def test_blocks_of_the_benchmark_change_no_row(spark):
     assert sorted((str(r[0]), r[1]) for r in got[0]) == [("1", [0]), ("1", [0]), ("1", [5]), ("2", [1, 6]), ("None", []), ("None", []), ("None", [3])]
 
 
+def test_wrapped_notices_are_found(spark):
+    gpl = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License.\n */"
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction'
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+    parted = mit.replace("copy\n", "copy\n\n")
+    docs = spark.createDataFrame(list(enumerate([gpl, mit, bsd, parted, mit.replace("\n", " " + "x" * 100 + "\n")])), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan(docs).collect()}
+    assert "gpl-notice" in got[0] and got[1] == ["mit-notice"] and got[2] == ["bsd-notice"] and got[3] == [""] and got[4] == [""]
+
+
 def test_mix_meets_targets_and_orders(spark):
     rng = random.Random(7)
     rows = [(i, words(rng, rng.randint(1, 30)), rng.choice(["a", "a", "a", "b", None, "é"])) for i in range(1500)]
