@@ -76,7 +76,7 @@ def fbm(x: np.ndarray, y: np.ndarray, octaves: int = 3) -> np.ndarray:
 
 
 def height_rows(spark: SparkSession, res: int, world: float = WORLD, parts: int = 8) -> DataFrame:
-    """(i, j, h): the undisturbed field, pointwise and in any number of tasks: a hill, a swell and ripples of dunes outward."""
+    """(i, j, h): a stand-in for the height field, pointwise and in any number of tasks: a hill and plain dunes outward, with a seam at an angle of pi."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
