@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -27,19 +28,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; below a temporary one only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir; where that is unset, below a temporary one in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.gettempdir() + "/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read again: a cut in the lineage that outlives executors."""
+def written(df: DataFrame, name: str, of: DataFrame | None = None, tasks: int = 1) -> DataFrame:
+    """The same rows, written to the shared folder and read again: a cut in the lineage that outlives executors.
+
+    With `of`, the table from whose size that of df follows, the last step runs in as many
+    tasks as its bytes ask for, `tasks` a core at least, so that a small table isn't
+    written as a file for each partition of a shuffle.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if of is not None:
+        df = df.coalesce(tasks_for(of, tasks))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def tasks_for(df: DataFrame, tasks: int = 1, part_bytes: int = 64 << 20) -> int:
+    """Tasks for rows of the size of df, `tasks` a core at least; the session's number of partitions where the size is unknown."""
+    spark, size = df.sparkSession, plan_bytes(df)
+    return max(tasks * spark.sparkContext.defaultParallelism, -(-size // part_bytes) if size < 1 << 50 else int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what `written` stored of these tables, once tables written later have taken their place; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored_order(df: DataFrame) -> tuple[Column, ...]:
@@ -54,6 +81,14 @@ def stored_order(df: DataFrame) -> tuple[Column, ...]:
     return number(r"^part-(\d+)"), number(r"-c(\d+)"), name, F.col("_metadata.row_index")
 
 
+def free(name: str, columns: list[str]) -> str:
+    """A column name that none of the columns has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def plan_bytes(df: DataFrame) -> int:
     """What the optimizer thinks the rows weigh."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -117,7 +152,7 @@ def labelled_ids(labels: DataFrame, label: str, modulus: int, remainder: int, mo
 _owner: list = ["", lambda: None]
 
 
-def own(name: str, clear) -> None:
+def own(name: str, clear=lambda: None) -> None:
     """To be called as an operator starts in a worker: what another one kept there in its caches goes back to the system."""
     if _owner[0] != name:
         _owner[1]()
