@@ -39,9 +39,19 @@ SAFE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 SAFE_TEXT = re.compile("[\n\x20-\x7eÀ-ÖØ-öø-ÿ]*+")
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 KEEP = 600_000
+#: Bytes of ids that a task reads back, or one shard of more.
+READ_BYTES = 128 << 20
 _encoders: dict[str, Encoder] = {}
 
 
+#: Text on which the shortcut and the tokenizer must agree, or the shortcut isn't taken.
+PROBE = (
+    "It's WE'LL they'd I'm you've x're 'S \"Quoted\" (a-b) c/d e_f 007 3.14 1,000% $5 #tag @at a&b ~ ^ ` | \\ <b>Tag</b> {x} [y] *z* +1 = ; : ! ? ...",
+    "Ångström ÀÉÎÕÜ çà ñandú straße ÆØÅ ÿÝ ¿qué? « oui » – “x” naïve\tTab\r\nLine\n\n漢字 Ελλάς привет ﬁ ½ x² ™ 🙂 e\u0301 İ ß",
+    "loremipsumdolorsitametconsecteturadipiscing zzzzqqqqxxxx a aa aaa 12ab34 ab12 x1y2 UPPERCASE MixedCase",
+)
+
+
 class Encoder:
     """The tokenizer, called once for each distinct part of the texts of a batch.
 
@@ -49,6 +59,7 @@ class Encoder:
     its pieces between blanks and line feeds. Pieces of plain characters consist of the
     parts that its pattern matches; new parts are encoded many to a call and told apart
     again by their last ids, which alone end a word. All other pieces are encoded whole.
+    A tokenizer of another make, which PROBE shows, encodes every text whole.
     """
 
     def __init__(self, path: str):
@@ -59,33 +70,39 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.parted = self.by_parts(list(PROBE)) == [self.whole(t) for t in PROBE]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """All ids of each text, without the end id."""
+        return self.by_parts(texts) if self.parted else [self.whole(t) for t in texts]
+
+    def by_parts(self, texts: list[str]) -> list[bytes]:
         split = [(t.lower() if (t.isascii() or SAFE_TEXT.fullmatch(t)) and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
-        if len(self.pieces) > KEEP:
-            self.pieces = {"": b""}
-        if len(self.parts) > KEEP:
-            self.parts = {}
-        new = set().union(*split) - self.pieces.keys()
-        plain = {}
-        for piece in new:
+        if len(self.known) > KEEP:
+            self.known = {"": b""}
+        known = self.known
+        plain, fresh = {}, set()
+        for piece in set().union(*split) - known.keys():
             if (piece.isascii() and piece.isprintable() or SAFE.fullmatch(piece)) and "<|" not in piece:
                 low = piece.lower()
-                plain[piece] = [low] if low in self.parts else PARTS.findall(low)
+                if not low.isalpha():
+                    plain[piece] = parts = PARTS.findall(low)
+                    fresh.update(parts)
+                else:
+                    fresh.add(low)
+                    if low != piece:
+                        plain[piece] = [low]
             else:
-                self.pieces[piece] = self.whole(piece)
-        self._learn(sorted(set().union(*plain.values()) - self.parts.keys()))
-        part, join = self.parts.__getitem__, b"".join
+                known[piece] = self.whole(piece)
+        self._learn(list(fresh - known.keys()))
+        part, join = known.__getitem__, b"".join
         for piece, parts in plain.items():
-            self.pieces[piece] = part(parts[0]) if len(parts) == 1 else join(map(part, parts))
-        found = self.pieces.__getitem__
-        return [join(map(found, pieces)) for pieces in split]
+            known[piece] = part(parts[0]) if len(parts) == 1 else join(map(part, parts))
+        return [join(map(part, pieces)) for pieces in split]
 
     def _learn(self, parts: list[str], at_once: int = 256) -> None:
         groups = [parts[a : a + at_once] for a in range(0, len(parts), at_once)]
@@ -95,10 +112,10 @@ class Encoder:
             if len(last) == len(group) and last[-1] == len(ids):
                 data, a = ids.tobytes(), 0
                 for word, b in zip(group, (last * 4).tolist()):
-                    self.parts[word] = data[a:b]
+                    self.known[word] = data[a:b]
                     a = b
             else:
-                self.parts |= {word: self.whole(word) for word in group}
+                self.known |= {word: self.whole(word) for word in group}
 
 
 def encoder(path: str) -> Encoder:
@@ -241,8 +258,9 @@ def read(shards: DataFrame) -> DataFrame:
                     )
                     start, k = start + int(n.sum()), k + len(ids)
 
-    n = max(1, shards.count())
-    return shards.repartition(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    n, ids = shards.agg(F.count("*"), F.sum("n_ids")).first()
+    n = min(max(1, n), max(4 * shards.sparkSession.sparkContext.defaultParallelism, -(-4 * (ids or 0) // READ_BYTES)))
+    return shards.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
 def export(docs: DataFrame, tokenizer_path: str, order: tuple[Column, ...] = ()) -> DataFrame:
