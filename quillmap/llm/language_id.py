@@ -115,25 +115,25 @@ def slots(grams: np.ndarray, size: int, hashes: int) -> list[np.ndarray]:
     return [((grams + step * np.uint64(i)) & np.uint64(size - 1)).astype(np.int64) for i in range(hashes)]
 
 
-def fit(docs: DataFrame, sample_docs: int = 1500, max_grams: int = 200_000, min_docs: int = 2, least_share: float = 0.125) -> LanguageFilters:
+def fit(docs: DataFrame, sample_docs: int = 1500, min_docs: int = 2, least_share: float = 0.125) -> LanguageFilters:
     """Filters of the languages in docs(doc_id, text, lang).
 
     At most about `sample_docs` documents a language are read, chosen by a hash of
     doc_id (the bound of the sample). A gram enters the filter of a language where at
     least `min_docs` of its documents hold it and their share is at least
     `least_share` of the largest share among the languages, so that foreign passages
-    in a text don't spread one language's grams over all filters. `max_grams` bounds
-    the size of a filter.
+    in a text don't spread one language's grams over all filters; a language with fewer
+    documents than `min_docs` enters with the grams of what it has. The sample bounds the
+    filters' size; there is a filter for every language.
     """
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("of"))
+    counts = {r["lang"]: r["of"] for r in sizes.collect()}
     langs = sorted(counts)
     if not langs:
         return LanguageFilters([], [np.zeros(1024, np.uint16)], 3, np.zeros(0))
-    keep = F.lit(False)
-    for lang in langs:
-        share = min(1.0, sample_docs / counts[lang])
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)))
+    some = docs.join(F.broadcast(sizes.withColumnRenamed("lang", "l")), F.col("lang") == F.col("l"))  # a row for each language
+    some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000.0 * sample_docs) / F.col("of")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[np.ndarray]] = {}
@@ -146,13 +146,14 @@ def fit(docs: DataFrame, sample_docs: int = 1500, max_grams: int = 200_000, min_
             grams, found = np.unique(np.concatenate(sets), return_counts=True)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * (len(grams) + 1)), "gram": pa.array(np.append(grams.view(np.int64), 0)), "n": pa.array(np.append(found, 0)), "docs": pa.array(np.append(np.zeros(len(grams), np.int64), n[lang]))})
 
-    sampled = docs.where(keep).mapInArrow(count, "lang string, gram long, n long, docs long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    rows = sampled.where((F.col("n") >= min_docs) | (F.col("docs") > 0)).toPandas()
+    sampled = some.mapInArrow(count, "lang string, gram long, n long, docs long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    few = [lang for lang in langs if counts[lang] < min_docs]
+    rows = sampled.where((F.col("n") >= min_docs) | (F.col("docs") > 0) | F.col("lang").isin(few)).toPandas()
     totals = {lang: float(rows.docs[rows.lang == lang].sum()) for lang in langs}
-    rows = rows[rows.n >= min_docs].assign(share=lambda x: x.n / x.lang.map(totals).clip(lower=1))
+    rows = rows[(rows.n >= min_docs) | (rows.n > 0) & rows.lang.isin(few)].assign(share=lambda x: x.n / x.lang.map(totals).clip(lower=1))
     top = rows.groupby("gram").share.transform("max")
     rows = rows[rows.share >= least_share * top].sort_values("share", ascending=False, kind="stable")
-    return LanguageFilters.build(langs, {lang: rows.gram[rows.lang == lang].to_numpy()[:max_grams].view(np.uint64) for lang in langs})
+    return LanguageFilters.build(langs, {lang: rows.gram[rows.lang == lang].to_numpy().view(np.uint64) for lang in langs})
 
 
 def predict(docs: DataFrame, filters: LanguageFilters, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -166,6 +167,7 @@ def predict(docs: DataFrame, filters: LanguageFilters, id_column: str = "doc_id"
     model = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.own("language")
         found = model.value
         for batch in batches:
             out = [found.predict(t) for t in common.texts(batch)]

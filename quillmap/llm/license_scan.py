@@ -125,22 +125,28 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB, by plain comparison of every line with every notice."""
-    word = WORD
+    """The same in DuckDB, by plain comparison of every block with every notice."""
+    word, says = WORD, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     phrases = ", ".join(f"({i}, '{p}', '{label}')" for i, (p, label) in enumerate(PHRASES.items()))
     templates = ", ".join(f"({i}, '{label}', '{t}')" for i, (label, t) in enumerate(NOTICES))
     low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+    more = [f"goes[i + {k}]" for k in range(2, RUN + 1)]
+    run = f"CASE WHEN NOT short[i + 1] THEN 1 {' '.join(f'WHEN NOT coalesce({m}, false) THEN {k + 1}' for k, m in enumerate(more))} ELSE {RUN} END"
     return f"""
 WITH docs AS (SELECT doc_id, {low} AS low, regexp_extract_all({low}, '{word}') AS w FROM documents),
 phrases(k, phrase, label) AS (VALUES {phrases}),
 hits AS (
-  SELECT d.doc_id, p.label, i FROM (SELECT doc_id, w FROM docs WHERE regexp_matches(low, 'gnu|apache|cc|mit')) d, phrases p, unnest(range(len(w))) AS u(i)
+  SELECT d.doc_id, p.label, i FROM docs d, phrases p, unnest(range(len(w))) AS u(i)
   WHERE w[i + 1] = split_part(phrase, ' ', 1) AND array_to_string(w[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hits GROUP BY doc_id),
 templates(k, label, t) AS (VALUES {templates}),
 sets AS (SELECT k, label, list_distinct(string_split(t, ' ')) AS s FROM templates),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS b FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM docs) WHERE regexp_matches(line, 'licen|permi|file|software|code|forms')),
-met AS (SELECT doc_id, label, len(list_intersect(b, s)) / len(s)::DOUBLE AS c FROM lines, sets WHERE len(list_intersect(b, s)) >= ceil({THRESHOLD} * len(s) - 1e-9)),
+vocabulary AS (SELECT list_distinct(flatten(list(s))) AS v FROM sets),
+lines AS (SELECT doc_id, string_split(low, chr(10)) AS l FROM docs),
+wrapped AS (SELECT doc_id, l, list_transform(l, lambda x: len(x) <= {WIDTH}) AS short, list_transform(l, lambda x: len(x) <= {WIDTH} AND regexp_matches(x, '{says}')) AS goes FROM lines),
+blocks AS (SELECT doc_id, array_to_string(l[i + 1 : i + {run}], ' ') AS block FROM wrapped, unnest(range(len(l))) AS u(i)),
+held AS (SELECT doc_id, list_intersect(list_distinct(regexp_extract_all(block, '{word}')), v) AS b FROM blocks, vocabulary),
+met AS (SELECT doc_id, label, len(list_intersect(b, s)) / len(s)::DOUBLE AS c FROM held, sets WHERE len(list_intersect(b, s)) >= ceil({THRESHOLD} * len(s) - 1e-9)),
 own AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM met GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word,
   coalesce(b.labels, '') AS base_labels,

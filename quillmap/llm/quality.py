@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -23,6 +23,8 @@ from .toxicity import logistic
 OWN = ("bias", "words", "word_length", "symbols", "pipes", "capitals", "distinct", "seen", "ends", "titles", "digits", "markup", "short", "runs", "small_words")
 NEAR = tuple(OWN.index(x) for x in ("symbols", "pipes", "capitals", "distinct", "seen", "ends", "short"))
 WIDTH = len(OWN) + 2 * len(NEAR)
+#: Lines of a chain that is learned at once.
+RUN = 256
 
 
 def line_features(lines: list[str]) -> np.ndarray:
@@ -138,39 +140,53 @@ def _train(x: list[np.ndarray], y: list[np.ndarray], rounds: int = 150, ridge: f
     return Field(w, moves)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_lines: int = 200) -> Field:
+def _sample(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(text, y) of the sampled documents, whole, as many as have about `most` lines together, in a fixed pseudo-random order.
+
+    A document of more lines than that has no place in the sample.
+    """
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    lines = rows.groupBy("doc_id").agg(F.sum(F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).alias("n")).where(F.col("n") <= most)
+    before = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = lines.withColumn("before", before).where(F.col("before") <= most).select(F.col("doc_id").alias("chosen"))  # a row for each sampled document
+    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"), "left_semi").select("text", "y")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_lines: int = 200_000) -> Field:
     """A field from labelled rows whose crc32 of the id leaves a remainder by 5.
 
-    About `sample_docs` labelled documents are read, `sample_lines` lines of each at most
-    (the bounds of the sample). Lines take their document's label; then, once, lines of
+    About `sample_docs` labelled documents are read, whole, and as many of them as have
+    `sample_lines` lines together (the bounds of the sample). Lines take their document's label; then, once, lines of
     bad documents that the field takes for good are learned as good, unless all would be.
+    Long documents are learned in runs of RUN lines, whose features see the lines around;
+    the calibration takes whole documents.
     """
     ids = common.labelled_ids(labels, "quality", 5, 0, sample_docs)
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, n, size = [], [], []
+            x, size = [], []
             for text in common.texts(batch):
-                lines = text.split("\n")[:sample_lines]
+                lines = text.split("\n")
                 x.append(line_features(lines).astype(np.float32).ravel())
-                n.append(len(lines))
                 size.append(np.array([len(s) + 1 for s in lines], np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), pa.array(size, pa.list_(pa.float32())), batch.column("y")], ["x", "size", "y"])
 
-    part = rows.mapInArrow(extract, "x array<float>, size array<float>, y int").toPandas()
+    part = _sample(docs, ids, sample_lines).mapInArrow(extract, "x array<float>, size array<float>, y int").toPandas()
     if part.y.nunique() < 2:
         return Field(np.zeros(WIDTH), np.zeros((2, 2)), (0.0, 0.0))
-    x = [np.asarray(v, float).reshape(-1, WIDTH) for v in part.x]
-    y = [np.full(len(v), k) for v, k in zip(x, part.y)]
+    whole = [np.asarray(v, float).reshape(-1, WIDTH) for v in part.x]
+    runs = [(v[a : a + RUN], k) for v, k in zip(whole, part.y) for a in range(0, len(v), RUN)]
+    x, kinds = [v for v, _ in runs], [k for _, k in runs]
+    y = [np.full(len(v), k) for v, k in runs]
     field = _train(x, y)
-    for i, k in enumerate(part.y):
+    for i, k in enumerate(kinds):
         if not k:
             good = (x[i] @ field.weights) > 1.0
             if good.any() and not good.all():
                 y[i] = good.astype(int)
     field = _train(x, y)
-    means = [np.average(_chain(field, v), weights=s) for v, s in zip(x, part["size"])]
+    means = [np.average(_chain(field, v), weights=s) for v, s in zip(whole, part["size"])]
     field.curve = tuple(logistic(np.array([[_logit(p)] for p in means]), part.y.to_numpy(float), ridge=0.5))
     return field
 
@@ -196,6 +212,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.own("quality")
         for batch in batches:
             whole = common.texts(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shared.value.score(t) for t in whole], pa.float64()), pa.array([t.count("\n") + 1 for t in whole], pa.int64())], ["doc_id", "score", "n_lines"])
@@ -204,10 +221,15 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def lines(docs: DataFrame, field: Field) -> DataFrame:
-    """(doc_id, line, p_good, text) of every line of docs."""
+    """(doc_id, line, p_good, text) of every line of docs(doc_id, text), lines numbered from 0.
+
+    A null or empty text is one blank line. Null ids stay null, repeated rows give their
+    lines each time, other columns are not read; an empty table gives no row.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.own("quality")
         for batch in batches:
             for i, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch)):
                 parts = text.split("\n")

@@ -58,7 +58,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.curriculum(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
@@ -72,18 +72,21 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100
 FROM (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS digest, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)"""
 
 MIXING_SQL = """
-WITH rows AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
-buckets AS (SELECT *, (('0x' || key[1:4])::BIGINT % 1024) AS bucket FROM rows),
+WITH rows AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null ' || md5(coalesce(text, '')))) AS key FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
-weighed AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM sources),
+weighed AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap,
+  (('0x' || substr(md5(coalesce(source, 'null')), 1, 4))::BIGINT % 2001 - 1000) / 1000.0::DOUBLE AS b FROM sources),
 levels AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS want, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS ahead,
   sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS remaining FROM weighed),
 level AS (SELECT (want - ahead) / remaining AS rate FROM levels WHERE cap >= (want - ahead) / remaining * w ORDER BY cap / w LIMIT 1),
-goals AS (SELECT source, source_size, least(cap, coalesce((SELECT rate FROM level) * w, cap)) AS target FROM levels),
-line AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY bucket, key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM buckets)
-SELECT doc_id, size, source_size, target,
-  (size * ((before + size / 2 < target)::INT + (before + size / 2 + source_size < target)::INT))::BIGINT AS taken
-FROM line JOIN goals ON line.source IS NOT DISTINCT FROM goals.source"""
+goals AS (SELECT source, source_size, b, least(cap, coalesce((SELECT rate FROM level) * w, cap)) AS target FROM levels),
+line AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size + size / 2.0::DOUBLE AS x FROM rows),
+copies AS (SELECT doc_id, size, source_size, target, b, x, x + source_size AS y, (x < target)::INT + (x + source_size < target)::INT AS copies FROM line JOIN goals ON line.source IS NOT DISTINCT FROM goals.source),
+placed AS (SELECT *, CASE WHEN x < target THEN CASE WHEN b = 0 THEN x / target ELSE (sqrt((1 - b / 2) * (1 - b / 2) + 2 * b * x / target) - (1 - b / 2)) / b END END AS first_at,
+  CASE WHEN y < target THEN CASE WHEN b = 0 THEN y / target ELSE (sqrt((1 - b / 2) * (1 - b / 2) + 2 * b * y / target) - (1 - b / 2)) / b END END AS second_at FROM copies)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies, first_at, coalesce(second_at, first_at) AS last_at,
+  row_number() OVER (ORDER BY first_at NULLS LAST, doc_id NULLS FIRST, size) AS training_rank
+FROM placed"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,6 +12,7 @@ logistic model over these counts gives the score.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +30,8 @@ ADDRESS = frozenset("you your youre ya du dich dein ihr euch tu toi ton vous vot
 QUOTES = re.compile("[\"«»“”„]")
 SPELT = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "|": "l", "0": "o", "$": "s", "5": "s", "7": "t", "*": ""})
 SPAN = 8
-STATES = 40_000
+#: Pairs of trie node and edits that the states of an automaton hold before they are made anew.
+STATE_PAIRS = 1_000_000
 
 
 def edits(term: str) -> int:
@@ -37,6 +39,15 @@ def edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
 
 
+class State:
+    """A state of the product: its pairs, what a word that ends here matches, and the states that letters lead to."""
+
+    __slots__ = ("pairs", "found", "after")
+
+    def __init__(self, pairs: frozenset, found: tuple[str, int] | None):
+        self.pairs, self.found, self.after = pairs, found, {}
+
+
 class Automaton:
     """The lexicon's trie intersected with its terms' Levenshtein automata.
 
@@ -60,8 +71,21 @@ class Automaton:
                 at = self.next[at][c]
                 self.may[at] = max(self.may[at], may)
             self.ends[at] = term
-        self.states: dict[frozenset, dict[str, frozenset]] = {}
-        self.first = self._closed({0: 0})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.states: dict[frozenset, State] = {}
+        self.held = 0
+        self.first = self._state(self._closed({0: 0}))
+
+    def _state(self, pairs: frozenset) -> State:
+        """The one state of these pairs."""
+        found = self.states.get(pairs)
+        if found is None:
+            ends = [(e, t) for node, e in pairs if (t := self.ends[node]) is not None and e <= edits(t)]
+            found = self.states[pairs] = State(pairs, (min(ends)[1], min(ends)[0]) if ends else None)
+            self.held += len(pairs) + 1
+        return found
 
     def _closed(self, spent: dict[int, int]) -> frozenset:
         """With the nodes that leaving out letters of a term reaches."""
@@ -88,21 +112,17 @@ class Automaton:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term within its edits, ties to the smaller term; None if there is none."""
+        if self.held > STATE_PAIRS:
+            self._forget()
         state = self.first
         for c in word:
-            row = self.states.get(state)
-            if row is None:
-                if len(self.states) >= STATES:
-                    self.states.clear()
-                row = self.states[state] = {}
-            after = row.get(c)
+            after = state.after.get(c)
             if after is None:
-                after = row[c] = self._step(state, c)
-            if not after:
+                after = state.after[c] = self._state(self._step(state.pairs, c))
+            if not after.pairs:
                 return None
             state = after
-        found = [(e, t) for node, e in state if (t := self.ends[node]) is not None and e <= edits(t)]
-        return (min(found)[1], min(found)[0]) if found else None
+        return state.found
 
 
 @dataclass
@@ -138,7 +158,7 @@ def matcher(model: Model) -> common.Cache:
 
 
 def matches(text: str, model: Model) -> list[tuple[int, int, str, int, float]]:
-    """(start, end, term, edits, share of abuse) of every match in a text."""
+    """(start, end, term, edits, share of abuse) of every match in a text, in time that grows with the text alone."""
     find = matcher(model)
     lower = text.lower()
     words = WORD.findall(lower)
@@ -148,15 +168,15 @@ def matches(text: str, model: Model) -> list[tuple[int, int, str, int, float]]:
     spans = [m.span() for m in WORD.finditer(lower)]
     marks = [m.start() for m in QUOTES.finditer(lower)]
     out = []
-    for i in hits:
+    for k, i in enumerate(hits):
         term, e = find[words[i]]
         a, b = spans[i]
         lo, hi = spans[max(0, i - SPAN)][0], spans[min(len(spans) - 1, i + SPAN)][1]
-        before = sum(lo <= m < a for m in marks)
-        after = sum(b <= m < hi for m in marks)
+        within = lambda x, y: bisect_left(marks, x) < bisect_left(marks, y)
         near = words[max(0, i - SPAN) : i + SPAN + 1]
-        quote = 1.5 * (before > 0 and after > 0) + 1.0 * any(w in REPORTS for w in near)
-        abuse = 1.0 + 0.7 * any(w in ADDRESS for w in near) + 0.5 * ("!" in lower[b : b + 2]) + 0.5 * (sum(lo <= spans[j][0] < hi for j in hits if abs(j - i) <= SPAN) > 1)
+        others = k > 0 and i - hits[k - 1] <= SPAN or k + 1 < len(hits) and hits[k + 1] - i <= SPAN
+        quote = 1.5 * (within(lo, a) and within(b, hi)) + 1.0 * any(w in REPORTS for w in near)
+        abuse = 1.0 + 0.7 * any(w in ADDRESS for w in near) + 0.5 * ("!" in lower[b : b + 2]) + 0.5 * others
         out.append((a, b, term, e, abuse / (abuse + quote)))
     return out
 
@@ -189,13 +209,13 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.05
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 10_000, max_terms: int = 20_000, least_odds: float = 12.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 10_000, least_odds: float = 12.0) -> Model:
     """A model from labelled rows whose crc32 of the id leaves no remainder 1 by 3.
 
     About `sample_docs` labelled documents are read (the bound of the sample). The
-    lexicon holds words whose odds in toxic documents, three of them at least, are
-    `least_odds` times those elsewhere, `max_terms` of them at most. Ordinary words of
-    two clean documents never count as misspellings. The weights are fitted on one half
+    lexicon holds all words whose odds in toxic documents, three of them at least, are
+    `least_odds` times those elsewhere: a third of the words of the sample's toxic
+    documents at most. Ordinary words of two clean documents never count as misspellings. The weights are fitted on one half
     of the sample with words learned from the other, so that words never seen before
     count as they will in use; the words of the final model come from both halves.
     """
@@ -216,8 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 10_000, max_terms
     total = words.where("word = ''").first()
     if total is None:
         return Model({})
-    first = _lexicon(words, total, ("clean0",), ("toxic0",), max_terms, least_odds)
-    final = _lexicon(words, total, ("clean0", "clean1"), ("toxic0", "toxic1"), max_terms, least_odds)
+    first = _lexicon(words, total, ("clean0",), ("toxic0",), least_odds)
+    final = _lexicon(words, total, ("clean0", "clean1"), ("toxic0", "toxic1"), least_odds)
     if not first.terms:
         return final
     shared = spark.sparkContext.broadcast(first)
@@ -235,14 +255,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 10_000, max_terms
 COUNTS = ("clean0", "toxic0", "clean1", "toxic1")
 
 
-def _lexicon(words: DataFrame, total, clean: tuple[str, ...], toxic: tuple[str, ...], max_terms: int, least_odds: float) -> Model:
+def _lexicon(words: DataFrame, total, clean: tuple[str, ...], toxic: tuple[str, ...], least_odds: float) -> Model:
     n_clean, n_toxic = sum(total[c] for c in clean), sum(total[c] for c in toxic)
     if not n_clean or not n_toxic:
         return Model({})
     in_clean, in_toxic = sum((F.col(c) for c in clean[1:]), F.col(clean[0])), sum((F.col(c) for c in toxic[1:]), F.col(toxic[0]))
     odds = ((in_toxic + 0.2) / n_toxic) / ((in_clean + 0.2) / n_clean)
     found = words.where(F.length("word") >= 3)
-    top = found.where((in_toxic >= 3) & (odds >= least_odds)).select("word", F.log(odds).alias("odds")).orderBy(F.desc("odds"), "word").limit(max_terms).collect()
+    top = found.where((in_toxic >= 3) & (odds >= least_odds)).select("word", F.log(odds).alias("odds")).collect()
     model = Model({r["word"]: float(min(4.0, r["odds"])) for r in top})
     return Model(model.terms, frozenset(_near(found.where(in_clean >= 2), model))) if top else model
 
@@ -288,7 +308,12 @@ def detect(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns, whose score stays under the threshold; nothing is shuffled."""
+    """The rows of docs, all columns, whose score stays under the threshold; nothing is shuffled.
+
+    Null and empty texts have no match and the score of a text without one; repeated rows
+    stay or go together, null ids are as good as others, and columns may have any name. An
+    empty table gives no row. Without toxic labels to learn from every row stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,11 +4,17 @@ The reader's tasks own byte ranges. A task looks for gzip magic in its range,
 decompresses the start of each candidate and takes it for a record only if a WARC
 header comes out; it then reads the records that start inside its range, the last one
 beyond the end if need be. A range that starts inside a record skips to the next.
+
+Records must follow each other without a gap: behind its last record a task looks at
+the start of the next one, also where another task owns it, so that a damaged or cut
+record is an error and never a missing row. Files that aren't compressed have nothing
+to find a record by and are read by one task each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,20 +30,25 @@ MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 32 << 20
 BLOCK = 1 << 20
 LEAST_PAYLOAD = 100
+#: Stored bytes of repeated digests that are broadcast.
+SMALL_BYTES = 16 << 20
 SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_offset long, file string"
 
 
 def plan_records(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     """pages with digest, record_type and refers_to; of equal payloads the smallest page_id responds.
 
-    Only digest, id and length are grouped, with partial sums, and only digests that
-    repeat are joined back. A null id is never referred to and, where an id exists for
-    its payload, revisits it. Rows that repeat the smallest id are responses too.
+    Only digest, id and length are grouped, with partial sums. The digests that repeat are
+    stored; up to SMALL_BYTES of them go to every task, so that no page is shuffled, and
+    beyond that both sides are joined by digest. A null id is never referred to and, where
+    an id exists for its payload, revisits it. Rows that repeat the smallest id are
+    responses too.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     first = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1 and first is not null").select(F.col("digest").alias("d"), "first")
-    both = rows.join(first, F.col("digest") == F.col("d"), "left")
+    first = common.written(first, "digests")
+    both = rows.join(F.broadcast(first) if common.plan_bytes(first) <= SMALL_BYTES else first, F.col("digest") == F.col("d"), "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return both.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "digest", F.col("n").cast("long").alias("n"), refers.alias("refers_to"))
 
@@ -89,32 +100,41 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def splits(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(uri, lo, hi) of the ranges of all archives in a folder."""
+    """(uri, lo, hi) of the ranges of all archives in a folder; a file that isn't compressed is one range."""
     store, root = common.open_fs(folder)
     found = [f for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.path.endswith((".warc.gz", ".warc"))]
-    ranges = [(f"{folder}/{f.base_name}", lo, min(f.size, lo + split_bytes)) for f in sorted(found, key=lambda f: f.path) for lo in range(0, f.size, split_bytes)]
+    step = lambda f: split_bytes if f.path.endswith(".gz") else max(1, f.size)
+    ranges = [(f"{folder}/{f.base_name}", lo, min(f.size, lo + step(f))) for f in sorted(found, key=lambda f: f.path) for lo in range(0, f.size, step(f))]
     frame = spark.createDataFrame(ranges, "uri string, lo long, hi long")
     return frame.repartition(max(1, len(ranges)), "uri", "lo")
 
 
 def read_range(uri: str, lo: int, hi: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the records of a file that start in [lo, hi)."""
+    """(offset, content) of the records of a file that start in [lo, hi); an error if one is damaged or cut, or if records leave a gap."""
     store, path = common.open_fs(uri)
     with store.open_input_file(path) as file:
         size = file.size()
-        at = lo
-        while at < hi:
-            at = _next_magic(file, at, min(hi, size))
-            if at is None:
-                return
-            content, after = _member(file, at, size)
+        member = _member if path.endswith(".gz") else _plain
+        at = lo if lo == 0 else _first(file, lo, min(hi, size), size)
+        while at is not None and at < size:
+            content, after = member(file, at, size, at >= hi)
             if content is None:
-                at += 1
-                continue
+                raise ValueError(f"{uri}: no whole record at {at}")
+            if at >= hi:
+                return
             yield at, content
             at = after
 
 
+def _first(file, at: int, hi: int, size: int) -> int | None:
+    """Offset of the first record that starts in [at, hi)."""
+    while (at := _next_magic(file, at, hi)) is not None:
+        if _member(file, at, size, True)[0] is not None:
+            return at
+        at += 1
+    return None
+
+
 def _next_magic(file, at: int, hi: int) -> int | None:
     while at < hi:
         file.seek(at)
@@ -126,8 +146,8 @@ def _next_magic(file, at: int, hi: int) -> int | None:
     return None
 
 
-def _member(file, at: int, size: int) -> tuple[bytes | None, int]:
-    """Content and end of the gzip member at an offset; None if no record starts there."""
+def _member(file, at: int, size: int, start: bool = False) -> tuple[bytes | None, int]:
+    """Content and end of the gzip member at an offset, of its start only if that is asked; None if no record stands there whole."""
     file.seek(at)
     unpack, out, seen, read = zlib.decompressobj(31), [], 0, 0
     try:
@@ -138,6 +158,8 @@ def _member(file, at: int, size: int) -> tuple[bytes | None, int]:
             seen += len(out[-1])
             if seen >= 5 and b"".join(out[:2])[:5] != b"WARC/":
                 return None, at
+            if seen >= 5 and start:
+                return b"WARC/", at
     except zlib.error:
         return None, at
     if not unpack.eof or seen < 5:
@@ -146,6 +168,22 @@ def _member(file, at: int, size: int) -> tuple[bytes | None, int]:
     return (content, at + read - len(unpack.unused_data)) if content[:5] == b"WARC/" else (None, at)
 
 
+def _plain(file, at: int, size: int, start: bool = False) -> tuple[bytes | None, int]:
+    """Content and end of the record at an offset of a file that isn't compressed; None if none stands there whole."""
+    file.seek(at)
+    head = b""
+    while b"\r\n\r\n" not in head and len(head) < BLOCK and (data := file.read(64 << 10)):
+        head += data
+    end = head.find(b"\r\n\r\n")
+    length = re.search(rb"\r\ncontent-length:\s*(\d+)\s*(?:\r\n|$)", head[: max(0, end)], re.I)
+    if head[:5] != b"WARC/" or not length:
+        return None, at
+    after = at + end + 4 + int(length[1]) + 4
+    file.seek(at)
+    content = file.read(after - at)
+    return (content, after) if content[-4:] == b"\r\n\r\n" and len(content) == after - at else (None, at)
+
+
 def parse(content: bytes) -> dict:
     """Fields of a record; the payload is digested anew for responses, a revisit names it in its headers."""
     head, _, rest = content.partition(b"\r\n\r\n")
@@ -167,7 +205,11 @@ def parse(content: bytes) -> dict:
 
 
 def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Every record of the archives in a folder, by byte ranges."""
+    """Every record of the archives in a folder, by byte ranges.
+
+    An empty folder gives no row; a record without a page id has a null one. A record that
+    is damaged, cut or does not match its digest fails the job.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
