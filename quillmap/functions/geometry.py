@@ -42,9 +42,9 @@ def placed_radius(ident: Column, birth: Column, death: Column) -> Column:
     return reflect(era_radius(death) + JITTER * noise.normal(ident, "radius") + SCATTER * noise.normal(ident, "scatter") * uncertainty(birth, death))
 
 
-def base_angle(ident: Column, lon: Column) -> Column:
-    """The longitude on the circle; without one a fixed place by id."""
-    return F.coalesce((lon + 180) / 360 * TAU, noise.uniform(ident, "residue") * TAU)
+def base_angle(lon: Column, turn: Column) -> Column:
+    """The longitude on the circle; without one a share of it."""
+    return F.coalesce((lon + 180) / 360 * TAU, turn * TAU)
 
 
 def wrap(angle: Column) -> Column:
@@ -66,6 +66,17 @@ def smootherstep(t: Column) -> Column:
     return t * t * t * (t * (t * 6 - 15) + 10)
 
 
+def decade(year: Column) -> Column:
+    """A year rounded half up to ten, for display."""
+    return (F.floor(year / 10 + 0.5) * 10).cast("int")
+
+
+def bearing(dx: Column, dz: Column, facing: Column, half_span: float) -> Column:
+    """Place from 0 to 1 on a compass of `half_span` to either side, 0.5 ahead; what lies behind goes to an edge."""
+    turn = F.atan2(dx, dz) - facing
+    return 0.5 - 0.5 * clip(F.atan2(F.sin(turn), F.cos(turn)) / half_span, -1.0, 1.0)
+
+
 def hue_arc(a: Column, b: Column) -> Column:
     """Shortest signed turn from a to b in turns."""
     return F.pmod(b - a + 0.5, F.lit(1.0)) - 0.5
@@ -79,9 +90,35 @@ def ring(radius: Column, most: Column, n: int = 14) -> Column:
     return clip(F.floor(radius / F.when(most > 0, most).otherwise(1.0) * n), 0, n - 1).cast("int")
 
 
-def hash32(x: Column, multiplier: int = 2654435761) -> Column:
-    """An integer hash in [0, 1): 32-bit products of 16-bit halves, so that no long overflows."""
-    lo, hi = x.bitwiseAND(65535), F.pmod(F.shiftrightunsigned(x, 16), F.lit(65536))
-    h = F.pmod(lo * multiplier + F.pmod(hi * multiplier, F.lit(65536)) * 65536, F.lit(1 << 32))
-    h = h.bitwiseXOR(F.shiftrightunsigned(h, 15))
-    return F.pmod(h, F.lit(1 << 32)) / float(1 << 32)
+def imul(a: Column, b: Column | int) -> Column:
+    """The low 32 bits of a product of 32-bit numbers held in longs, by 16-bit halves, so that no long overflows."""
+    b = F.lit(b).cast("long") if isinstance(b, int) else b
+    high = F.pmod(F.shiftrightunsigned(a, 16) * b.bitwiseAND(65535) + a.bitwiseAND(65535) * F.shiftrightunsigned(b, 16), F.lit(65536))
+    return F.pmod(high * 65536 + a.bitwiseAND(65535) * b.bitwiseAND(65535), F.lit(1 << 32))
+
+
+def _word(x: Column) -> Column:
+    return F.pmod(x.cast("long"), F.lit(1 << 32))
+
+
+#: Multipliers and the mask of the two hashes of a row's number.
+NEAR_HASH, FAR_HASH, FAR_MASK = 2654435761, 2246822519, 0x9E3779B9
+
+
+def near_hash(i: Column) -> Column:
+    """A hash of a row's number in [0, 1)."""
+    return imul(_word(i), NEAR_HASH) / float(1 << 32)
+
+
+def far_hash(i: Column) -> Column:
+    """Another one."""
+    return imul(_word(i).bitwiseXOR(F.lit(FAR_MASK).cast("long")), FAR_HASH) / float(1 << 32)
+
+
+def mulberry(seed: Column, n: Column) -> Column:
+    """The n-th number in [0, 1), from 1, of the mulberry32 generator of a seed; its state moves by a fixed step, so any number is at hand."""
+    a = _word(_word(seed) + imul(_word(n), 0x6D2B79F5))
+    one = lambda x: x.bitwiseOR(F.lit(1).cast("long"))
+    t = imul(a.bitwiseXOR(F.shiftrightunsigned(a, 15)), one(a))
+    t = _word(t + imul(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61).cast("long")))).bitwiseXOR(t)
+    return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / float(1 << 32)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space.
 BLANK = r"(?U)\s+"
+#: Behaviour switches, and where a sentence ends.
+SWITCH, SENTENCE = r"__[A-Z_]+__", r"[.!?]\s+[A-Z]"
 #: Title prefixes of pages that are no articles.
 NAMESPACES = (
     "talk", "user", "user talk", "wikipedia", "wp", "wikipedia talk", "file", "image", "file talk", "mediawiki", "mediawiki talk", "template", "template talk", "help", "help talk",
@@ -17,8 +19,8 @@ TIDY = ((r"\(\s*[;,:\s]+", "("), (r"[;,:\s]+\)", ")"), (r"\(\s*\)", ""), (r"\s+(
 
 
 def word_count(text: Column) -> Column:
-    """Words between Unicode white space; 0 for null and empty."""
-    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), ""))
+    """Words between Unicode white space; 0 for empty, null for null."""
+    return F.when(text.isNotNull(), F.size(F.array_remove(F.split(text, BLANK), "")))
 
 
 def squeeze(text: Column) -> Column:
@@ -26,13 +28,13 @@ def squeeze(text: Column) -> Column:
 
 
 def clean_lead(text: Column) -> Column:
-    """Without behaviour switches such as __TOC__, white space squeezed."""
-    return squeeze(F.regexp_replace(F.coalesce(text, F.lit("")), r"__[A-Z_]+__", ""))
+    """Without behaviour switches such as __TOC__, white space squeezed; null stays null."""
+    return squeeze(F.regexp_replace(text, SWITCH, ""))
 
 
 def sentence_count(text: Column) -> Column:
-    """One more than sentence ends followed by a capital; 0 for a blank text."""
-    return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, 0).otherwise(1 + F.regexp_count(text, F.lit(r"[.!?]\s+[A-Z]")))
+    """One more than sentence ends followed by a capital; 0 for a blank text, null for null."""
+    return F.when(squeeze(text) == "", 0).when(text.isNotNull(), 1 + F.regexp_count(text, F.lit(SENTENCE)))
 
 
 def tidy_lead(text: Column) -> Column:
@@ -83,6 +85,24 @@ def life_span(birth: Column, death: Column) -> Column:
     return F.when(birth.isNotNull() & death.isNotNull(), F.when(birth == death, d).otherwise(F.concat(b, F.lit(" – "), d))).when(death.isNotNull(), F.concat(F.lit("d. "), d)).when(birth.isNotNull(), F.concat(F.lit("b. "), b)).otherwise("")
 
 
+def era_label(year: Column, now: int = 2000) -> Column:
+    """An era on a compass: about which year, or the present."""
+    return F.when(year >= now, "the present").when(year < 0, F.concat(F.lit("c."), (-year).cast("string"), F.lit(" BCE"))).otherwise(F.concat(F.lit("c."), year.cast("string")))
+
+
+def figure_era(birth: Column, death: Column) -> Column:
+    """The same of a death year, else a birth year, with no present; empty without both."""
+    year = F.coalesce(death, birth)
+    return F.when(year.isNull(), "").when(year < 0, F.concat(F.lit("c."), (-year).cast("string"), F.lit(" BCE"))).otherwise(F.concat(F.lit("c."), year.cast("string")))
+
+
+def unescape_html(text: Column) -> Column:
+    """The inverse of escape_html."""
+    for a, b in (("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
 def escape_html(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))

@@ -16,11 +16,18 @@ def members(anchors: DataFrame, figures: DataFrame) -> DataFrame:
 
 
 def summarize(members: DataFrame) -> DataFrame:
-    """A monument for each label: centroid, seat (most sitelinks, the first on ties), median death year and its century, members, longitude spread (seam ignored)."""
-    located = members.where(F.col("qid").isNotNull() & F.col("geo_source").isNotNull())
-    return located.groupBy("label").agg(
-        F.avg("x").alias("x"), F.avg("y").alias("y"), F.max_by("name", F.struct(F.col("sitelinks"), -F.col("pos"))).alias("seat_title"), F.median("death_year").alias("mid_year"),
-        F.count("*").cast("int").alias("n_members"), F.coalesce(F.max("country_lon") - F.min("country_lon"), F.lit(0.0)).alias("lon_spread"),
+    """A monument for each label, also one without any located member: centroid, seat (most sitelinks, the first on ties), median death year and its century, members, longitude spread (seam ignored).
+
+    Medians hold the distinct years of a label; a label has as many members as its list names.
+    """
+    here = F.col("qid").isNotNull() & F.col("geo_source").isNotNull()
+    only = lambda c: F.when(here, F.col(c))
+    best = F.struct(F.col("sitelinks"), -F.col("pos"))
+    return members.groupBy("label").agg(
+        F.avg(only("x")).alias("x"), F.avg(only("y")).alias("y"), F.max_by(only("qid"), F.when(here, best)).alias("seat_qid"), F.max_by(only("name"), F.when(here, best)).alias("seat_title"),
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda m: m["name"]).alias("people"),
+        F.transform(F.array_sort(F.collect_list(F.when(here, F.struct("pos", "qid")))), lambda m: m["qid"]).alias("member_qids"), F.median(only("death_year")).alias("mid_year"),
+        F.count_if(here).cast("int").alias("n_members"), F.coalesce(F.max(only("country_lon")) - F.min(only("country_lon")), F.lit(0.0)).alias("lon_spread"),
     ).withColumn("era", century(F.col("mid_year")))
 
 
@@ -30,3 +37,17 @@ def require(monuments: DataFrame, least: int = 2, spread: float = 40.0) -> DataF
     if bad:
         raise ValueError("monuments break the constraint: " + "; ".join(f"{r['label']} ({r['n_members']} members, spread {r['lon_spread']:.1f})" for r in bad))
     return monuments
+
+
+def country_longitudes(places: DataFrame) -> DataFrame:
+    """(country_qid, lon): the mean longitude of a country's places."""
+    known = F.col("country_qid").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lon")
+    return places.where(known).groupBy("country_qid").agg(F.avg("lon").alias("lon"))
+
+
+def monuments(anchors: DataFrame, figures: DataFrame, places: DataFrame, least: int = 2, spread: float = 40.0) -> DataFrame:
+    """The monument table of anchors(label, people): ten columns, spreads rounded to one place; an error if a monument breaks the constraint."""
+    lon = country_longitudes(places).select(F.col("country_qid").alias("of"), F.col("lon").alias("country_lon"))
+    found = members(anchors, figures)
+    rows = require(summarize(found.join(lon, found["country_qid"] == lon["of"], "left").drop("of")), least, spread)
+    return rows.select("label", "x", "y", "seat_qid", "seat_title", "people", "member_qids", "era", "n_members", F.bround("lon_spread", 1).alias("lon_spread"))

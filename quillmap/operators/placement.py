@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import noise
+from ..functions.text import match_phrase
 
 
 def anchor(figures: DataFrame, places: DataFrame) -> DataFrame:
@@ -64,12 +65,46 @@ def tiers(placed: DataFrame, floor: int = 80, sectors: int = 24, rings: int = 14
     return both.withColumn("landmark_tier", tier).drop("s2", "r2", "best")
 
 
-def place(figures: DataFrame) -> DataFrame:
-    """Radius, angle, x, y, tier and scale of figures(row_idx, qid, birth_year, death_year, lon, sitelinks, words)."""
-    q, death = F.col("qid"), F.col("death_year")
-    rows = figures.withColumns({"nr": noise.normal(q, "radius"), "ns": noise.normal(q, "scatter"), "na": noise.normal(q, "angle"), "date_uncertainty": G.uncertainty(F.col("birth_year"), death), "base_angle": G.base_angle(q, F.col("lon"))})
+def place(figures: DataFrame, seed: int = noise.SEED) -> DataFrame:
+    """Radius, angle, x, y and scale of figures(row_idx, qid, birth_year, death_year, lon, sitelinks, words).
+
+    Unknown years count as 2000, unknown sitelinks as 0 and unknown words as 100. A figure
+    without a longitude turns by a hash of its id, or by a column `turn` in [0, 1) if there is one.
+    """
+    q, death = F.col("qid"), F.coalesce("death_year", F.lit(G.NOW))
+    turn = F.col("turn") if "turn" in figures.columns else F.when(F.col("lon").isNull(), noise.residue(q))
+    rows = figures.withColumns({"nr": noise.normal(q, "radius", seed), "ns": noise.normal(q, "scatter", seed), "na": noise.normal(q, "angle", seed), "date_uncertainty": G.uncertainty(F.coalesce("birth_year", F.lit(G.NOW)), death), "base_angle": G.base_angle(F.col("lon"), turn), "sitelinks": F.coalesce("sitelinks", F.lit(0))})
     rows = rows.withColumn("radius", G.era_radius(death) + G.JITTER * F.col("nr") + G.SCATTER * F.col("ns") * F.col("date_uncertainty"))
     rows = rows.withColumn("radius", G.reflect(F.col("radius")))
     rows = rows.withColumn("angle", G.wrap(F.col("base_angle") + F.col("na") * G.ARC / F.greatest("radius", F.lit(G.R_INNER))))
-    rows = rows.withColumns({"x": F.col("radius") * F.cos("angle"), "y": F.col("radius") * F.sin("angle"), "book_scale": G.book_scale(F.col("words"))}).drop("nr", "ns", "na")
-    return tiers(rows)
+    return rows.withColumns({"x": F.col("radius") * F.cos("angle"), "y": F.col("radius") * F.sin("angle"), "book_scale": G.book_scale(F.col("words"))}).drop("nr", "ns", "na", "turn")
+
+
+def aliased(ident: Column, aliases: dict[str, str]) -> Column:
+    """The id that stands for an id; itself where none does."""
+    if not aliases:
+        return ident
+    table = F.create_map(*(F.lit(x) for pair in sorted(aliases.items()) for x in pair))
+    return F.coalesce(F.try_element_at(table, ident), ident)
+
+
+def candidates(figures: DataFrame, gazetteer: dict) -> DataFrame:
+    """figures with `citizen`, the first citizenship, and `region`, the first region that the description names, both aliased."""
+    regions = gazetteer["regions"]
+    named = match_phrase(F.col("description"), list(regions), gazetteer["ignore"])
+    ids = F.create_map(*(F.lit(x) for pair in sorted(regions.items()) for x in pair)) if regions else F.create_map().cast("map<string,string>")
+    return figures.withColumns({"citizen": aliased(F.get("citizenships", F.lit(0)), gazetteer["aliases"]), "region": aliased(F.try_element_at(ids, named), gazetteer["aliases"])})
+
+
+def locate(figures: DataFrame, places: DataFrame, gazetteer: dict) -> DataFrame:
+    """The whole ladder: figures with lon, geo_source and country_qid.
+
+    Longitudes come from birth or death places, else from a compatriot of the first
+    citizenship or of the region that the description names, if its country has
+    `min_pool` located figures; what is left has none.
+    """
+    known = anchor(figures, places)
+    rows = ladder(candidates(known, gazetteer), pools(known, gazetteer["min_pool"])).drop("citizen", "region")
+    asks = rows.where(F.col("lon").isNull() & F.col("geo_source").isin("citizenship", "gazetteer")).select("qid", "country_qid")
+    lent = borrow(asks, known.where(F.col("lon").isNotNull() & F.col("country_qid").isNotNull()).select("qid", "country_qid", "lon")).select(F.col("qid").alias("lent_qid"), F.col("lon").alias("lent"))
+    return rows.join(lent, rows["qid"] == lent["lent_qid"], "left").withColumn("lon", F.coalesce("lon", "lent")).drop("lent_qid", "lent")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import far_hash, near_hash
+
+#: How far an eye picks, and how far to the side.
+POINT_REACH, MONUMENT_REACH = (6.0, 0.45), (16.0, 1.7)
 
 def cell(x: Column, edge: float) -> Column:
     """Grid cell of a coordinate; never null, so that a join on cells pushes no test of the coordinate's whole expression below. Null points meet nothing: their distances are null."""
@@ -59,6 +63,56 @@ def nearest_in_cylinder(points: DataFrame, eyes: DataFrame, reach: float, width:
     return hit.groupBy("eye").agg(F.min(F.struct("d2", ident)).alias("m")).select("eye", F.col(f"m.{ident}").alias(ident), F.sqrt("m.d2").alias("d"))
 
 
+def pick(points: DataFrame, monuments: DataFrame, eyes: DataFrame, ident: str = "id") -> DataFrame:
+    """(eye, kind, id, d): what an eye looks at: the nearest of points (within 6, 0.45 to the side) and monuments (within 16, 1.7 to the side)."""
+    found = [nearest_in_cylinder(rows, eyes, reach, side, ident).select("eye", F.lit(kind).alias("kind"), F.col(ident).cast("string").alias("id"), "d") for kind, rows, reach, side in (("point", points, *POINT_REACH), ("monument", monuments, *MONUMENT_REACH))]
+    best = found[0].union(found[1]).groupBy("eye").agg(F.min(F.struct("d", F.col("kind") == "monument", "kind", "id")).alias("m"))
+    return best.select("eye", "m.kind", "m.id", "m.d")
+
+
+def detail_tiers(points: DataFrame, x: float, y: float, radii: tuple[float, float] = (30.0, 100.0), spreads: tuple[float, float] = (12.0, 0.0), caps: tuple[int, int] = (6_000, 54_000), edge: float = 32.0, ident: str = "id") -> DataFrame:
+    """(id, tier, d2) of the points(id, x, y) drawn near (tier 0) or middling (tier 1) from an eye.
+
+    A point is near within the first radius, middling within the second, both spread by
+    a hash of its id. Places go by rings of grid cells around the eye, in a ring along
+    its rows, then its sides, in a cell by id; what the near cap leaves out may be
+    middling, and what the second cap leaves out is drawn by neither. Only rows within the
+    largest radius are sorted, and no more than the caps come out.
+    """
+    far = radii[1] + spreads[1] / 2
+    lo = points.agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
+    rows = points.select(F.col(ident).alias("id"), "x", "y").withColumn("d2", (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)).where(F.col("d2") <= far * far)
+    rows = rows.crossJoin(F.broadcast(lo))  # one row
+    gx, gy = (F.floor((F.col(c) - F.col(f"{c}0")) / edge) - F.floor((F.lit(v) - F.col(f"{c}0")) / edge) for c, v in (("x", x), ("y", y)))
+    rows = rows.withColumns({"gx": gx, "gy": gy}).withColumn("ring", F.greatest(F.abs("gx"), F.abs("gy")))
+    rim = F.abs("gy") == F.col("ring")
+    rows = rows.withColumns({"side": F.when(rim, 0).otherwise(1), "along": F.when(rim, F.col("gx")).otherwise(F.col("gy")), "end": F.when(rim, F.col("gy") > 0).otherwise(F.col("gx") > 0)})
+    within = lambda radius, spread, h: F.col("d2") < F.pow(radius + (h - 0.5) * spread, F.lit(2.0))
+    walk = ("ring", "side", "along", "end", "id")
+    near = rows.where(within(radii[0], spreads[0], near_hash(F.col("id")))).orderBy(*walk).limit(caps[0])
+    rest = rows.where(within(radii[1], spreads[1], far_hash(F.col("id")))).join(F.broadcast(near.select(F.col("id").alias("taken"))), F.col("id") == F.col("taken"), "left_anti")  # the near cap bounds it
+    return near.select("id", F.lit(0).alias("tier"), "d2").union(rest.orderBy(*walk).limit(caps[1]).select("id", F.lit(1).alias("tier"), "d2"))
+
+
+def chord_height(points: DataFrame, raster: DataFrame, ident: str = "id") -> DataFrame:
+    """(id, h) at points(row, col) over raster(i, j, h): the plane of the half of a cell, parted along its rising diagonal, that holds the point."""
+    i, j = F.floor("row").cast("int"), F.floor("col").cast("int")
+    fr, fc = F.col("row") - i, F.col("col") - j
+    low = fc <= fr
+    corner = lambda di, dj, w: F.struct((i + di).alias("i"), (j + dj).alias("j"), w.alias("w"))
+    four = F.array(corner(0, 0, F.when(low, 1 - fr).otherwise(1 - fc)), corner(1, 0, F.when(low, fr - fc).otherwise(0.0)), corner(0, 1, F.when(low, 0.0).otherwise(fc - fr)), corner(1, 1, F.when(low, fc).otherwise(fr)))
+    asks = points.select(ident, F.explode(four).alias("k")).select(ident, "k.i", "k.j", "k.w").where("w <> 0")
+    return asks.join(raster, ["i", "j"]).groupBy(ident).agg(F.sum(F.col("w") * F.col("h")).alias("h"))
+
+
+def facet_height(points: DataFrame, triangles: DataFrame, raster: DataFrame, edge: float, ident: str = "id") -> DataFrame:
+    """(id, h) of every point(x, y, row, col): on a triangle that holds it, its own cell's before a neighbour's, else on the flat chord of its cell; triangles have gi, gj, the cell they belong to."""
+    on = triangle_height(points, triangles, edge, ident).withColumnRenamed("h", "drawn").withColumnRenamed(ident, "on")
+    flat = chord_height(points, raster, ident).withColumnRenamed("h", "flat").withColumnRenamed(ident, "under")
+    both = points.select(ident).join(on, F.col(ident) == F.col("on"), "left").join(flat, F.col(ident) == F.col("under"), "left")
+    return both.select(ident, F.coalesce("drawn", "flat").alias("h"))
+
+
 def bilinear(points: DataFrame, raster: DataFrame, res: int, ident: str = "id") -> DataFrame:
     """(id, h): raster(i, j, h) at points(row, col), clamped at the edges, from four cells by an equi-join."""
     r, c = F.least(F.greatest(F.col("row"), F.lit(0.0)), F.lit(res - 1.0)), F.least(F.greatest(F.col("col"), F.lit(0.0)), F.lit(res - 1.0))
@@ -71,7 +125,7 @@ def bilinear(points: DataFrame, raster: DataFrame, res: int, ident: str = "id")
 
 
 def triangle_height(points: DataFrame, triangles: DataFrame, edge: float, ident: str = "id") -> DataFrame:
-    """(id, h) of points over triangles(x1, y1, h1, ... h3), one row a point: barycentric, by a join on cells of `edge`."""
+    """(id, h) of points over triangles(x1, y1, h1, ... h3), one row a point: barycentric, by a join on cells of `edge`; with gi, gj, triangles of the point's own cell come first, and the higher of equal claims."""
     lo = lambda k: F.least(*(F.col(f"{k}{v}") for v in (1, 2, 3)))
     hi = lambda k: F.greatest(*(F.col(f"{k}{v}") for v in (1, 2, 3)))
     span = lambda k: F.sequence(cell(lo(k), edge), cell(hi(k), edge))
@@ -80,4 +134,6 @@ def triangle_height(points: DataFrame, triangles: DataFrame, edge: float, ident:
     det = "((y2 - y3) * (x1 - x3) + (x3 - x2) * (y1 - y3))"
     met = at.join(tri, ["cx", "cy"]).where(f"{det} <> 0")
     met = met.withColumns({"w1": F.expr(f"((y2 - y3) * (x - x3) + (x3 - x2) * (y - y3)) / {det}"), "w2": F.expr(f"((y3 - y1) * (x - x3) + (x1 - x3) * (y - y3)) / {det}")})
-    return met.where("w1 >= -1e-9 and w2 >= -1e-9 and w1 + w2 <= 1 + 1e-9").groupBy(ident).agg(F.max(F.expr("w1 * h1 + w2 * h2 + (1 - w1 - w2) * h3")).alias("h"))
+    height = F.expr("w1 * h1 + w2 * h2 + (1 - w1 - w2) * h3")
+    own = (F.col("gi") == F.col("cx")) & (F.col("gj") == F.col("cy")) if "gi" in triangles.columns else F.lit(True)
+    return met.where("w1 >= -1e-9 and w2 >= -1e-9 and w1 + w2 <= 1 + 1e-9").groupBy(ident).agg(F.max_by(height, F.struct(own, height)).alias("h"))

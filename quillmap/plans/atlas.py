@@ -13,9 +13,11 @@ from ..functions import claims as C
 from ..functions import geometry as G
 from ..functions import noise
 from ..functions import text as T
-from ..operators import anchors, links, placement, spatial, topology
+from ..operators import anchors, articles, links, placement, spatial, stats, terrain, topology
+from ..sources import dumps, layouts
+from ..sources.storage import shared_folder
 from . import bridge as B
-from .bridge import FIGURES, PLACED, SQL_ERA, SQL_RADIUS, SQL_SCALE, SQL_UNCERTAINTY, TAU, placed, sql_pmod, sql_uniform, table
+from .bridge import FIGURES, PLACED, SQL_ERA, SQL_RADIUS, SQL_SCALE, SQL_UNCERTAINTY, TAU, placed, positions, sql_pmod, sql_uniform, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,12 +82,12 @@ def radius_reflect(spark, d):
 
 @query(f"WITH {PLACED} SELECT qid, round(radius, 4) AS radius, round(angle, 6) AS angle, round(x, 4) AS x, round(y, 4) AS y FROM placed")
 def polar_position(spark, d):
-    return placed(spark, d).select("qid", _r(F.col("radius"), 4).alias("radius"), _r(F.col("angle")).alias("angle"), _r(F.col("x"), 4).alias("x"), _r(F.col("y"), 4).alias("y"))
+    return positions(spark, d).select("qid", _r(F.col("radius"), 4).alias("radius"), _r(F.col("angle")).alias("angle"), _r(F.col("x"), 4).alias("x"), _r(F.col("y"), 4).alias("y"))
 
 
 @query(f"WITH {PLACED} SELECT qid, round(sqrt(x * x + y * y), 4) AS radius, round({sql_pmod('atan2(y, x)', TAU)}, 6) AS angle FROM placed")
 def cartesian_to_polar(spark, d):
-    return placed(spark, d).select("qid", _r(F.hypot("x", "y"), 4).alias("radius"), _r(G.wrap(F.atan2("y", "x"))).alias("angle"))
+    return positions(spark, d).select("qid", _r(F.hypot("x", "y"), 4).alias("radius"), _r(G.wrap(F.atan2("y", "x"))).alias("angle"))
 
 
 @query(f"WITH {FIGURES} SELECT qid, round({SQL_SCALE}, 6) AS scale FROM figures")
@@ -208,17 +210,31 @@ TITLES = [(" :Foo_bar#Baz ",), ("iPhone",), ("#x",), ("",), ("Category:Poets",),
 SQL_TITLE = "trim(translate(CASE WHEN instr({0}, '#') > 0 THEN substr({0}, 1, instr({0}, '#') - 1) ELSE {0} END, '_', ' '))".format("regexp_replace(trim(t), '^:\\s*', '')")
 
 
-@query(f"SELECT t, upper(substr({SQL_TITLE}, 1, 1)) || substr({SQL_TITLE}, 2) AS title FROM (VALUES {_sql_values(TITLES)}) v(t)")
+#: The literal edge cases, and titles cut from names, names of nations, urls and links of all pages.
+ALL_TITLES = (
+    f"(SELECT t FROM (VALUES {_sql_values(TITLES)}) v(t) UNION ALL SELECT ' ' || replace(c_name, '#', '_') || ' #' || c_custkey FROM customer UNION ALL SELECT 'Category:' || n_name FROM nation "
+    "UNION ALL SELECT url FROM pages UNION ALL SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) FROM pages)"
+)
+
+
+def _titles(spark, d):
+    names = table(spark, d, "customer").select(F.concat(F.lit(" "), F.replace("c_name", F.lit("#"), F.lit("_")), F.lit(" #"), F.col("c_custkey")).alias("t"))
+    pages = table(spark, d, "pages")
+    hrefs = pages.select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("t"))
+    return _values(spark, TITLES, "t string").union(names).union(table(spark, d, "nation").select(F.concat(F.lit("Category:"), "n_name"))).union(pages.select("url")).union(hrefs)
+
+
+@query(f"SELECT t, upper(substr({SQL_TITLE}, 1, 1)) || substr({SQL_TITLE}, 2) AS title FROM {ALL_TITLES}")
 def normalize_title(spark, d):
-    return _values(spark, TITLES, "t string").select("t", T.normalize_title(F.col("t")).alias("title"))
+    return _titles(spark, d).select("t", T.normalize_title(F.col("t")).alias("title"))
 
 
-@query(f"SELECT t, instr(t, ':') > 1 AND lower(trim(split_part(t, ':', 1))) IN ({', '.join(repr(n) for n in T.NAMESPACES)}) AS skip FROM (VALUES {_sql_values(TITLES)}) v(t)")
+@query(f"SELECT t, instr(t, ':') > 1 AND lower(trim(split_part(t, ':', 1))) IN ({', '.join(repr(n) for n in T.NAMESPACES)}) AS skip FROM {ALL_TITLES}")
 def skip_namespace(spark, d):
-    return _values(spark, TITLES, "t string").select("t", T.is_skip_namespace(F.col("t")).alias("skip"))
+    return _titles(spark, d).select("t", T.is_skip_namespace(F.col("t")).alias("skip"))
 
 
-WORDS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> ''))::INT"
+WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::INT"
 
 
 @query(f"SELECT doc_id, {WORDS} AS words FROM documents")
@@ -226,12 +242,12 @@ def word_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
 
 
-@query("SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 1 + len(regexp_extract_all(text, '[.!?]\\s+[A-Z]')) END::INT AS sentences FROM documents")
+@query("SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELSE 1 + len(regexp_extract_all(text, '[.!?]\\s+[A-Z]')) END::INT AS sentences FROM documents")
 def sentence_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", T.sentence_count(F.col("text")).alias("sentences"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(coalesce(text, ''), '__[A-Z_]+__', '', 'g'), '\\s+', ' ', 'g'))) AS lead FROM documents")
+@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '__[A-Z_]+__', '', 'g'), '\\s+', ' ', 'g'))) AS lead FROM documents")
 def lead_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.clean_lead(F.col("text"))).alias("lead"))
 
@@ -241,10 +257,11 @@ LEADS = [("Ada ( ; born 1815) was  here .",), ("Bo (1 , ) x",), ("C ( ) d\n\n\n\
 
 @query(
     "SELECT t, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\(\\s*[;,:\\s]+', '(', 'g'), '[;,:\\s]+\\)', ')', 'g'), '\\(\\s*\\)', '', 'g'), '\\s+([,.;:])', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g') AS lead FROM (VALUES "
-    + _sql_values(LEADS) + ") v(t)"
+    + _sql_values(LEADS) + ") v(t) UNION ALL SELECT md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\(\\s*[;,:\\s]+', '(', 'g'), '[;,:\\s]+\\)', ')', 'g'), '\\(\\s*\\)', '', 'g'), '\\s+([,.;:])', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g')), doc_id::VARCHAR FROM documents"
 )
 def lead_tidy(spark, d):
-    return _values(spark, LEADS, "t string").select("t", T.tidy_lead(F.col("t")).alias("lead"))
+    docs = table(spark, d, "documents").select(F.md5(T.tidy_lead(F.col("text"))), F.col("doc_id").cast("string"))
+    return _values(spark, LEADS, "t string").select("t", T.tidy_lead(F.col("t")).alias("lead")).union(docs)
 
 
 @query("SELECT p_partkey, CASE WHEN h = '' THEN NULL ELSE h END AS region FROM (SELECT p_partkey, regexp_extract(lower(p_name), '\\b(part 10|part 1|part 2|part)\\b', 1) AS h FROM part)")
@@ -280,9 +297,10 @@ def life_span_label(spark, d):
 URLS = [("Ada Lovelace",), ("C'est (la) vie!",), ("a+b/c?d&é",), ("~x*",)]
 
 
-@query(f"SELECT t, 'https://en.wikipedia.org/wiki/' || replace(replace(replace(replace(replace(url_encode(replace(t, ' ', '_')), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS url FROM (VALUES {_sql_values(URLS)}) v(t)")
+@query(f"SELECT t, 'https://en.wikipedia.org/wiki/' || replace(replace(replace(replace(replace(url_encode(replace(t, ' ', '_')), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS url FROM (SELECT t FROM (VALUES {_sql_values(URLS)}) v(t) UNION ALL SELECT c_name FROM customer UNION ALL SELECT p_name FROM part)")
 def wiki_url(spark, d):
-    return _values(spark, URLS, "t string").select("t", T.article_url(F.col("t")).alias("url"))
+    rows = _values(spark, URLS, "t string").union(table(spark, d, "customer").select("c_name")).union(table(spark, d, "part").select("p_name"))
+    return rows.select("t", T.article_url(F.col("t")).alias("url"))
 
 
 @query("SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS escaped FROM pages")
@@ -290,6 +308,11 @@ def html_escape(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.escape_html(F.col("html"))).alias("escaped"))
 
 
+@query("SELECT page_id, md5(replace(replace(replace(replace(html, '&quot;', '\"'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&')) AS plain FROM pages")
+def html_unescape(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(T.unescape_html(F.col("html"))).alias("plain"))
+
+
 @query(f"SELECT doc_id, {WORDS} AS words, (len(regexp_extract_all(text, '\\n')) + 1)::INT AS sections, n_chars FROM documents")
 def article_metrics(spark, d):
     return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), (F.regexp_count("text", F.lit("\n")) + 1).alias("sections"), "n_chars")
@@ -372,7 +395,7 @@ BEST = f"{PLACED}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITIO
 
 
 def _members(spark, d):
-    f = placed(spark, d).select("title", "row_idx", "qid", "sitelinks", "x", "y", "death_year", F.lit("birth").alias("geo_source"), F.col("lon").alias("country_lon"))
+    f = positions(spark, d).select("title", "row_idx", "qid", "sitelinks", "x", "y", "death_year", F.lit("birth").alias("geo_source"), F.col("lon").alias("country_lon"))
     return anchors.members(_values(spark, ANCHORS, "label string, people array<string>"), f)
 
 
@@ -425,7 +448,7 @@ def pairs_within_radius(spark, d):
 
 ROUND = f"""{POINTS}, g AS (SELECT *, floor(x / 7.02)::BIGINT AS cx, floor(y / 7.02)::BIGINT AS cy FROM points), n AS (SELECT id, x, y, r, cx + i AS cx, cy + j AS cy FROM g, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)),
 pairs AS (SELECT p.id AS a, q.id AS b, p.x AS xa, p.y AS ya, q.x AS xb, q.y AS yb, {SQL_PAIR} AS d, 0.9::DOUBLE * greatest(p.r, q.r) AS want FROM g p JOIN n q USING (cx, cy) WHERE p.id < q.id),
-bad AS (SELECT *, (want - d) / 2 * 0.9::DOUBLE AS half FROM pairs WHERE d < want)"""
+bad AS (SELECT *, (want - (d + 1e-9::DOUBLE)) * 0.9::DOUBLE AS step FROM pairs WHERE d < want)"""
 
 
 @query(f"WITH {ROUND} SELECT a, b, round(d, 4) AS d FROM bad")
@@ -436,18 +459,31 @@ def subsumed_pairs(spark, d):
     return pairs.where(F.col("d") < 0.9 * F.greatest("ra", "rb")).select("a", "b", _r(F.col("d"), 4).alias("d"))
 
 
-@query(
-    f"WITH {ROUND}, m AS (SELECT a AS id, (xa - xb) / greatest(d, 1e-9) * half AS px, (ya - yb) / greatest(d, 1e-9) * half AS py FROM bad UNION ALL SELECT b, (xb - xa) / greatest(d, 1e-9) * half, (yb - ya) / greatest(d, 1e-9) * half FROM bad), s AS (SELECT id, sum(px) AS mx, sum(py) AS my FROM m GROUP BY id), moved AS (SELECT p.id, coalesce(mx, 0) AS mx, coalesce(my, 0) AS my, p.x, p.y FROM points p LEFT JOIN s USING (id)), k AS (SELECT *, least(1.0, 20 / greatest(sqrt(mx * mx + my * my), 1e-9)) AS k FROM moved) SELECT id, round(x + mx * k, 3) AS x, round(y + my * k, 3) AS y FROM k"
-)
+SQL_MOVED = f"""{ROUND}, m AS (SELECT a AS id, (xa - xb) / (d + 1e-9::DOUBLE) * step AS px, (ya - yb) / (d + 1e-9::DOUBLE) * step AS py FROM bad UNION ALL SELECT b, (xb - xa) / (d + 1e-9::DOUBLE) * step, (yb - ya) / (d + 1e-9::DOUBLE) * step FROM bad),
+s AS (SELECT id, sum(px) AS mx, sum(py) AS my FROM m GROUP BY id), moved AS (SELECT p.id, coalesce(mx, 0) AS mx, coalesce(my, 0) AS my, p.x, p.y FROM points p LEFT JOIN s USING (id)), k AS (SELECT *, least(1.0, 20 / greatest(sqrt(mx * mx + my * my), 1e-9)) AS k FROM moved)"""
+
+
+def _round(spark, d):
+    return topology.relax_round(_points(spark, d).withColumns({"x0": F.col("x"), "y0": F.col("y")}), 7.02)
+
+
+@query(f"WITH {SQL_MOVED} SELECT id, round(x + mx * k, 3) AS x, round(y + my * k, 3) AS y FROM k")
 def relax_round(spark, d):
-    p = _points(spark, d).withColumns({"x0": F.col("x"), "y0": F.col("y")})
-    return topology.relax_round(p, 7.02).select("id", _r(F.col("x"), 3).alias("x"), _r(F.col("y"), 3).alias("y"))
+    return _round(spark, d).select("id", _r(F.col("x"), 3).alias("x"), _r(F.col("y"), 3).alias("y"))
+
+
+@query(f"WITH {SQL_MOVED}, v AS (SELECT sqrt(mx * mx + my * my) * k AS v FROM k) SELECT round(median(v), 5) AS mid, round(max(v), 5) AS most, count(*) FILTER (v > 0.01) AS nudged FROM v")
+def move_stats(spark, d):
+    return topology.move_stats(_round(spark, d)).select(_r(F.col("mid"), 5).alias("mid"), _r(F.col("most"), 5).alias("most"), "nudged")
+
+
+MONUMENT_DISCS = [(1000.0, 0.0, 12.0), (-2000.0, 500.0, 12.0), (0.0, 3000.0, 12.0)]
 
 
 @query()
 def relax_layout(spark, d):
-    out = topology.relax(_points(spark, d), rounds=6)
-    return out.select("id", "x", "y", F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")).alias("moved"))
+    """All rounds with three monument discs; a loop of rounds is beyond SQL, the tests compare it with numpy."""
+    return topology.settled(topology.relax(_points(spark, d), zones=MONUMENT_DISCS)).select("id", "x", "y", "radius", "angle", "moved")
 
 
 ZONES = [("a", 1000.0, 0.0, 150.0), ("b", -2000.0, 500.0, 200.0), ("c", 0.0, 3000.0, 300.0)]
@@ -507,16 +543,21 @@ def tier_cells(spark, d):
     return placed(spark, d).select("qid", "landmark_tier")
 
 
-@query(f"WITH {PLACED}, b AS (SELECT *, row_number() OVER (PARTITION BY sec, ring ORDER BY sitelinks DESC, row_idx) AS k FROM placed) SELECT qid, sec, ring FROM b WHERE k = 1 AND sitelinks < 80")
+@query(f"WITH {PLACED}, t AS (SELECT qid, row_idx, sitelinks, least(floor({sql_pmod('atan2(y, x)', TAU)} / ({TAU} / 24)), 23)::INT AS sec, ring FROM placed), b AS (SELECT *, row_number() OVER (PARTITION BY sec, ring ORDER BY sitelinks DESC, row_idx) AS k FROM t) SELECT qid, sec, ring FROM b WHERE k = 1 AND sitelinks < 80")
 def minor_landmarks(spark, d):
-    w = Window.partitionBy("sec", "ring").orderBy(F.desc("sitelinks"), "row_idx")
-    return placed(spark, d).withColumn("k", F.row_number().over(w)).where((F.col("k") == 1) & (F.col("sitelinks") < 80)).select("qid", "sec", "ring")
+    p = B.layout(spark, d).select("row_idx", "qid", "x", "y", "sitelinks")
+    return layouts.local_best(p, p.where("sitelinks >= 80")).select("qid", "sec", "ring")
 
 
 @query(f"WITH {PLACED}, b AS (SELECT *, row_number() OVER (PARTITION BY sec ORDER BY sitelinks DESC, row_idx) AS k FROM placed) SELECT qid, sec, k::INT AS k FROM b WHERE k <= 4")
 def sector_topk(spark, d):
-    w = Window.partitionBy("sec").orderBy(F.desc("sitelinks"), "row_idx")
-    return placed(spark, d).withColumn("k", F.row_number().over(w)).where(F.col("k") <= 4).select("qid", "sec", "k")
+    return layouts.sector_top(positions(spark, d), "angle", 100).select("qid", "sec", "k")
+
+
+@query(f"WITH {FIGURES} SELECT qid, row_number() OVER (ORDER BY coalesce(birth_year, 0), row_idx)::INT AS place FROM figures WHERE sitelinks >= 118")
+def hits_by_year(spark, d):
+    hits = B.figures(spark, d).where("sitelinks >= 118")  # few by the floor
+    return hits.select("qid", F.row_number().over(Window.orderBy(F.coalesce("birth_year", F.lit(0)), "row_idx")).alias("place"))
 
 
 @query("SELECT p_brand, arg_max(p_partkey, p_retailprice * 1e7 - p_partkey) AS best FROM part GROUP BY 1")
@@ -526,17 +567,14 @@ def title_dedupe(spark, d):
 
 @query(f"WITH {PLACED}, c AS (SELECT qid, row_idx, floor(x / 500)::BIGINT AS cx, floor(y / 500)::BIGINT AS cy FROM placed), n AS (SELECT *, count(*) OVER (PARTITION BY cx, cy) AS n, row_number() OVER (PARTITION BY cx, cy ORDER BY row_idx) AS k FROM c) SELECT qid FROM n WHERE n <= 8 OR (k - 1) % 6 = 0")
 def carpet_thinning(spark, d):
-    c = placed(spark, d).select("qid", "row_idx", spatial.cell(F.col("x"), 500.0).alias("cx"), spatial.cell(F.col("y"), 500.0).alias("cy"))
+    c = positions(spark, d).select("qid", "row_idx", spatial.cell(F.col("x"), 500.0).alias("cx"), spatial.cell(F.col("y"), 500.0).alias("cy"))
     w = Window.partitionBy("cx", "cy")
     return c.withColumns({"n": F.count("*").over(w), "k": F.row_number().over(w.orderBy("row_idx"))}).where((F.col("n") <= 8) | (F.pmod(F.col("k") - 1, F.lit(6)) == 0)).select("qid")
 
 
-@query("SELECT c_custkey, sum(strlen(c_name)) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)::BIGINT AS ends FROM customer")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place, (sum(strlen(c_name)) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) - strlen(c_name))::BIGINT AS starts FROM customer UNION ALL SELECT NULL, count(*), sum(strlen(c_name))::BIGINT FROM customer")
 def blob_offsets(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.octet_length("c_name").alias("n"), F.floor(F.col("c_custkey") / 1000).alias("block"))
-    ahead = c.groupBy("block").agg(F.sum("n").alias("m")).select(F.col("block").alias("b"), F.coalesce(F.sum("m").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    within = F.sum("n").over(Window.partitionBy("block").orderBy("c_custkey").rowsBetween(Window.unboundedPreceding, 0))
-    return c.withColumn("inside", within).join(F.broadcast(ahead), F.col("block") == F.col("b")).select("c_custkey", (F.col("ahead") + F.col("inside")).alias("ends"))
+    return stats.running_offsets(table(spark, d, "customer").select("c_custkey", F.octet_length("c_name").alias("n")), ["c_custkey"], "n")
 
 
 CELLS = "cells AS (SELECT floor(x / 500)::BIGINT AS cx, floor(y / 500)::BIGINT AS cy, count(*) AS n FROM placed GROUP BY 1, 2)"
@@ -544,12 +582,12 @@ CELLS = "cells AS (SELECT floor(x / 500)::BIGINT AS cx, floor(y / 500)::BIGINT A
 
 @query(f"WITH {PLACED}, {CELLS} SELECT * FROM cells")
 def cell_counts(spark, d):
-    return placed(spark, d).groupBy(spatial.cell(F.col("x"), 500.0).alias("cx"), spatial.cell(F.col("y"), 500.0).alias("cy")).agg(F.count("*").alias("n"))
+    return positions(spark, d).groupBy(spatial.cell(F.col("x"), 500.0).alias("cx"), spatial.cell(F.col("y"), 500.0).alias("cy")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {PLACED}, {CELLS} SELECT cx, cy, (sum(n) OVER (ORDER BY cx, cy ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS starts FROM cells")
+@query(f"WITH {PLACED}, {CELLS} SELECT cx, cy, (sum(n) OVER (ORDER BY cx, cy ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS starts FROM cells UNION ALL SELECT NULL, NULL, count(*) FROM placed")
 def cell_prefix(spark, d):
-    return cell_counts(spark, d).select("cx", "cy", (F.sum("n").over(Window.orderBy("cx", "cy").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("starts"))
+    return stats.running_offsets(cell_counts(spark, d), ["cx", "cy"], "n").select("cx", "cy", "starts")
 
 
 @query(f"WITH {FIGURES} SELECT country, n FROM (SELECT country, count(*) AS n, min(row_idx) AS f FROM figures GROUP BY 1) ORDER BY n DESC, f LIMIT 12")
@@ -572,7 +610,7 @@ def label_cut(spark, d):
 @query(f"WITH {PLACED} SELECT least(floor((x + 9000) / 18000 * 64), 63)::INT AS i, least(floor((y + 9000) / 18000 * 64), 63)::INT AS j, count(*) AS n FROM placed GROUP BY 1, 2")
 def density_hist2d(spark, d):
     bin_of = lambda c: F.least(F.floor((F.col(c) + 9000) / 18000 * 64), F.lit(63)).cast("int")
-    return placed(spark, d).groupBy(bin_of("x").alias("i"), bin_of("y").alias("j")).agg(F.count("*").alias("n"))
+    return positions(spark, d).groupBy(bin_of("x").alias("i"), bin_of("y").alias("j")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {PLACED}, h AS (SELECT least(floor((x + 9000) / 18000 * 64), 63)::INT AS i, least(floor((y + 9000) / 18000 * 64), 63)::INT AS j, count(*) AS n FROM placed GROUP BY 1, 2) SELECT round(quantile_cont(n, 0.98), 6) AS p98 FROM h")
@@ -580,31 +618,58 @@ def density_percentile(spark, d):
     return density_hist2d(spark, d).agg(_r(F.percentile("n", 0.98)).alias("p98"))
 
 
-@query("SELECT l_linenumber AS band, round(sqrt(avg(l_discount ** 2)), 6) AS rms, round(quantile_cont(l_discount, 0.95), 6) AS p95, round(max(l_discount), 6) AS most, round(avg(l_discount), 6) AS mean FROM lineitem GROUP BY 1")
+SPAN_SQL = "s AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM placed)"
+
+
+@query(f"WITH {PLACED}, {SPAN_SQL} SELECT least(floor((x - x0) / (x1 - x0) * 800), 799)::INT AS i, least(floor((y - y0) / (y1 - y0) * 800), 799)::INT AS j, count(*) AS n FROM placed, s GROUP BY 1, 2")
+def range_hist2d(spark, d):
+    return stats.range_histogram(B.layout(spark, d).select("x", "y"))
+
+
+def _rounded(df: DataFrame, n: int = 6) -> DataFrame:
+    return df.select(*(_r(F.col(c), n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+DEVIATION_SQL = "round(avg((v IS NOT NULL)::INT), 6) AS coverage, round(sqrt(avg(v ** 2)), 6) AS rms, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, round(max(v), 6) AS most, round(avg(v), 6) AS mean"
+
+
+@query(f"WITH {POINTS}, q AS (SELECT id, sqrt(x * x + y * y) AS r, CASE WHEN id % 9 <> 0 THEN abs(sin(id)) END AS v FROM points) SELECT floor(r / 1000)::BIGINT AS band, {DEVIATION_SQL} FROM q GROUP BY 1")
 def chord_deviation_bands(spark, d):
-    x = F.col("l_discount")
-    return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("band")).agg(_r(F.sqrt(F.avg(x * x))).alias("rms"), _r(F.percentile(x, 0.95)).alias("p95"), _r(F.max(x)).alias("most"), _r(F.avg(x)).alias("mean"))
+    v = F.when(F.col("id") % 9 != 0, F.abs(F.sin("id")))
+    return _rounded(stats.deviation_stats(_points(spark, d), v, F.floor(F.hypot("x", "y") / 1000)))
 
 
-@query("WITH s AS (SELECT l_tax - 0.04::DOUBLE AS v FROM lineitem) SELECT round(quantile_cont(v, 0.95) FILTER (v > 0), 6) AS up, round(quantile_cont(-v, 0.95) FILTER (v < 0), 6) AS down, round(avg((abs(v) > 0.02)::INT), 6) AS steep FROM s")
+@query("WITH g AS (SELECT i // 32 AS i, i % 32 AS j, sin(i) * 3 AS h FROM range(1024) t(i)), s AS (SELECT lead(h) OVER (PARTITION BY i ORDER BY j) - h AS v FROM g) SELECT round(degrees(atan(quantile_cont(v, 0.95) FILTER (v > 0))), 5) AS up, round(degrees(atan(quantile_cont(-v, 0.95) FILTER (v < 0))), 5) AS down, round(avg((v > 0.5)::INT) FILTER (v > 0), 5) AS steep_up, round(avg((-v > 0.5)::INT) FILTER (v < 0), 5) AS steep_down FROM s")
 def slope_asymmetry(spark, d):
-    v = F.col("l_tax") - 0.04
-    return table(spark, d, "lineitem").agg(_r(F.percentile(F.when(v > 0, v), 0.95)).alias("up"), _r(F.percentile(F.when(v < 0, -v), 0.95)).alias("down"), _r(F.avg((F.abs(v) > 0.02).cast("int"))).alias("steep"))
+    g = spark.range(1024).select(F.floor(F.col("id") / 32).alias("i"), (F.col("id") % 32).alias("j"), (F.sin("id") * 3).alias("h"))
+    slopes = g.select((F.lead("h").over(Window.partitionBy("i").orderBy("j")) - F.col("h")).alias("v"))
+    return _rounded(stats.slope_asymmetry(slopes, F.col("v"), 0.5), 5)
+
+
+@query(f"WITH {POINTS} SELECT round(min(r / 3), 6) AS least, round(median(r / 3), 6) AS mid, round(max(r / 3), 6) AS most FROM points")
+def scale_range(spark, d):
+    s = B.layout(spark, d).select("book_scale")
+    return s.agg(_r(F.min("book_scale")).alias("least"), _r(F.median("book_scale")).alias("mid"), _r(F.max("book_scale")).alias("most"))
 
 
 @query(f"WITH {PLACED} SELECT round(1 - sqrt(avg(cos(angle)) ** 2 + avg(sin(angle)) ** 2), 6) AS dispersion FROM placed")
 def angular_dispersion(spark, d):
-    return placed(spark, d).agg(_r(1 - F.hypot(F.avg(F.cos("angle")), F.avg(F.sin("angle")))).alias("dispersion"))
+    return positions(spark, d).agg(_r(1 - F.hypot(F.avg(F.cos("angle")), F.avg(F.sin("angle")))).alias("dispersion"))
 
 
 @query(f"WITH {PLACED} SELECT round(max(radius), 4) AS rmax, round(min(x), 4) AS x0, round(max(x), 4) AS x1, round(min(y), 4) AS y0, round(max(y), 4) AS y1 FROM placed")
 def world_bounds(spark, d):
-    return placed(spark, d).agg(_r(F.max("radius"), 4).alias("rmax"), _r(F.min("x"), 4).alias("x0"), _r(F.max("x"), 4).alias("x1"), _r(F.min("y"), 4).alias("y0"), _r(F.max("y"), 4).alias("y1"))
+    return positions(spark, d).agg(_r(F.max("radius"), 4).alias("rmax"), _r(F.min("x"), 4).alias("x0"), _r(F.max("x"), 4).alias("x1"), _r(F.min("y"), 4).alias("y0"), _r(F.max("y"), 4).alias("y1"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'an') ORDER BY p_partkey LIMIT 40")
 def title_search(spark, d):
-    return table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lower(F.trim(F.lit(" AN "))))).orderBy("p_partkey").limit(40).select("p_partkey", "p_name")
+    return layouts.find_titles(table(spark, d, "part"), " AN ", "p_name", "p_partkey").select("p_partkey", "p_name")
+
+
+@query(f"WITH {PLACED} SELECT round(radius * cos(angle), 4) AS x, round(radius * sin(angle), 4) AS y, title, death_year FROM placed")
+def sniffed_xy(spark, d):
+    return layouts.with_xy(positions(spark, d).drop("x", "y")).select(_r(F.col("x"), 4).alias("x"), _r(F.col("y"), 4).alias("y"), "title", "death_year")
 
 
 @query(f"WITH {FIGURES} SELECT qid FROM figures WHERE abs(death_year - 1500) <= 50")
@@ -633,9 +698,9 @@ def key_semi_join(spark, d):
     return p.join(k, p["page_id"] == k["doc_id"], "left_semi").select("page_id")
 
 
-@query(f"SELECT t FROM (VALUES {_sql_values(TITLES)}) v(t) WHERE NOT (instr(t, ':') > 1 AND lower(trim(split_part(t, ':', 1))) IN ({', '.join(repr(n) for n in T.NAMESPACES)}))")
+@query(f"SELECT t FROM {ALL_TITLES} WHERE NOT (instr(t, ':') > 1 AND lower(trim(split_part(t, ':', 1))) IN ({', '.join(repr(n) for n in T.NAMESPACES)}))")
 def namespace_filter(spark, d):
-    return _values(spark, TITLES, "t string").where(~T.is_skip_namespace(F.col("t")))
+    return _titles(spark, d).where(~T.is_skip_namespace(F.col("t")))
 
 
 @query(f"WITH {FIGURES} SELECT country, sum((lon IS NOT NULL)::INT)::BIGINT AS located, count(*) AS n FROM figures GROUP BY 1")
@@ -666,7 +731,7 @@ def log_age(spark, d):
 
 @query(f"WITH {PLACED} SELECT qid, round({sql_pmod('angle / (2 * pi()) - 0.25 + 0.5', '1')} - 0.5, 6) AS arc, sign(x)::INT AS side FROM placed")
 def angle_math(spark, d):
-    return placed(spark, d).select("qid", _r(G.hue_arc(F.lit(0.25), F.col("angle") / G.TAU)).alias("arc"), F.signum("x").cast("int").alias("side"))
+    return positions(spark, d).select("qid", _r(G.hue_arc(F.lit(0.25), F.col("angle") / G.TAU)).alias("arc"), F.signum("x").cast("int").alias("side"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(t * t * t * (t * (t * 6 - 15) + 10), 6) AS s FROM (SELECT l_orderkey, l_linenumber, least(greatest(l_quantity / 40 - 0.1::DOUBLE, 0), 1) AS t FROM lineitem)")
@@ -674,19 +739,50 @@ def smootherstep(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _r(G.smootherstep(F.col("l_quantity") / 40 - 0.1)).alias("s"))
 
 
-SQL_HASH = "(((row_idx & 65535) * 2654435761 + (((row_idx >> 16) % 65536) * 2654435761 % 65536) * 65536) % 4294967296)"
+SQL_NEAR = "((row_idx * 2654435761::HUGEINT) % 4294967296)::DOUBLE / 4294967296.0::DOUBLE"
+SQL_FAR = "((xor(row_idx, 2654435769) * 2246822519::HUGEINT) % 4294967296)::DOUBLE / 4294967296.0::DOUBLE"
 
 
-@query(f"WITH {PLACED}, h AS (SELECT qid, x, y, {SQL_HASH} AS h FROM placed) SELECT qid FROM h WHERE x * x + y * y < (1500 + 400 * ((xor(h, h >> 15) % 4294967296) / 4294967296.0::DOUBLE)) ** 2")
+@query(f"WITH {PLACED} SELECT qid FROM placed WHERE x * x + y * y < (1500 + ({SQL_NEAR} - 0.5) * 400) ** 2")
 def lod_membership(spark, d):
-    edge = 1500 + 400 * G.hash32(F.col("row_idx"))
+    edge = 1500 + (G.near_hash(F.col("row_idx")) - 0.5) * 400
     return B.layout(spark, d).where(F.col("x") * F.col("x") + F.col("y") * F.col("y") < edge * edge).select("qid")
 
 
-@query(f"WITH {PLACED}, m AS (SELECT abs(angle - base_angle) AS v FROM placed) SELECT round(median(v), 6) AS mid, round(max(v), 6) AS most, sum((v > 0.01)::INT)::BIGINT AS moved FROM m")
-def move_stats(spark, d):
-    v = F.abs(F.col("angle") - F.col("base_angle"))
-    return placed(spark, d).agg(_r(F.median(v)).alias("mid"), _r(F.max(v)).alias("most"), F.sum((v > 0.01).cast("int")).alias("moved"))
+DETAIL_SQL = f"""{PLACED}, b AS (SELECT min(x) AS x0, min(y) AS y0 FROM placed), c AS (SELECT row_idx, (x - 700) * (x - 700) + y * y AS d2, floor((x - x0) / 100) - floor((700 - x0) / 100) AS gx, floor((y - y0) / 100) - floor((0 - y0) / 100) AS gy FROM placed, b),
+w AS (SELECT *, greatest(abs(gx), abs(gy)) AS ring, d2 < (500 + ({SQL_NEAR} - 0.5) * 200) ** 2 AS near, d2 < (1200 + ({SQL_FAR} - 0.5) * 100) ** 2 AS mid FROM c WHERE d2 <= 1250 ** 2),
+o AS (SELECT *, row_number() OVER (ORDER BY ring, (abs(gy) <> ring)::INT, CASE WHEN abs(gy) = ring THEN gx ELSE gy END, CASE WHEN abs(gy) = ring THEN gy > 0 ELSE gx > 0 END, row_idx) AS step FROM w),
+n AS (SELECT row_idx, d2 FROM o WHERE near ORDER BY step LIMIT 40), m AS (SELECT row_idx, d2 FROM o WHERE mid AND row_idx NOT IN (SELECT row_idx FROM n) ORDER BY step LIMIT 90), t AS (SELECT row_idx, 0 AS tier, d2 FROM n UNION ALL SELECT row_idx, 1, d2 FROM m)"""
+
+
+def _detail(spark, d):
+    return spatial.detail_tiers(_points(spark, d), 700.0, 0.0, (500.0, 1200.0), (200.0, 100.0), (40, 90), 100.0)
+
+
+@query(f"WITH {DETAIL_SQL} SELECT row_idx AS id, tier::INT AS tier FROM t")
+def detail_tiers(spark, d):
+    return _detail(spark, d).select("id", "tier")
+
+
+@query(f"WITH {DETAIL_SQL} SELECT row_idx AS id, row_number() OVER (ORDER BY d2 DESC, row_idx)::INT AS place FROM t WHERE tier = 0")
+def near_back_to_front(spark, d):
+    near = _detail(spark, d).where("tier = 0")  # 40 rows by the cap
+    return near.select("id", F.row_number().over(Window.orderBy(F.desc("d2"), "id")).alias("place"))
+
+
+@query(f"WITH {FIGURES}, a AS (SELECT row_idx, ((7 * row_idx + 1831565813::HUGEINT * 3) % 4294967296)::BIGINT AS a FROM figures), t AS (SELECT row_idx, (xor(a, a >> 15)::HUGEINT * (a | 1) % 4294967296)::BIGINT AS t FROM a), u AS (SELECT row_idx, xor((t + (xor(t, t >> 7)::HUGEINT * (t | 61) % 4294967296)::BIGINT) % 4294967296, t) AS t FROM t) SELECT row_idx, round(xor(t, t >> 14) / 4294967296.0::DOUBLE, 12) AS u FROM u")
+def seeded_uniform(spark, d):
+    return B.figures(spark, d).select("row_idx", _r(G.mulberry(F.col("row_idx") * 7, F.lit(3)), 12).alias("u"))
+
+
+@query(f"WITH {FIGURES} SELECT qid, (floor(({SQL_ERA} / 10 + 0.5)) * 10)::INT AS decade, CASE WHEN death_year >= 2000 THEN 'the present' WHEN death_year < 0 THEN 'c.' || (-death_year) || ' BCE' ELSE 'c.' || death_year END AS era FROM figures")
+def era_labels(spark, d):
+    return B.figures(spark, d).select("qid", G.decade(G.era_radius(F.col("death_year"))).alias("decade"), T.era_label(F.col("death_year")).alias("era"))
+
+
+@query(f"WITH {PLACED}, t AS (SELECT qid, atan2(x, y) - 1 AS t FROM placed) SELECT qid, round(0.5 - 0.5 * least(greatest(atan2(sin(t), cos(t)) / 1.2, -1), 1), 6) AS at FROM t")
+def compass_bearing(spark, d):
+    return positions(spark, d).select("qid", _r(G.bearing(F.col("x"), F.col("y"), F.lit(1.0), 1.2)).alias("at"))
 
 
 @query(f"WITH {BEST}, m AS (SELECT label, avg(x) AS x, avg(y) AS y FROM names JOIN best ON name = title GROUP BY label) SELECT row_number() OVER (ORDER BY x * x + y * y)::INT AS place, label FROM m")
@@ -706,3 +802,27 @@ def neighbour_diff(spark, d):
 def placement_chain(spark, d):
     """The whole chain: radius, angle, tier and size, summed up by tier."""
     return placed(spark, d).groupBy("landmark_tier").agg(F.count("*").alias("n"), _r(F.avg("radius"), 4).alias("radius"), _r(F.avg("book_scale")).alias("scale"), F.sum(F.col("lon").isNotNull().cast("int")).alias("located"))
+
+
+@query()
+def density_field(spark, d):
+    """(i, j, density) of 64 x 64 cells: counts in Spark, blurs as array kernels; the tests compare it with numpy."""
+    return _cells(spark, terrain.density(terrain.histogram(B.layout(spark, d), 64)), "density")
+
+
+@query()
+def heightmap(spark, d):
+    """(i, j, height) of 64 x 64 cells with the envelope of the placed points."""
+    return _cells(spark, terrain.heightmap(B.layout(spark, d), 64)[0], "height")
+
+
+@query()
+def avalanche(spark, d):
+    """(i, j, height) of 64 x 64 cells of spiral dunes after the sand slide."""
+    rows = terrain.field_rows(spark, 64)
+    return _cells(spark, terrain.avalanche(terrain._grid(rows, "dunes", 64), terrain.WORLD / 64), "height")
+
+
+def _cells(spark: SparkSession, grid, name: str) -> DataFrame:
+    n = len(grid)
+    return spark.createDataFrame([(k // n, k % n, float(h)) for k, h in enumerate(grid.ravel())], f"i int, j int, {name} double")

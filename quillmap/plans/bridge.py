@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import noise
+from ..operators.placement import place, tiers
+from ..sources.storage import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,21 +56,17 @@ turned AS (SELECT *, {sql_pmod(f"base_angle + {sql_normal('qid', 'angle')} * 140
 placed AS (SELECT *, radius * cos(angle) AS x, radius * sin(angle) AS y, least(floor(angle / ({TAU} / 24)), 23)::INT AS sec, least(greatest(floor(radius / (SELECT max(radius) FROM turned) * 14), 0), 13)::INT AS ring FROM turned)"""
 
 
-def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.placement import place
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures with radius, angle, x, y and scale; unlocated ones turn by md5, which DuckDB has too."""
+    rows = figures(spark, sf_dir)
+    return place(rows.withColumn("turn", noise.uniform(F.col("qid"), "residue")))
 
-    return place(figures(spark, sf_dir))
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a stage leaves them to the next: a Parquet table in the shared folder."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with tiers."""
+    return tiers(positions(spark, sf_dir))
 
 
 def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored placement, which spatial queries read: filters on positions then reach the scan, not the noise below it."""
-    return stored(placed(spark, sf_dir).select("row_idx", "qid", "x", "y", "radius", "angle", "book_scale"), "layout")
+    return stored(positions(spark, sf_dir).select("row_idx", "qid", "x", "y", "radius", "angle", "book_scale", "base_angle", "lon", "sitelinks", "title"), "layout")

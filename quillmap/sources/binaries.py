@@ -88,6 +88,16 @@ def read_heightmap(path: str) -> tuple[np.ndarray, float]:
     return np.frombuffer(data, "<f4", res * res, 8).reshape(res, res), world
 
 
+def write_raster(path: str, **grids: np.ndarray) -> None:
+    """Named grids and numbers in one compressed npz file."""
+    np.savez_compressed(path, **grids)
+
+
+def read_raster(path: str) -> dict[str, np.ndarray]:
+    with np.load(path) as data:
+        return {k: data[k] for k in data.files}
+
+
 def write_soup(soup: np.ndarray, path: str) -> None:
     """Triangle soup: u32 vertices, f32 x, y, z of each."""
     with open(path, "wb") as out:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import claims as C
 from ..operators.links import attach_articles, resolve
+from .storage import stored
 from .wikitext import parse_articles
 
 PAGE = "title string, ns int, redirect struct<_title:string>, revision struct<text:struct<_VALUE:string>>"
@@ -37,26 +38,34 @@ def prefilter(rows: DataFrame, death_year_max: int = 2000, keep_missing_descript
     return kept if keep_missing_description else kept.where(F.col("description").isNotNull())
 
 
-def places(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """The seven place columns of the entities that figures were born or died in; the id is cut from the line, so that only needed lines are parsed. Malformed ones are skipped."""
+def places(spark: SparkSession, path: str, rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """`limit` stops after so many lines. The seven place columns of the entities that figures were born or died in; the id is cut from the line, so that only needed lines are parsed. Malformed ones are skipped."""
     need = rows.select(F.explode(F.array("birth_place_qid", "death_place_qid")).alias("need")).where("need <> ''").distinct()
-    lines = entity_lines(spark, path).withColumn("qid", F.regexp_extract("value", r'^\{"type":\s*"item",\s*"id":\s*"(Q[0-9]+)"', 1)).where("qid <> ''")
+    lines = entity_lines(spark, path)
+    lines = (lines.limit(limit) if limit else lines).withColumn("qid", F.regexp_extract("value", r'^\{"type":\s*"item",\s*"id":\s*"(Q[0-9]+)"', 1)).where("qid <> ''")
     e = entities(lines.join(need, lines["qid"] == need["need"], "left_semi"), strict=False)
     return e.select(*(c.alias(k) for k, c in C.place_row(F.col("e"), F.col("c")).items()))
 
 
-def pages(spark: SparkSession, path: str) -> DataFrame:
-    """(title, redirect, text) of articles in the main namespace; a redirect wins over the text, pages without either go."""
+def pages(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """`limit` stops after so many pages. (title, redirect, text) of articles in the main namespace; a redirect wins over the text, pages without either go."""
     p = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", "false").schema(PAGE).load(path)
+    p = p.limit(limit) if limit else p
     rows = p.where("ns = 0 AND title IS NOT NULL").select("title", F.col("redirect._title").alias("redirect"), F.col("revision.text._VALUE").alias("text"))
     return rows.where("redirect IS NOT NULL OR text IS NOT NULL")
 
 
 def with_articles(rows: DataFrame, wiki: DataFrame) -> DataFrame:
-    """Figures with their articles' measures and outgoing ids; redirects anywhere in the dump count. One scan, two branches."""
-    titles = rows.select("title").distinct()
-    redirects = wiki.where("redirect IS NOT NULL").select(F.col("title").alias("source"), F.col("redirect").alias("target")).join(titles.withColumnRenamed("title", "target"), "target", "left_semi")
-    content = wiki.where("redirect IS NULL").join(titles, "title", "left_semi")
+    """Figures with their articles' measures and outgoing ids; redirects anywhere in the dump count.
+
+    One scan of the dump: redirects and the articles of figures are stored, and both
+    branches read them from there.
+    """
+    titles = rows.select(F.col("title").alias("wanted")).distinct()
+    hit = wiki.join(titles, F.coalesce("redirect", "title") == F.col("wanted"), "left_semi")
+    wiki = stored(hit, "articles")
+    redirects = wiki.where("redirect IS NOT NULL").select(F.col("title").alias("source"), F.col("redirect").alias("target"))
+    content = wiki.where("redirect IS NULL").select("title", "text")
     parsed = parse_articles(content).withColumn("article_idx", F.xxhash64("title", "lead_text"))
     out = attach_articles(rows, parsed)
     ids = rows.select("title", "qid", F.xxhash64("qid").alias("row_idx"))

@@ -14,14 +14,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.text import TIDY
+from ..functions.text import NAMESPACES, TIDY
 
 SCHEMA = "title string, lead_text string, lead_word_count int, article_word_count int, article_section_count int, article_ref_count int, short_description string, links array<string>"
 INNER = re.compile(r"\{\{([^{}]*)\}\}")
 LINK = re.compile(r"\[\[([^\[\]|]*)(?:\|([^\[\]]*))?\]\]")
 REF = re.compile(r"<ref\b[^>/]*(?:/>|>.*?</ref\s*>)", re.S | re.I)
 HEAD = re.compile(r"^==[^=].*?==\s*$", re.M)
-MEDIA = re.compile(r"^\s*(?:file|image|category)\s*:", re.I)
+GALLERY = re.compile(r"<gallery\b[^>]*>.*?</gallery\s*>", re.S | re.I)
 #: Templates that stand for characters, and those that stand for a vague year.
 PLAIN = {"snd": " – ", "spaced ndash": " – ", "ndash": "–", "endash": "–", "en dash": "–", "mdash": "—", "emdash": "—", "em dash": "—", "nbsp": " ", "'": "'", "=": "="}
 CIRCA = ("circa", "c.", "ca.", "ca", "c")
@@ -37,13 +37,19 @@ def _template(body: str) -> str:
     return f"{sign} {rest[0]}" if sign and rest and rest[0] else sign
 
 
-def strip(text: str) -> str:
-    """Visible text: no comments, references, templates, tables, media, tags or quotes of markup."""
-    text = REF.sub("", re.sub(r"<!--.*?-->", "", text, flags=re.S))
+def skipped(target: str) -> bool:
+    """Whether a link leads to a namespace that holds no articles."""
+    space, colon, _ = target.strip().removeprefix(":").replace("_", " ").partition(":")
+    return bool(colon) and space.strip().lower() in NAMESPACES
+
+
+def strip(text: str, lead: bool = False) -> str:
+    """Visible text: no comments, references, galleries, templates, tables, tags or quotes of markup, and in a lead no links to other namespaces."""
+    text = GALLERY.sub("", REF.sub("", re.sub(r"<!--.*?-->", "", text, flags=re.S)))
     while (new := INNER.sub(lambda m: _template(m[1]), text)) != text:
         text = new
     text = re.sub(r"\{\|.*?\|\}", "", text, flags=re.S)
-    while (new := LINK.sub(lambda m: "" if MEDIA.match(m[1]) else (m[2] if m[2] is not None else m[1]), text)) != text:
+    while (new := LINK.sub(lambda m: "" if lead and skipped(m[1]) else (m[2] if m[2] is not None else m[1]), text)) != text:
         text = new
     text = re.sub(r"\[https?://\S+\s*([^\]]*)\]", r"\1", text)
     return html.unescape(re.sub(r"'{2,}|<[^>]+>", "", text))
@@ -56,11 +62,18 @@ def tidy(text: str) -> str:
 
 
 def article(title: str, text: str | None) -> dict:
-    text = text or ""
+    """An article's fields; nulls and no links where the text can't be read."""
+    try:
+        return _article(title, text or "")
+    except (ValueError, re.error, RecursionError):
+        return dict.fromkeys(x.strip().split()[0] for x in SCHEMA.split(", ")) | {"title": title, "links": []}
+
+
+def _article(title: str, text: str) -> dict:
     heads = HEAD.findall(text)
-    lead = tidy(strip(HEAD.split(text, maxsplit=1)[0]))
+    lead = tidy(strip(HEAD.split(text, maxsplit=1)[0], lead=True))
     short = re.search(r"\{\{\s*short[ _]description\s*\|\s*([^{}|]*)", text, re.I)
-    links = dict.fromkeys(t for m in LINK.finditer(text) if (t := m[1].strip()) and not MEDIA.match(t))
+    links = dict.fromkeys(t for m in LINK.finditer(text) if (t := m[1].strip()) and not skipped(t))
     return {"title": title, "lead_text": lead, "lead_word_count": len(lead.split()), "article_word_count": len(re.sub(r"=+", " ", strip(text)).split()), "article_section_count": max(0, len(heads) - 1), "article_ref_count": len(re.findall(r"<ref\b", text, re.I)), "short_description": short[1].strip() if short else None, "links": list(links)}
 
 

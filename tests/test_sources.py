@@ -91,8 +91,6 @@ def test_terrain(spark, tmp_path):
     assert h.sum() == 3 and h[7, 7] == 1 and h[0, 0] == 1 and h[4, 4] == 1
     d = terrain.density(h)
     assert d.shape == (8, 8) and 0 <= d.min() and d.max() <= 1
-    rows = terrain.height_rows(spark, 16)
-    assert rows.count() == 256 and rows.where("h is null or isnan(h)").count() == 0
     v, f = terrain.grid_mesh(grid, 160.0)
     s = terrain.soup(v, f)
     assert len(v) == 256 and len(f) == 450 and len(terrain.grid_mesh(grid, 160.0, 1, 40.0)[1]) < 450
