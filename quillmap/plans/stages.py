@@ -140,7 +140,7 @@ def dump_articles(spark, d):
 
 
 @query(
-    f"WITH {LADDER}, r AS (SELECT geo_source, lon_at, {SQL_ERA} + 2.5 * {sql_normal('qid', 'radius')} + 350 * {sql_normal('qid', 'scatter')} * {SQL_UNCERTAINTY} AS r FROM located WHERE row_idx % 7 <> 0 AND {READ} >= 100) "
+    f"WITH {LADDER.replace('row_idx % 13 <> 0)', 'row_idx % 13 <> 0 AND row_idx % 7 <> 0 AND ' + READ + ' >= 100)')}, r AS (SELECT geo_source, lon_at, {SQL_ERA} + 2.5 * {sql_normal('qid', 'radius')} + 350 * {sql_normal('qid', 'scatter')} * {SQL_UNCERTAINTY} AS r FROM located) "
     "SELECT coalesce(geo_source, 'none') AS geo_source, count(*) AS n, round(avg(CASE WHEN r < 600 THEN 1200 - r ELSE r END), 4) AS radius, round(avg(lon_at), 5) AS lon FROM r GROUP BY 1"
 )
 def dump_chain(spark, d):
