@@ -4,13 +4,15 @@ Largest inner product becomes nearest direction by one more component, sqrt(M^2
 for rows and 0 for queries. Each of CURVES orderings projects the vectors onto DIMS
 random directions, shifts the grid and numbers its cells along a Hilbert curve. Spark
 range-partitions and sorts every ordering; runs of BLOCK rows make key windows, and a
-query meets the rows of its own and of both neighbouring windows. The orderings' finds
-are merged and reranked by the exact measure.
-
-How often the farther half of a query's finds turned up over the orderings tells how
-many were missed: if each ordering finds a neighbour with chance p, all miss it with
-chance (1 - p) ^ CURVES, 3 % at p = REPEATED. A query whose finds repeat less often asks
-again in windows WIDER times as wide, until they repeat or the windows cover the curve.
+query meets the rows of its own and of both neighbouring windows. Vectors travel along
+the orderings as bytes, one a component and a scale; the orderings' best KEEP finds are
+merged and reranked by the exact measure on the original vectors.
+
+How often the farther half of the finds turned up over the orderings tells how many were
+missed: if each ordering finds a neighbour with chance p, a find turns up in the share
+p / (1 - (1 - p) ^ CURVES) of them and (1 - p) ^ CURVES of the neighbours are lost. Where
+the mean over all queries stands for less than GOAL, queries below it ask again in
+windows WIDER times as wide, until GOAL is met or the windows cover the curve.
 Vectors without near neighbours in many dimensions have no locality that any curve could
 keep, so their windows grow to a fixed share of the table.
 
@@ -29,11 +31,13 @@ from pyspark.sql import functions as F
 from . import common
 
 CURVES, DIMS, BITS = 8, 8, 7
-BLOCK, WIDER = 1024, 4
+BLOCK, WIDER = 2730, 4
 #: Rows that one task holds; wider windows are several blocks of that many.
 MOST_ROWS = 16_384
 ASKED_AT_ONCE = 256
-REPEATED = 0.35
+#: Finds of a query that are reranked, beyond those asked for, and the recall that the repeats of finds must stand for.
+MORE, GOAL = 12, 0.92
+REPEATED = (1 - (1 - GOAL) ** (1 / CURVES)) / GOAL
 
 
 def usable(vector: Column) -> Column:
@@ -77,8 +81,21 @@ def curve_keys(vectors: np.ndarray, curve: int) -> np.ndarray:
     return hilbert(np.minimum((cells * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, width)
+def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width).astype("<f8")
+
+
+def coded(vectors: np.ndarray) -> list[bytes]:
+    """Each vector as its largest component (32 bits) and a byte a component in units of a 127th of it."""
+    most = np.maximum(np.abs(vectors).max(1), 1e-300)
+    bytes_of = np.rint(vectors / most[:, None] * 127).astype("i1")
+    with np.errstate(over="ignore"):
+        return [m.tobytes() + b.tobytes() for m, b in zip(np.minimum(most, np.finfo("f4").max).astype("<f4"), bytes_of)]
+
+
+def decoded(codes: list[bytes], width: int) -> np.ndarray:
+    rows = np.frombuffer(b"".join(codes), np.dtype([("most", "<f4"), ("bytes", "i1", (width,))]))
+    return rows["bytes"].astype("<f4") * (rows["most"] / np.float32(127))[:, None]
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -94,17 +111,18 @@ def _found(q: list, c: list, s: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(join(q, np.int64)), pa.array(join(c, np.int64)), pa.array(join(s, np.float64))], ["q", "c", "score"])
 
 
-def _placed(rows: DataFrame, queries: DataFrame, width: int, most: float) -> DataFrame:
-    """(curve, at, rep, asks, v): each ordering's rows(rep, v) numbered from 0, and queries(rep, v) at the number of the row before them."""
+def _placed(rows: DataFrame, queries: DataFrame, width: int, kind: str, most: float) -> DataFrame:
+    """(curve, at, rep, asks, v): each ordering's rows(rep, v) numbered from 0, and queries(rep, v) at the number of the row before them; v coded."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column("v"), width)
+            v = _matrix(batch.column("v"), width, kind)
+            code = pa.array(coded(v), pa.binary())
             asks = np.array(batch.column("asks").to_pylist(), bool)
             norm = np.sqrt((v * v).sum(1))
             unit = np.hstack((v / np.where(asks, norm, most)[:, None], np.sqrt(np.maximum(0, 1 - np.where(asks, 1, (norm / most) ** 2)))[:, None]))
             for curve in range(CURVES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), curve), pa.int32()), pa.array(curve_keys(unit, curve)), batch.column("rep"), batch.column("asks"), batch.column("v")], ["curve", "key", "rep", "asks", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), curve), pa.int32()), pa.array(curve_keys(unit, curve)), batch.column("rep"), batch.column("asks"), code], ["curve", "key", "rep", "asks", "v"])
 
     both = rows.select("rep", F.lit(False).alias("asks"), "v").union(queries.select("rep", F.lit(True), "v"))
     lines = both.mapInArrow(keyed, "curve int, key long, rep long, asks boolean, v binary")
@@ -142,12 +160,12 @@ def _window_finds(placed: DataFrame, width: int, block: int, reach: int, last: i
         def answer() -> pa.RecordBatch:
             nonlocal rows
             if rows is None:
-                rows = np.array(ids, np.int64), np.frombuffer(b"".join(held), "<f8").reshape(-1, width)
+                rows = np.array(ids, np.int64), decoded(held, width)
                 held.clear()
             q, c, s = [], [], []
-            for a, row in zip(asked, np.frombuffer(b"".join(asks), "<f8").reshape(-1, width) @ rows[1].T):
+            for a, row in zip(asked, decoded(asks, width) @ rows[1].T):
                 top = best(row, rows[0], k)
-                q.append(np.full(len(top), a)), c.append(rows[0][top]), s.append(row[top])
+                q.append(np.full(len(top), a)), c.append(rows[0][top]), s.append(row[top].astype("<f8"))
             asked.clear(), asks.clear()
             return _found(q, c, s)
 
@@ -167,31 +185,53 @@ def _window_finds(placed: DataFrame, width: int, block: int, reach: int, last: i
     return windows.mapInArrow(search, "q long, c long, score double")
 
 
-def _search(one: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
-    """(q, c, score): the k best rows(rep, v, norm) found for each of queries(rep, v), in windows as wide as its finds ask for."""
+def _search(one: DataFrame, queries: DataFrame, width: int, kind: str, k: int) -> DataFrame:
+    """(q, c, score): the k best rows(rep, v, norm) found for each of queries(rep, v), in windows as wide as the finds ask for, by the exact measure."""
     size, most = one.agg(F.count("*"), F.max("norm")).first()
-    placed = _placed(one, queries, width, most)
-    by = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    placed = _placed(one, queries, width, kind, most)
+    by, keep = Window.partitionBy("q").orderBy(F.desc("score"), "c"), k + MORE
     block, reach, met = BLOCK, 1, None
     while True:
         last = (size - 1) // block
-        finds = _window_finds(placed, width, block, reach, last, k).groupBy("q", "c").agg(F.max("score").alias("score"), F.count("*").alias("times"))
-        finds = common.written(finds.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k), "finds")
+        finds = _window_finds(placed, width, block, reach, last, keep).groupBy("q", "c").agg(F.max("score").alias("score"), F.count("*").alias("times"))
+        finds = common.written(finds.withColumn("r", F.row_number().over(by)).where(F.col("r") <= keep), "finds")
         met = finds.select("q", "c", "score") if met is None else met.union(finds.select("q", "c", "score"))
         if reach >= last:
             break
-        sure = finds.where(F.col("r") >= k // 2).groupBy("q").agg(F.avg("times").alias("times"), F.max("r").alias("r")).where((F.col("times") >= REPEATED * CURVES) & (F.col("r") == k))
-        doubtful = common.written(queries.select("rep").join(sure, queries["rep"] == sure["q"], "left_anti"), "doubtful")
-        if doubtful.isEmpty():
+        seen = finds.where((F.col("r") >= k // 2) & (F.col("r") <= k)).groupBy("q").agg(F.avg("times").alias("times"), F.max("r").alias("r"))
+        seen = queries.select(F.col("rep").alias("own")).join(seen, F.col("own") == seen["q"], "left").select("own", F.when(F.col("r") == k, F.col("times")).otherwise(0.0).alias("times"))
+        if (seen.agg(F.avg("times")).first()[0] or 0.0) >= REPEATED * CURVES:
             break
+        doubtful = common.written(queries.select("rep").join(seen.where(F.col("times") < REPEATED * CURVES), F.col("rep") == F.col("own"), "left_semi"), "doubtful")
         queries = doubtful
         placed = placed.where(~F.col("asks")).union(placed.where("asks").join(doubtful, "rep", "left_semi").select(placed.columns))
         if block < MOST_ROWS:
             block *= WIDER
         else:
             reach *= WIDER
-    top = met.groupBy("q", "c").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(by))
-    return top.where(F.col("r") <= k).select("q", "c", "score")
+    top = met.groupBy("q", "c").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= keep).select("q", "c")
+    exact = _exact(top, one, width, kind).withColumn("r", F.row_number().over(by))
+    return exact.where(F.col("r") <= k).select("q", "c", "score")
+
+
+def _exact(pairs: DataFrame, one: DataFrame, width: int, kind: str) -> DataFrame:
+    """(q, c, score): inner products, in double precision, of the original vectors of pairs(q, c); a query's vector comes before its finds'."""
+    held = pairs.join(one.select(F.col("rep").alias("c2"), "v"), F.col("c") == F.col("c2")).select("q", "c", "v")
+    asks = one.join(pairs.select(F.col("q").alias("q2")).distinct(), F.col("rep") == F.col("q2")).select(F.col("rep").alias("q"), F.lit(None).cast("long").alias("c"), "v")
+    rows = held.union(asks).repartition(common.parts_for(one), "q").sortWithinPartitions("q", F.col("c").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros(width)
+        for batch in batches:
+            v, c = _matrix(batch.column("v"), width, kind), batch.column("c")
+            find = np.asarray(c.is_valid())
+            of = np.cumsum(~find)
+            mine = np.vstack((last[None, :], v[~find]))
+            last = mine[-1]
+            score = np.einsum("ij,ij->i", v[find], mine[of[find]])
+            yield pa.RecordBatch.from_arrays([batch.column("q").filter(pa.array(find)), c.filter(pa.array(find)), pa.array(score)], ["q", "c", "score"])
+
+    return rows.mapInArrow(run, "q long, c long, score double")
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -210,21 +250,22 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     if length is None:
         return none
     width = int(length["w"])
+    kind = "<f4" if "array<float>" in dict(rows.dtypes)["e"] else "<f8"
     rows = rows.where(F.size("e") == width)
     order = Window.partitionBy("e").orderBy("vec_id")
     few = rows.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= k + 1)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = np.asarray(batch.column("e").values.to_numpy(zero_copy_only=False), "<f8").reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("ids"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(np.sqrt((v * v).sum(1)))], ["rep", "ids", "v", "norm"])
+            v = np.asarray(batch.column("e").flatten().to_numpy(zero_copy_only=False), "<f8").reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("ids"), pa.array([x.tobytes() for x in v.astype(kind)], pa.binary()), pa.array(np.sqrt((v * v).sum(1)))], ["rep", "ids", "v", "norm"])
 
     one = few.groupBy("e").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_set("vec_id")).alias("ids")).select("rep", "ids", "e")
     one = common.written(one.mapInArrow(packed, "rep long, ids array<long>, v binary, norm double"), "vectors")
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "e").join(few.groupBy("e").agg(F.min("vec_id").alias("rep")), "e").select(F.col("vec_id").alias("query_id"), "rep").distinct()
     asked = common.written(asked, "asked")
     queries = common.written(one.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v"), "queries")
-    top = _search(one, queries, width, k + 1)
+    top = _search(one, queries, width, kind, k + 1)
     ids = one.select(F.col("rep").alias("c2"), "ids")
     pairs = asked.join(top, asked["rep"] == top["q"]).join(ids, F.col("c") == F.col("c2")).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

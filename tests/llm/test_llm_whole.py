@@ -273,3 +273,34 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="share"):
         common.shared_dir(Session(), "x")
+
+
+def test_first_windows_suffice_where_vectors_have_near_neighbours(spark, monkeypatch):
+    from quillmap.llm import ann
+
+    monkeypatch.setattr(ann, "BLOCK", 512)
+    passes, search = [], ann._window_finds
+    monkeypatch.setattr(ann, "_window_finds", lambda *a: passes.append(a[2]) or search(*a))
+    rng = np.random.default_rng(11)
+    x = (rng.standard_normal((300, 32))[rng.integers(0, 300, 12_000)] + 0.15 * rng.standard_normal((12_000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got, f, hit = {}, x.astype(float), 0
+    for r in ann.nearest(df).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 12_000, 20):
+        s = f @ f[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & {v for _, v, _ in got[q]})
+        assert all(abs(score - s[v]) < 1e-9 for _, v, score in got[q])
+    assert len(passes) == 1 and hit >= 0.9 * 20 * len(got) and len(got) == 600
+
+
+def test_nearest_takes_odd_and_empty_tables(spark):
+    from quillmap.llm import ann
+
+    rows = [(0, [1.0, 2.0], "a"), (0, [1.0, 2.0], "b"), (20, [1.0, 2.0], None), (1, [1.0, 2.0], "c"), (2, [1e-200, 0.0], "d"), (3, None, "e"), (None, [3.0, 1.0], "f"), (4, [float("inf"), 1.0], "g"), (5, [1.0, None], "h"), (40, [-1.0, 0.5], "i")]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>, SCORE string")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df).collect())
+    assert got[:4] == [(0, 1, 1, 5.0), (0, 2, 20, 5.0), (0, 3, 2, 1e-200), (0, 4, 40, 0.0)]
+    assert {q for q, *_ in got} == {0, 20, 40} and len(got) == 12
+    assert ann.nearest(df.limit(0)).count() == 0
