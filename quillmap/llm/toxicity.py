@@ -31,7 +31,7 @@ QUOTES = re.compile("[\"«»“”„]")
 SPELT = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "|": "l", "0": "o", "$": "s", "5": "s", "7": "t", "*": ""})
 SPAN = 8
 #: Pairs of trie node and edits that the states of an automaton hold before they are made anew.
-STATE_PAIRS = 1_000_000
+STATE_PAIRS = 400_000
 
 
 def edits(term: str) -> int:
@@ -51,8 +51,8 @@ class State:
 class Automaton:
     """The lexicon's trie intersected with its terms' Levenshtein automata.
 
-    A state is a set of (trie node, edits spent), each node with its fewest edits. A
-    node may spend as many edits as the most tolerant term below it.
+    A state is a set of (trie node, edits spent), each node with its fewest edits, kept as
+    one number a pair, the edits in its last two bits. A node may spend as many edits as the most tolerant term below it.
     """
 
     def __init__(self, terms: list[str]):
@@ -82,7 +82,7 @@ class Automaton:
         """The one state of these pairs."""
         found = self.states.get(pairs)
         if found is None:
-            ends = [(e, t) for node, e in pairs if (t := self.ends[node]) is not None and e <= edits(t)]
+            ends = [(x & 3, t) for x in pairs if (t := self.ends[x >> 2]) is not None and x & 3 <= edits(t)]
             found = self.states[pairs] = State(pairs, (min(ends)[1], min(ends)[0]) if ends else None)
             self.held += len(pairs) + 1
         return found
@@ -97,11 +97,12 @@ class Automaton:
                 if e <= self.may[child] and e < spent.get(child, 99):
                     spent[child] = e
                     todo.append(child)
-        return frozenset(spent.items())
+        return frozenset([node << 2 | e for node, e in spent.items()])
 
     def _step(self, state: frozenset, c: str) -> frozenset:
         spent: dict[int, int] = {}
-        for node, e in state:
+        for x in state:
+            node, e = x >> 2, x & 3
             if e < self.may[node] and e + 1 < spent.get(node, 99):
                 spent[node] = e + 1
             for letter, child in self.next[node].items():
