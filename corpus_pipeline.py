@@ -8,27 +8,27 @@ from quillmap.llm import common, decontaminate, mixing, near_dedup, queries, tok
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under 0.7."""
+    """Documents whose toxicity score stays under 0.7; null and empty texts have no match and stay, repeated rows go together."""
     return toxicity.reject(docs, common.table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of every class of near copies."""
+    """The document of smallest doc_id of every class of near copies; rows of null id and texts without a word stay."""
     return near_dedup.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
+    """Documents into which no benchmark item leaks; null and empty texts stay, repeated rows go together."""
     return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target asks, in training order."""
+    """Every document as often as its source's target asks, in training order; texts without a word, null ones too, once, and each row by itself."""
     return mixing.apply(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of all rows in the training order that the mix stored, and what reading them back gives for each."""
+    """Token shards of all rows in the training order that the mix stored, and what reading them back gives for each; a null text is its end id alone."""
     return token_output.export(docs, queries.tokenizer(), common.stored_order(docs))
 
 
