@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,15 @@ NAMES, NUMBERS, EXACT = 0, 1, 2
 _slot = {k: np.uint64(shingles.word_hash[f"\x00{k}"]) for k in (NUM, CAPITAL)}
 
 
+def _hash(word: str) -> int:
+    """As shingles.word_hash, the last four bits free; most words are met once, and `_tokens` keeps them."""
+    return xxhash.xxh3_64_intdigest(word) >> 1 & ~15
+
+
 def _token(word: str) -> int:
     """Hash of the plain form, its last four bits the flags."""
+    if word.isalpha() and word.islower():  # most words: nothing to strip, no number, no name
+        return _hash(word) | (UNIT if word in UNITS else 0)
     core = word.strip(".,;:!?\"'()[]{}«»“”„…*_`|")
     low = core.lower()
     flags = STOPS if (word[-1:] in ".,;:!?" or word[-2:-1] in ".,;:!?") and not (len(core) == 1 and core.isalpha() or low in TITLES) else 0
@@ -55,11 +63,11 @@ def _token(word: str) -> int:
         flags |= UNIT
     elif core[:1].isupper() and low not in COMMON:
         flags |= CAPITAL
-    return shingles.word_hash[low] & ~15 | flags
+    return _hash(low) | flags
 
 
-_tokens = common.Cache(_token, 200_000)
-_EMPTY = np.uint64(shingles.word_hash[""] & ~15)
+_tokens = common.Cache(_token, 350_000)
+_EMPTY = np.uint64(_hash(""))
 _POWERS = np.array(shingles._POWERS)
 
 
