@@ -34,7 +34,7 @@ def clean_lead(text: Column) -> Column:
 
 def sentence_count(text: Column) -> Column:
     """One more than sentence ends followed by a capital; 0 for a blank text, null for null."""
-    return F.when(squeeze(text) == "", 0).when(text.isNotNull(), 1 + F.regexp_count(text, F.lit(SENTENCE)))
+    return F.when(~text.rlike(r"(?U)\S"), 0).when(text.isNotNull(), 1 + F.regexp_count(text, F.lit(SENTENCE)))
 
 
 def tidy_lead(text: Column) -> Column:
