@@ -128,6 +128,11 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(column).to_pylist()]
 
 
+def finite(vector: Column) -> Column:
+    """Not null, every component finite."""
+    return F.coalesce(F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
+
+
 def held_out(column: str, modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves the remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == remainder, F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language_id, license_scan, mixing, near_dedup, quality, token_output, toxicity, warc
+from . import ann, decontaminate, kdtree, language_id, license_scan, mixing, near_dedup, pivots, quality, spelling, token_output, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.exact_top(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_nearest, op3_toxicity, op4_token_output, op5_quality, op6_near_dedup, op7_warc, op8_decontaminate, op9_license_scan, op10_mixing)}
+    own = (op1_language_id, op2_nearest, op3_toxicity, op4_token_output, op5_quality, op6_near_dedup, op7_warc, op8_decontaminate, op9_license_scan, op10_mixing, op11_exact_top, op12_spelling, op13_clusters)
+    return {f.__name__: f for f in own}
 
 
 #: Records as the archives must give them back.
@@ -89,6 +102,33 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 FROM placed"""
 
 
+TOP_SQL = """
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (SELECT r, len(v) AS w, unnest(range(len(v))) AS i, unnest(v) AS x FROM kept),
+scores AS (SELECT q.r AS q, c.r AS c, sum(q.x * c.x)::BIGINT AS score FROM parts q JOIN parts c ON q.w = c.w AND q.i = c.i AND q.r <> c.r WHERE q.r IN (SELECT r FROM kept WHERE vec_id % 50 = 0) GROUP BY q.r, c.r),
+ranked AS (SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, b.vec_id)::INT AS rank, b.vec_id AS vec_id, score FROM scores JOIN kept a ON a.r = q JOIN kept b ON b.r = c)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+def clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds of k-means as a chain of tables of (centroid, component, value)."""
+    out = [
+        """kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
+        "parts AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(v) AS x FROM kept)",
+        f"c0 AS MATERIALIZED (SELECT z - 1 AS z, i, x FROM parts JOIN (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) AS z FROM kept) USING (r) WHERE z <= {k})",
+    ]
+    for t in range(rounds + 1):
+        out.append(f"a{t} AS MATERIALIZED (SELECT r, min(z) AS z, min(d) AS d FROM (SELECT *, min(d) OVER (PARTITION BY r) AS least FROM (SELECT r, z, sum((parts.x - c{t}.x) * (parts.x - c{t}.x))::BIGINT AS d FROM parts JOIN c{t} USING (i) GROUP BY r, z)) WHERE d = least GROUP BY r)")
+        if t < rounds:
+            out.append(f"c{t + 1} AS MATERIALIZED (SELECT z, i, coalesce(m, c{t}.x) AS x FROM c{t} LEFT JOIN (SELECT z, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM parts JOIN a{t} USING (r) GROUP BY z, i) USING (z, i))")
+    return f"""WITH {", ".join(out)},
+digests AS (SELECT z, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS digest FROM c{rounds} GROUP BY z)
+SELECT vec_id, z::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY z)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, digest AS centroid_sha256
+FROM a{rounds} JOIN digests USING (z) JOIN kept USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """What DuckDB can say of a query. Models, classes, indexes, token ids and template windows are tested by brute force, round trips or held-out labels."""
-    return {"op7_warc": WARC_SQL, "op9_license_scan": license_scan.oracle(), "op10_mixing": MIXING_SQL}
+    """What DuckDB can say of a query. Models, classes, indexes, token ids, template windows and checksums of words are tested by brute force, round trips or held-out labels."""
+    return {"op7_warc": WARC_SQL, "op9_license_scan": license_scan.oracle(), "op10_mixing": MIXING_SQL, "op11_exact_top": TOP_SQL, "op13_clusters": clusters_sql()}
