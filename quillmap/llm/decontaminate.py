@@ -7,9 +7,11 @@ names, for copies in other case and for items with capitals on most words. Windo
 template tokens are looked up in a hash table of the benchmark's windows. Of the matches
 of one item within one stretch of the document, the best alignment counts: both places
 rise along it, and their difference changes seldom. An item leaks where the windows on
-one alignment reach the share of its windows, and where its slots on that alignment are filled consistently: one value of the item always
-by one value of the document, which a question with new numbers or names does and a
-chance likeness of templates does not.
+one alignment reach the share of its windows, and the same share of those that hold a
+plain word, so that no list of numbers or names is evidence by itself; and where its
+slots on that alignment are filled consistently: one value of the item always by one value
+of the document, which a question with new numbers or names does and a chance likeness of
+templates does not.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ def _token(word: str) -> int:
     low = core.lower()
     flags = STOPS if (word[-1:] in ".,;:!?" or word[-2:-1] in ".,;:!?") and not (len(core) == 1 and core.isalpha() or low in TITLES) else 0
     if core and NUMBER.match(core):
-        flags |= NUM
+        flags = NUM if word[-1:] == "," else flags | NUM  # a comma doesn't part numbers
     elif low in UNITS:
         flags |= UNIT
     elif core[:1].isupper() and low not in COMMON:
@@ -146,10 +148,11 @@ class Reading:
     ids: list[int]
     filter: np.ndarray
     lengths: tuple[int, ...]
+    said: list[np.ndarray]
 
     @staticmethod
     def of(rows: list[tuple[int, str]], reading: int) -> Reading:
-        hashes, item, place, words, slots, ids = [], [], [], [], [], []
+        hashes, item, place, words, slots, ids, said = [], [], [], [], [], [], []
         for item_id, text in rows:
             t, values, slot = template(text, reading)
             if not len(t):
@@ -160,13 +163,15 @@ class Reading:
             place.append(np.arange(len(w)))
             words.append(values)
             slots.append(slot)
+            plain = np.concatenate(([0], np.cumsum(~slot & (values != _EMPTY))))
+            said.append(plain[np.minimum(np.arange(len(w)) + shingles.WORDS, len(t))] > plain[: len(w)])
             ids.append(item_id)
         none = np.zeros(0, np.uint64)
         h, i, p = np.concatenate([none, *hashes]), np.concatenate([np.zeros(0, int), *item]), np.concatenate([np.zeros(0, int), *place])
         order = np.argsort(h, kind="stable")
         seen = np.zeros(1 << 24, bool)
         seen[(h & np.uint64((1 << 24) - 1)).astype(np.int64)] = True
-        return Reading(reading, h[order], i[order], p[order], words, slots, ids, np.packbits(seen), tuple(sorted({min(len(w), shingles.WORDS) for w in words})))
+        return Reading(reading, h[order], i[order], p[order], words, slots, ids, np.packbits(seen), tuple(sorted({min(len(w), shingles.WORDS) for w in words})), said)
 
     def unpacked(self) -> np.ndarray:
         if not hasattr(self, "_seen"):
@@ -199,9 +204,14 @@ class Reading:
         return [(i, s, int(first[a])) for i, (s, a) in out.items()]
 
     def _best(self, i: int, doc_at: np.ndarray, places: np.ndarray, plain: np.ndarray, share: float) -> tuple[float, int] | None:
-        words, slots = self.words[i], self.slots[i]
-        total = max(1, len(words) - shingles.WORDS + 1)
-        if len(np.unique(places)) < share * total:
+        words, slots, said = self.words[i], self.slots[i], self.said[i]
+        total, spoken = max(1, len(words) - shingles.WORDS + 1), share * said.sum()
+
+        def enough(some: np.ndarray) -> bool:
+            some = np.unique(some)
+            return len(some) >= share * total and said[some].sum() >= spoken
+
+        if not enough(places):
             return None
         order = np.lexsort((places, doc_at))
         doc_at, places = doc_at[order], places[order]
@@ -211,11 +221,11 @@ class Reading:
         for lo, hi in zip(starts.tolist(), np.searchsorted(doc_at, doc_at[starts] + reach, "right").tolist()):
             if best is not None and best[0] == 1:
                 break
-            if len(np.unique(places[lo:hi])) < share * total:
+            if not enough(places[lo:hi]):
                 continue
             for bend in BENDS:
                 line = _alignment(doc_at[lo:hi].tolist(), places[lo:hi].tolist(), bend)
-                if len(line) >= share * total and (best is None or len(line) > best[0] * total) and self._consistent(words, slots, line, plain):
+                if enough(np.array([p for _, p in line])) and (best is None or len(line) > best[0] * total) and self._consistent(words, slots, line, plain):
                     best = (len(line) / total, line[0][0])
         return best
 
@@ -313,7 +323,7 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most: int
     first_word the place of the first leaked window (null without). Null and empty texts
     leak nothing, null ids stay null, other columns are not read; texts are read whole.
     Blocks of `most` benchmark windows pass over the rows one after another and add to
-    what a row carries.
+    what a row carries; rows are written between them, so that a task holds one block.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -321,7 +331,8 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most: int
     waiting = None
     for block in blocks(benchmark, most):
         if waiting is not None:
-            rows = rows.mapInArrow(_probe(spark, waiting, share, True), f"doc_id long, text string, {found}")
+            before, rows = rows, common.written(rows.mapInArrow(_probe(spark, waiting, share, True), f"doc_id long, text string, {found}"), "leaks")
+            common.dropped(before)
         waiting = block
     return rows.mapInArrow(_probe(spark, waiting, share, False), f"doc_id long, {found}")
 
@@ -346,14 +357,19 @@ def _probe(spark: SparkSession, block: Benchmark, share: float, keep_text: bool)
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows of docs, all columns, into which no item leaks; nothing is shuffled.
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of docs, all columns, into which no item leaks; nothing is shuffled, and rows are written between blocks of the benchmark.
 
     Null and empty texts leak nothing and stay; repeated rows stay or go together, null
     ids are as good as others, and columns may have any name. An empty table gives no row,
     an empty benchmark changes nothing.
     """
-    for block in blocks(benchmark):
+    held = None
+    for k, block in enumerate(blocks(benchmark, most)):
+        if k:
+            before, held = held, common.written(docs, "clean")
+            common.dropped(*filter(None, [before]))
+            docs = held
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
