@@ -170,7 +170,9 @@ def own(name: str, clear=lambda: None) -> None:
 
 
 class Cache(dict):
-    """A dict that fills itself and forgets everything beyond `most` entries, to bound a worker's memory."""
+    """A dict that fills itself and forgets everything beyond `most` entries, to bound a worker's memory; long words are not kept."""
+
+    LONGEST = 64
 
     def __init__(self, make, most: int = 250_000):
         super().__init__()
@@ -179,5 +181,7 @@ class Cache(dict):
     def __missing__(self, key):
         if len(self) >= self.most:
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if not isinstance(key, str) or len(key) <= self.LONGEST:
+            self[key] = value
         return value

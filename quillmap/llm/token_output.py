@@ -38,7 +38,8 @@ END = 1
 SAFE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 SAFE_TEXT = re.compile("[\n\x20-\x7eÀ-ÖØ-öø-ÿ]*+")
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-KEEP = 600_000
+#: Pieces that a worker keeps, and characters of the longest of them, which bounds it in bytes: some 250 MB at the worst.
+KEEP, LONGEST = 600_000, 48
 #: Bytes of ids that a task reads back, or one shard of more.
 READ_BYTES = 128 << 20
 _encoders: dict[str, Encoder] = {}
@@ -59,6 +60,7 @@ class Encoder:
     its pieces between blanks and line feeds. Pieces of plain characters consist of the
     parts that its pattern matches; new parts are encoded many to a call and told apart
     again by their last ids, which alone end a word. All other pieces are encoded whole.
+    Pieces longer than LONGEST are forgotten after their batch.
     A tokenizer of another make, which PROBE shows, encodes every text whole.
     """
 
@@ -86,7 +88,8 @@ class Encoder:
             self.known = {"": b""}
         known = self.known
         plain, fresh = {}, set()
-        for piece in set().union(*split) - known.keys():
+        new = set().union(*split) - known.keys()
+        for piece in new:
             if (piece.isascii() and piece.isprintable() or SAFE.fullmatch(piece)) and "<|" not in piece:
                 low = piece.lower()
                 if not low.isalpha():
@@ -100,9 +103,13 @@ class Encoder:
                 known[piece] = self.whole(piece)
         self._learn(list(fresh - known.keys()))
         part, join = known.__getitem__, b"".join
+        long = [piece for piece in (*fresh, *new) if len(piece) > LONGEST]
         for piece, parts in plain.items():
             known[piece] = part(parts[0]) if len(parts) == 1 else join(map(part, parts))
-        return [join(map(part, pieces)) for pieces in split]
+        out = [join(map(part, pieces)) for pieces in split]
+        for piece in long:
+            known.pop(piece, None)
+        return out
 
     def _learn(self, parts: list[str], at_once: int = 256) -> None:
         groups = [parts[a : a + at_once] for a in range(0, len(parts), at_once)]
