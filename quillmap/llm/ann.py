@@ -16,7 +16,8 @@ windows WIDER times as wide, until GOAL is met or the windows cover the curve.
 Vectors without near neighbours in many dimensions have no locality that any curve could
 keep, so their windows grow to a fixed share of the table.
 
-Equal vectors are searched once and given their ids again at the end.
+Equal vectors are searched once, under a number of their own, with the k + 1 smallest
+ids of each, and given those again at the end.
 """
 
 from __future__ import annotations
@@ -234,39 +235,68 @@ def _exact(pairs: DataFrame, one: DataFrame, width: int, kind: str) -> DataFrame
     return rows.mapInArrow(run, "q long, c long, score double")
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by `every`.
+def _distinct(rows: DataFrame, most: int) -> DataFrame:
+    """(rep, ids, v, norm): the different vectors of rows(vec_id, v, norm), numbered in the order of their smallest ids, with their `most` smallest ids; written.
 
-    Vectors that are null, zero, hold null or non-finite components, or whose length is
-    not the most frequent one (ties to the shorter) take no part, nor do rows of null
-    vec_id. A repeated (vec_id, vector) counts once; a query's own id is no candidate.
-    With fewer than k candidates all are given. Ties go to the smaller vec_id. Other
-    columns are not read. An empty table gives no row.
+    Only that many rows of a vector leave a task, however common it is.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e")).where(F.col("vec_id").isNotNull() & usable(F.col("e")))
-    length = rows.groupBy(F.size("e").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").first()
-    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if length is None:
-        return none
-    width = int(length["w"])
+    order = Window.partitionBy("v").orderBy("vec_id")
+    few = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    one = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.max("norm").alias("norm")).withColumn("first", F.col("ids")[0])
+    one = one.repartitionByRange(common.parts_for(rows), "first", "v").sortWithinPartitions("first", "v")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = len(batch)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(n, part), pa.int32()), "place": pa.array(np.arange(seen, seen + n))} | {c: batch.column(c) for c in ("ids", "v", "norm")})
+            seen += n
+
+    one = common.written(one.mapInArrow(numbered, "part int, place long, ids array<long>, v binary, norm double"), "vectors")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    first = one.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    return one.join(F.broadcast(first), "part").select((F.col("before") + F.col("place")).alias("rep"), "ids", "v", "norm")
+
+
+def _of_width(rows: DataFrame, width: int, k: int, every: int) -> DataFrame:
+    """The result for vectors of one length."""
     kind = "<f4" if "array<float>" in dict(rows.dtypes)["e"] else "<f8"
-    rows = rows.where(F.size("e") == width)
-    order = Window.partitionBy("e").orderBy("vec_id")
-    few = rows.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= k + 1)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = np.asarray(batch.column("e").flatten().to_numpy(zero_copy_only=False), "<f8").reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("ids"), pa.array([x.tobytes() for x in v.astype(kind)], pa.binary()), pa.array(np.sqrt((v * v).sum(1)))], ["rep", "ids", "v", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in (v + 0.0).astype(kind)], pa.binary()), pa.array(np.sqrt((v * v).sum(1)))], ["vec_id", "v", "norm"])
 
-    one = few.groupBy("e").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_set("vec_id")).alias("ids")).select("rep", "ids", "e")
-    one = common.written(one.mapInArrow(packed, "rep long, ids array<long>, v binary, norm double"), "vectors")
-    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "e").join(few.groupBy("e").agg(F.min("vec_id").alias("rep")), "e").select(F.col("vec_id").alias("query_id"), "rep").distinct()
-    asked = common.written(asked, "asked")
+    rows = common.written(rows.where(F.size("e") == width).mapInArrow(packed, "vec_id long, v binary, norm double"), "vector-rows")
+    one = _distinct(rows, k + 1)
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("w"))
+    asked = common.written(asked.join(one.select("v", "rep"), F.col("w") == F.col("v")).select("query_id", "rep"), "asked")
     queries = common.written(one.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v"), "queries")
     top = _search(one, queries, width, kind, k + 1)
-    ids = one.select(F.col("rep").alias("c2"), "ids")
-    pairs = asked.join(top, asked["rep"] == top["q"]).join(ids, F.col("c") == F.col("c2")).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = top.join(one.select(F.col("rep").alias("c2"), "ids"), F.col("c") == F.col("c2")).select("q", "c", "score", F.explode("ids").alias("id"))
+    # k + 1 ids of k + 1 vectors at most; a query's own row goes once, and where it isn't among the best, the last of them.
+    hits = hits.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "c"))), 1, k + 1).alias("best"))
+    mine = F.array_position(F.transform("best", lambda b: F.struct(b["id"].alias("id"), b["c"].alias("c"))), F.struct(F.col("query_id").alias("id"), F.col("rep").alias("c")))
+    others = F.slice(F.filter("best", lambda x, i: i + 1 != F.col("mine")), 1, k)
+    ranked = asked.join(hits, asked["rep"] == hits["q"]).withColumn("mine", mine).select("query_id", F.posexplode(others).alias("rank", "b"))
+    return ranked.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by `every`.
+
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor
+    do rows of null vec_id; a query meets the rows of its own length. Every other row is a
+    candidate, also one of the same vec_id or the same vector, and a repeated row is a
+    query as often as it stands. With fewer than k candidates all are given. Ties go to
+    the smaller vec_id. Other columns are not read. An empty table gives no row.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e")).where(F.col("vec_id").isNotNull() & usable(F.col("e")))
+    widths = sorted(r["w"] for r in rows.select(F.size("e").alias("w")).distinct().collect())  # a row a length
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for i, width in enumerate(widths):
+        found = _of_width(rows, width, k, every)
+        out = out.union(found) if i else found
+    return out

@@ -301,6 +301,61 @@ def test_nearest_takes_odd_and_empty_tables(spark):
     rows = [(0, [1.0, 2.0], "a"), (0, [1.0, 2.0], "b"), (20, [1.0, 2.0], None), (1, [1.0, 2.0], "c"), (2, [1e-200, 0.0], "d"), (3, None, "e"), (None, [3.0, 1.0], "f"), (4, [float("inf"), 1.0], "g"), (5, [1.0, None], "h"), (40, [-1.0, 0.5], "i")]
     df = spark.createDataFrame(rows, "vec_id int, embedding array<double>, SCORE string")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df).collect())
-    assert got[:4] == [(0, 1, 1, 5.0), (0, 2, 20, 5.0), (0, 3, 2, 1e-200), (0, 4, 40, 0.0)]
-    assert {q for q, *_ in got} == {0, 20, 40} and len(got) == 12
+    zero = [(0, 1, 0, 5.0), (0, 2, 1, 5.0), (0, 3, 20, 5.0), (0, 4, 2, 1e-200), (0, 5, 40, 0.0)]
+    assert got[:10] == sorted(zero + zero)  # a repeated row is a query twice, and a candidate of itself
+    assert {q for q, *_ in got} == {0, 20, 40} and len(got) == 20
     assert ann.nearest(df.limit(0)).count() == 0
+
+
+def test_nearest_with_several_vectors_of_an_id_and_lengths(spark):
+    from quillmap.llm import ann
+
+    rng = np.random.default_rng(2)
+    rows = [(int(i) % 150, rng.standard_normal(8).round(2).tolist()) for i in range(400)] + [(0, [1.0, 0.0]), (0, [0.9, 0.1]), (20, [1.0, 0.0]), (7, [1.0, 0.0]), (40, [0.5])]
+    want = []
+    for a, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            found = sorted((-sum(x * y for x, y in zip(v, w)), c) for b, (c, w) in enumerate(rows) if b != a and len(w) == len(v))
+            want += [(q, r + 1, c, round(-s, 9)) for r, (s, c) in enumerate(found[:20])]
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_lists_of_numbers_are_no_evidence_and_take_no_time():
+    import time
+
+    from quillmap.llm import decontaminate
+
+    numbers = lambda n, by: by.join(str((i * 7919) % 1000) for i in range(n))
+    for by in (", ", "; ", ". ", " "):
+        long, short = "sort all these many values by their size " + numbers(59, by), "which of these is largest and why " + numbers(24, by)
+        block = decontaminate.Benchmark.of([(1, long), (2, short)])
+        began = time.time()
+        for n in (100, 500, 2000):
+            other = by.join(str((i * 104729 + 13) % 977) for i in range(n))
+            assert block.leaks(other) == [] and block.leaks("a plain line of words before " + other + " and one behind it") == []
+        assert time.time() - began < 3
+        assert [i for i, _, _ in block.leaks("see: " + long)] == [1] and [i for i, _, _ in block.leaks("see: " + short + " end")] == [2]
+
+
+def test_leaks_and_clean_rows_agree_over_any_number_of_blocks(spark):
+    from quillmap.llm import common, decontaminate
+
+    docs, bench = common.table(spark, SF, "documents"), common.table(spark, SF, "benchmark")
+    whole = sorted((r["doc_id"], r["items"], r["best_share"], r["first_word"]) for r in decontaminate.find(docs, bench).collect())
+    parts = decontaminate.find(docs, bench, most=300)
+    assert len(list(decontaminate.blocks(bench, 300))) > 3 and parts._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r["doc_id"], r["items"], r["best_share"], r["first_word"]) for r in parts.collect()) == whole
+    kept = decontaminate.clean(docs, bench, most=300)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, items, _, _ in whole if not items)
+
+
+def test_long_pieces_and_words_are_not_kept():
+    from quillmap.llm import common, queries, token_output
+
+    own = token_output.Encoder(queries.tokenizer())
+    texts = ["".join(chr(0x4E00 + (i * 37 + j * 11) % 5000) for j in range(500)) for i in range(200)] + ["x" * 3000 + " plain words", "a" * 100 + "B" * 100]
+    assert own.batch(texts) == [own.whole(t) for t in texts]
+    assert max(map(len, own.known)) <= token_output.LONGEST
+    cache = common.Cache(len, 10)
+    assert cache["x" * 1000] == 1000 and not cache and cache["ab"] == 2 and len(cache) == 1
