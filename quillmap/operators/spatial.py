@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import far_hash, near_hash
+from ..sources.storage import dropped, stored
+from .quadtree import near_pairs
 
 #: How far an eye picks, and how far to the side.
 POINT_REACH, MONUMENT_REACH = (6.0, 0.45), (16.0, 1.7)
@@ -16,23 +20,39 @@ def cell(x: Column, edge: float) -> Column:
 
 
 def pairs_within(points: DataFrame, radius: float, ident: str = "id", strict: bool = False) -> DataFrame:
-    """(a, b, d): unordered pairs at distance <= radius (< if strict), a < b.
-
-    One side goes to its own cell, the other to its nine neighbours, so the join is an
-    equi-join on cells of edge `radius`; nothing is compared outside them.
-    """
-    left = points.select(F.col(ident).alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya")).withColumns({"cx": cell(F.col("xa"), radius), "cy": cell(F.col("ya"), radius)})
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    right = points.select(F.col(ident).alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.explode(near).alias("o"))
-    right = right.select("b", "xb", "yb", (cell(F.col("xb"), radius) + F.col("o.i")).alias("cx"), (cell(F.col("yb"), radius) + F.col("o.j")).alias("cy"))
+    """(a, xa, ya, b, xb, yb, d): unordered pairs at distance <= radius (< if strict), a < b, by an equi-join on the leaves of a quadtree, so that no key holds a crowded place."""
     d = F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb"))
-    met = left.join(right, ["cx", "cy"]).where(F.col("a") < F.col("b")).withColumn("d", d)
+    met = near_pairs(points, radius, ident).withColumn("d", d)
     return met.where(F.col("d") < radius if strict else F.col("d") <= radius)
 
 
+def _zone_cells(zones: DataFrame) -> tuple[DataFrame, list[int]]:
+    """zones with a row for each cell (zl, zcx, zcy) that a disc's square meets, and the levels zl in use.
+
+    A disc goes to a grid whose edge, 2^level, is its radius or up to twice that, so it
+    meets three cells a side at the most.
+    """
+    held = zones.where(F.col("zr") > 0).withColumn("zl", F.ceil(F.log2("zr")).cast("int"))
+    levels = sorted(r["zl"] for r in held.select("zl").distinct().collect())  # of powers of two
+    edge = F.pow(F.lit(2.0), F.col("zl"))
+    span = lambda v: F.sequence(F.floor((F.col(v) - F.col("zr") * (1 + 1e-9)) / edge).cast("long"), F.floor((F.col(v) + F.col("zr") * (1 + 1e-9)) / edge).cast("long"))
+    return held.withColumn("zcx", F.explode(span("zx"))).withColumn("zcy", F.explode(span("zy"))), levels
+
+
+def zone_hits(points: DataFrame, zones: DataFrame) -> DataFrame:
+    """points(x, y, ...) and zones(zx, zy, zr, ...) side by side, with d, wherever a point lies strictly inside a disc; any number of either, by an equi-join on cells."""
+    cells, levels = _zone_cells(zones)
+    x, y = F.col("x"), F.col("y")
+    asks = points.where(x.isNotNull() & y.isNotNull()).withColumn("pl", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    at = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("pl"))).cast("long")
+    met = asks.withColumns({"pcx": at(x), "pcy": at(y)}).join(cells, (F.col("pl") == F.col("zl")) & (F.col("pcx") == F.col("zcx")) & (F.col("pcy") == F.col("zcy")))
+    met = met.withColumn("d", F.hypot(x - F.col("zx"), y - F.col("zy"))).where(F.col("d") < F.col("zr"))
+    return met.drop("pl", "pcx", "pcy", "zl", "zcx", "zcy")
+
+
 def within_zones(points: DataFrame, zones: DataFrame, ident: str = "id") -> DataFrame:
-    """Points strictly inside zones(zone, zx, zy, zr), a table of fixed, small size."""
-    return points.join(F.broadcast(zones), F.hypot(F.col("x") - F.col("zx"), F.col("y") - F.col("zy")) < F.col("zr")).select(ident, "zone", F.hypot(F.col("x") - F.col("zx"), F.col("y") - F.col("zy")).alias("d"))
+    """(id, zone, d): points strictly inside zones(zone, zx, zy, zr), any number of them."""
+    return zone_hits(points.select(ident, "x", "y"), zones.select("zone", "zx", "zy", "zr")).select(ident, "zone", "d")
 
 
 def nearest_capped(points: DataFrame, x: float, y: float, radius: float, caps: tuple[int, ...], ident: str = "id") -> DataFrame:
@@ -94,6 +114,56 @@ def detail_tiers(points: DataFrame, x: float, y: float, radii: tuple[float, floa
     return near.select("id", F.lit(0).alias("tier"), "d2").union(rest.orderBy(*walk).limit(caps[1]).select("id", F.lit(1).alias("tier"), "d2"))
 
 
+def detail_rings(points: DataFrame, eyes: DataFrame, radii: tuple[float, float] = (30.0, 100.0), spreads: tuple[float, float] = (12.0, 0.0), caps: tuple[int, int] = (6_000, 54_000), edge: float = 32.0, ident: str = "id") -> DataFrame:
+    """(eye, id, tier, d2): what `detail_tiers` draws, for every eye of eyes(eye, ex, ey), whose names differ.
+
+    A nearest-neighbour join that widens ring by ring, twice as many each time: eyes meet
+    the points in the cells of their next rings by an equi-join, ranks go on from the
+    rings before, and only eyes whose caps are not full ask for more. Each step is stored;
+    an eye never meets a point beyond the ring that fills it.
+    """
+    far = radii[1] + spreads[1] / 2
+    x0, y0 = points.agg(F.min("x"), F.min("y")).first()
+    empty = points.sparkSession.createDataFrame([], points.select(F.col(ident).alias("id")).schema)
+    if x0 is None or eyes.isEmpty():
+        return eyes.select("eye").limit(0).crossJoin(empty).select("eye", "id", F.lit(0).alias("tier"), F.lit(0.0).alias("d2"))  # no rows
+    at = lambda v, low: F.floor((v - low) / edge).cast("long")
+    rows = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(ident).alias("id"), "x", "y", at(F.col("x"), x0).alias("cx"), at(F.col("y"), y0).alias("cy"))
+    asking = eyes.select("eye", "ex", "ey", at(F.col("ex"), x0).alias("ecx"), at(F.col("ey"), y0).alias("ecy"), F.lit(0).cast("long").alias("nears"), F.lit(0).cast("long").alias("mids"))
+    last, low, high, steps, before = math.ceil(far / edge), 0, 1, [], None
+    while low <= last:
+        high = min(high, last)
+        around = F.sequence(F.lit(-high), F.lit(high))
+        cells = asking.withColumn("gx", F.explode(around)).withColumn("gy", F.explode(around)).withColumn("ring", F.greatest(F.abs("gx"), F.abs("gy"))).where(F.col("ring") >= low)
+        met = cells.withColumns({"mx": F.col("ecx") + F.col("gx"), "my": F.col("ecy") + F.col("gy")}).join(rows, (F.col("mx") == F.col("cx")) & (F.col("my") == F.col("cy")))
+        met = met.withColumn("d2", (F.col("x") - F.col("ex")) * (F.col("x") - F.col("ex")) + (F.col("y") - F.col("ey")) * (F.col("y") - F.col("ey"))).where(F.col("d2") <= far * far)
+        rim = F.abs("gy") == F.col("ring")
+        met = met.withColumns({"side": F.when(rim, 0).otherwise(1), "along": F.when(rim, F.col("gx")).otherwise(F.col("gy")), "end": F.when(rim, F.col("gy") > 0).otherwise(F.col("gx") > 0)})
+        within = lambda radius, spread, h: F.col("d2") < F.pow(radius + (h - 0.5) * spread, F.lit(2.0))
+        met = met.withColumns({"near": within(radii[0], spreads[0], near_hash(F.col("id"))), "mid": within(radii[1], spreads[1], far_hash(F.col("id")))}).where("near OR mid")
+        walk = ("ring", "side", "along", "end", "id")
+        rank = lambda *by: F.row_number().over(Window.partitionBy("eye", *by).orderBy(*walk))
+        met = met.withColumn("taken", F.col("near") & (F.col("nears") + rank("near") <= caps[0])).where("taken OR mid")
+        met = met.withColumn("drawn", F.col("taken") | (F.col("mids") + rank("taken") <= caps[1])).where("drawn")
+        step = stored(met.select("eye", "id", F.when(F.col("taken"), 0).otherwise(1).alias("tier"), "d2"), "rings")
+        steps.append(step)
+        low, high = high + 1, 2 * high + 1
+        if low <= last:
+            count = step.groupBy(F.col("eye").alias("of")).agg(F.count_if(F.col("tier") == 0).alias("n0"), F.count_if(F.col("tier") == 1).alias("n1"))
+            asking = asking.join(count, F.col("eye") == F.col("of"), "left").withColumns({"nears": F.col("nears") + F.coalesce("n0", F.lit(0)), "mids": F.col("mids") + F.coalesce("n1", F.lit(0))}).drop("of", "n0", "n1")
+            beyond = (low - 1) * edge > radii[0] + spreads[0] / 2  # the next rings hold no near point
+            asking = stored(asking.where((F.col("mids") < caps[1]) | (F.lit(not beyond) & (F.col("nears") < caps[0]))), "eyes")
+            if before is not None:
+                dropped(before)
+            before = asking
+            if asking.isEmpty():
+                break
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.union(step)
+    return out
+
+
 def chord_height(points: DataFrame, raster: DataFrame, ident: str = "id") -> DataFrame:
     """(id, h) at points(row, col) over raster(i, j, h): the plane of the half of a cell, parted along its rising diagonal, that holds the point."""
     i, j = F.floor("row").cast("int"), F.floor("col").cast("int")
