@@ -6,20 +6,49 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
+from .quantiles import quantiles
 
 
 def deviation_stats(rows: DataFrame, d: Column, by: Column | None = None) -> DataFrame:
-    """coverage (share of rows with a value), rms, p95, p99, most and mean of deviations, by band if one is given; percentiles hold a band's distinct values."""
-    out = (F.avg(d.isNotNull().cast("int")).alias("coverage"), F.sqrt(F.avg(d * d)).alias("rms"), F.percentile(d, 0.95).alias("p95"), F.percentile(d, 0.99).alias("p99"), F.max(d).alias("most"), F.avg(d).alias("mean"))
-    return rows.agg(*out) if by is None else rows.groupBy(by.alias("band")).agg(*out)
+    """coverage (share of rows with a value), rms, p95, p99, most and mean of deviations, by band if one is given; percentiles by selection, so that no band's values meet in a task."""
+    kept = stored(rows.select((F.lit(0) if by is None else by).alias("band"), d.alias("d")), "deviations")
+    d = F.col("d")
+    out = kept.groupBy("band").agg(F.avg(d.isNotNull().cast("int")).alias("coverage"), F.sqrt(F.avg(d * d)).alias("rms"), F.max(d).alias("most"), F.avg(d).alias("mean"))
+    tails = quantiles(kept, d, {"p95": 0.95, "p99": 0.99}, F.col("band"))
+    both = out.join(tails, F.col("band").eqNullSafe(F.col("group"))).select("band", "coverage", "rms", "p95", "p99", "most", "mean")
+    if by is not None:
+        return both
+    return both.drop("band") if not kept.isEmpty() else rows.agg(*(F.lit(None).cast("double").alias(c) for c in both.columns[1:]))
 
 
 def slope_asymmetry(rows: DataFrame, slope: Column, steep: float) -> DataFrame:
     """up, down: 95th percentile of climbing and of dropping slopes in degrees; steep_up, steep_down: their shares above `steep`."""
-    side = lambda s: F.when(s > 0, s)
-    angle = lambda s: F.degrees(F.atan(F.percentile(side(s), 0.95)))
-    share = lambda s: F.avg((side(s) > steep).cast("int"))
-    return rows.agg(angle(slope).alias("up"), angle(-slope).alias("down"), share(slope).alias("steep_up"), share(-slope).alias("steep_down"))
+    kept = stored(rows.select(slope.alias("s")), "slopes")
+    side = F.when(F.col("s") > 0, "up").when(F.col("s") < 0, "down")
+    size = F.abs("s")
+    tails = quantiles(kept.where(side.isNotNull()), size, {"p95": 0.95}, side)
+    angle = lambda k: F.max(F.when(F.col("group") == k, F.degrees(F.atan("p95")))).alias(k)
+    share = lambda k: F.avg(F.when(side == k, (size > steep).cast("int"))).alias(f"steep_{k}")
+    return tails.agg(angle("up"), angle("down")).join(kept.agg(share("up"), share("down")), F.lit(True))  # a row each
+
+
+def wind_slopes(raster: DataFrame, edge: float, wind: tuple[float, float]) -> DataFrame:
+    """(i, j, slope): raster(i, j, h) along the wind (x, z), rows i along z: central differences inside, one-sided ones at the rim.
+
+    A stencil by one shuffle: each cell gives its height to its four neighbours and itself,
+    and a cell adds up what it gets. A neighbour that the raster does not have counts as rim.
+    """
+    to = lambda di, dj, axis: F.struct((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), F.lit(axis).alias("axis"), F.lit(-di - dj).alias("side"))
+    spread = raster.select(F.explode(F.array(to(0, 0, "own"), *(to(d, 0, "z") for d in (-1, 1)), *(to(0, d, "x") for d in (-1, 1)))).alias("to"), "h").select("to.*", "h")
+    of = lambda axis, side: F.max(F.when((F.col("axis") == axis) & (F.col("side") == side), F.col("h")))
+    cells = spread.groupBy("i", "j").agg(of("own", 0).alias("h"), *(of(a, s).alias(f"{a}{n}") for a in "xz" for s, n in ((-1, "lo"), (1, "hi")))).where(F.col("h").isNotNull())
+
+    def diff(a: str) -> Column:
+        low, high = F.coalesce(F.col(f"{a}lo"), F.col("h")), F.coalesce(F.col(f"{a}hi"), F.col("h"))
+        steps = F.col(f"{a}lo").isNotNull().cast("int") + F.col(f"{a}hi").isNotNull().cast("int")
+        return F.when(steps > 0, (high - low) / (steps * edge)).otherwise(0.0)
+
+    return cells.select("i", "j", (diff("x") * wind[0] + diff("z") * wind[1]).alias("slope"))
 
 
 def range_histogram(points: DataFrame, bins: int = 800) -> DataFrame:
