@@ -1,36 +1,15 @@
-"""Packed artifacts for viewers, and their readers. They are small by design (some bytes a figure), packed in row_idx order on the driver."""
+"""Small files of viewers and tools, read and written on the driver; files of a table's size have sources and writers in `packed`."""
 
 from __future__ import annotations
 
 import gzip
 import json
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import text as T
-
-TIERS, SOURCES, NO_YEAR = ("ordinary", "minor", "major"), ("birth", "death", "citizenship", "gazetteer"), -32768
-
-
-def _ordered(df: DataFrame) -> Iterator:
-    """Rows in row_idx order, a partition at a time."""
-    return df.orderBy("row_idx").toLocalIterator()
-
-
-def write_positions(layout: DataFrame, path: str) -> int:
-    """u32 N, f32 x[N], f32 y[N], u8 tier[N], geo[N], longitude[N], scale[N]."""
-    code = layout.select("row_idx", F.col("x").cast("float"), F.col("y").cast("float"), T.code_of(F.col("landmark_tier"), TIERS, 0).alias("tier"), T.code_of(F.col("geo_source"), SOURCES, 4).alias("geo"), T.angle_byte(F.col("base_angle")).alias("lon"), T.to_byte((F.col("book_scale") - 0.8) / 1.8).alias("scale"))
-    rows = [tuple(r)[1:] for r in _ordered(code)]
-    cols = list(zip(*rows)) or [()] * 6
-    with open(path, "wb") as out:
-        out.write(struct.pack("<I", len(rows)))
-        for k, c in enumerate(cols):
-            out.write(np.array(c, "<f4" if k < 2 else "u1").tobytes())
-    return len(rows)
+from .packed import NO_YEAR, SOURCES, TIERS, write_meta, write_positions  # noqa: F401 - part of these files' interface
 
 
 def read_positions(path: str) -> dict[str, np.ndarray]:
@@ -43,21 +22,6 @@ def read_positions(path: str) -> dict[str, np.ndarray]:
     return out
 
 
-def write_meta(layout: DataFrame, path: str) -> int:
-    """gzip, the same bytes for the same rows: u32 N and blob lengths, u32 offsets[N + 1] twice, i16 birth[N], death[N], two UTF-8 blobs."""
-    rows = [(r["title"] or "", r["description"] or "", r["birth_year"], r["death_year"]) for r in _ordered(layout.select("row_idx", "title", "description", "birth_year", "death_year"))]
-    blobs, offsets = [], []
-    for k in (0, 1):
-        parts = [r[k].encode() for r in rows]
-        blobs.append(b"".join(parts))
-        offsets.append(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype("<u4"))
-    years = [np.array([NO_YEAR if r[k] is None else r[k] for r in rows], "<i2") for k in (2, 3)]
-    data = struct.pack("<III", len(rows), len(blobs[0]), len(blobs[1])) + b"".join(x.tobytes() for x in (*offsets, *years)) + b"".join(blobs)
-    with open(path, "wb") as out:
-        out.write(gzip.compress(data, 9, mtime=0))
-    return len(rows)
-
-
 def read_meta(path: str) -> list[tuple[str, str, int | None, int | None]]:
     data = maybe_gunzip(open(path, "rb").read())
     n, a, b = struct.unpack_from("<III", data)
