@@ -90,17 +90,18 @@ def pick(points: DataFrame, monuments: DataFrame, eyes: DataFrame, ident: str =
     return best.select("eye", "m.kind", "m.id", "m.d")
 
 
-def detail_tiers(points: DataFrame, x: float, y: float, radii: tuple[float, float] = (30.0, 100.0), spreads: tuple[float, float] = (12.0, 0.0), caps: tuple[int, int] = (6_000, 54_000), edge: float = 32.0, ident: str = "id") -> DataFrame:
+def detail_tiers(points: DataFrame, x: float, y: float, radii: tuple[float, float] = (30.0, 100.0), spreads: tuple[float, float] = (12.0, 0.0), caps: tuple[int, int] = (6_000, 54_000), edge: float = 32.0, ident: str = "id", low: tuple[float, float] | None = None) -> DataFrame:
     """(id, tier, d2) of the points(id, x, y) drawn near (tier 0) or middling (tier 1) from an eye.
 
     A point is near within the first radius, middling within the second, both spread by
     a hash of its id. Places go by rings of grid cells around the eye, in a ring along
     its rows, then its sides, in a cell by id; what the near cap leaves out may be
     middling, and what the second cap leaves out is drawn by neither. Only rows within the
-    largest radius are sorted, and no more than the caps come out.
+    largest radius are sorted, and no more than the caps come out. `low` is the least x
+    and y of all points, where those given are only the near ones of an index.
     """
     far = radii[1] + spreads[1] / 2
-    lo = points.agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
+    lo = points.agg(F.min("x").alias("x0"), F.min("y").alias("y0")) if low is None else points.sparkSession.createDataFrame([low], "x0 double, y0 double")
     rows = points.select(F.col(ident).alias("id"), "x", "y").withColumn("d2", (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)).where(F.col("d2") <= far * far)
     rows = rows.crossJoin(F.broadcast(lo))  # one row
     gx, gy = (F.floor((F.col(c) - F.col(f"{c}0")) / edge) - F.floor((F.lit(v) - F.col(f"{c}0")) / edge) for c, v in (("x", x), ("y", y)))
@@ -164,6 +165,23 @@ def detail_rings(points: DataFrame, eyes: DataFrame, radii: tuple[float, float]
     return out
 
 
+def thinned(points: DataFrame, edge: float, least: int = 8, every: int = 6, ident: str = "id", block: int = 65_536) -> DataFrame:
+    """points(ident, x, y) without most of the crowd: of a cell of `edge` with more than `least` points, one in `every` in the order of the ident, a unique whole number.
+
+    Ranks go in two levels: how many points of the cell stand in blocks of `block` idents
+    before a point's own, and its rank in that. So no task holds a crowded cell.
+    """
+    held = points.withColumns({"cx_": cell(F.col("x"), edge), "cy_": cell(F.col("y"), edge), "block_": F.floor(F.col(ident) / block)})
+    sizes = held.groupBy("cx_", "cy_", "block_").agg(F.count("*").alias("m_"))
+    whole = Window.partitionBy("cx_", "cy_")
+    before = whole.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"n_": F.sum("m_").over(whole), "before_": F.coalesce(F.sum("m_").over(before), F.lit(0))})
+    inside = Window.partitionBy("cx_", "cy_", "block_").orderBy(ident)
+    place = F.col("before_") + F.row_number().over(inside) - 1
+    kept = held.join(sizes, ["cx_", "cy_", "block_"]).withColumn("place_", place).where((F.col("n_") <= least) | (F.pmod("place_", F.lit(every)) == 0))
+    return kept.select(*points.columns)
+
+
 def chord_height(points: DataFrame, raster: DataFrame, ident: str = "id") -> DataFrame:
     """(id, h) at points(row, col) over raster(i, j, h): the plane of the half of a cell, parted along its rising diagonal, that holds the point."""
     i, j = F.floor("row").cast("int"), F.floor("col").cast("int")
