@@ -15,7 +15,8 @@ from ..functions import noise
 from ..functions import text as T
 from ..operators import anchors, articles, links, placement, spatial, stats, terrain, topology
 from ..sources import dumps, layouts
-from ..sources.storage import shared_folder
+from ..operators.quantiles import quantiles
+from ..sources.storage import shared_folder, stored
 from . import bridge as B
 from .bridge import FIGURES, PLACED, SQL_ERA, SQL_RADIUS, SQL_SCALE, SQL_UNCERTAINTY, TAU, placed, positions, sql_pmod, sql_uniform, table
 
@@ -59,9 +60,15 @@ def prefilter_recency(spark, d):
 STUBS = [(1, "poet", 120), (2, None, 300), (3, "", 100), (4, "king", 99), (5, "nun", None)]
 
 
-@query(f"SELECT id, coalesce(words >= 100, false) AS long_enough FROM (VALUES {_sql_values(STUBS)}) t(id, description, words) WHERE description IS NOT NULL")
+@query(
+    f"WITH {FIGURES}, t(id, description, words) AS (SELECT * FROM (VALUES {_sql_values(STUBS)}) v UNION ALL SELECT row_idx, CASE WHEN row_idx % 13 = 0 THEN NULL WHEN row_idx % 11 = 0 THEN '' ELSE title END, CASE WHEN row_idx % 7 <> 0 THEN words % 200 END FROM figures) "
+    "SELECT id, coalesce(words >= 100, false) AS long_enough FROM t WHERE description IS NOT NULL"
+)
 def prefilter_stub_nulls(spark, d):
-    rows = _values(spark, STUBS, "id int, description string, words int")
+    """Literal edge cases, and all figures with some descriptions null or empty and some articles unread."""
+    k = F.col("row_idx")
+    every = B.figures(spark, d).select(k.alias("id"), F.when(k % 13 != 0, F.when(k % 11 == 0, "").otherwise(F.col("title"))).alias("description"), F.when(k % 7 != 0, F.col("words") % 200).alias("words"))
+    rows = _values(spark, STUBS, "id long, description string, words int").union(every)
     return rows.where(F.col("description").isNotNull()).select("id", F.coalesce(F.col("words") >= 100, F.lit(False)).alias("long_enough"))
 
 
@@ -109,10 +116,15 @@ TIER_ROWS = [(1, "major", "birth"), (2, "minor", None), (3, "odd", "gazetteer"),
 
 
 @query(
-    f"SELECT id, (CASE tier WHEN 'ordinary' THEN 0 WHEN 'minor' THEN 1 WHEN 'major' THEN 2 ELSE 0 END)::SMALLINT AS tier_code, (CASE geo WHEN 'birth' THEN 0 WHEN 'death' THEN 1 WHEN 'citizenship' THEN 2 WHEN 'gazetteer' THEN 3 ELSE 4 END)::SMALLINT AS geo_code FROM (VALUES {_sql_values(TIER_ROWS)}) t(id, tier, geo)"
+    f"SELECT id, (CASE tier WHEN 'ordinary' THEN 0 WHEN 'minor' THEN 1 WHEN 'major' THEN 2 ELSE 0 END)::SMALLINT AS tier_code, (CASE geo WHEN 'birth' THEN 0 WHEN 'death' THEN 1 WHEN 'citizenship' THEN 2 WHEN 'gazetteer' THEN 3 ELSE 4 END)::SMALLINT AS geo_code FROM (SELECT * FROM (VALUES {_sql_values(TIER_ROWS)}) v(id, tier, geo) UNION ALL "
+    "SELECT o_orderkey, CASE WHEN o_orderpriority < '2' THEN 'major' WHEN o_orderpriority < '3' THEN 'minor' WHEN o_orderpriority < '4' THEN 'ordinary' ELSE o_orderpriority END, CASE o_orderkey % 5 WHEN 0 THEN 'birth' WHEN 1 THEN 'death' WHEN 2 THEN 'citizenship' WHEN 3 THEN 'gazetteer' END FROM orders) t"
 )
 def tier_codes(spark, d):
-    rows = _values(spark, TIER_ROWS, "id int, tier string, geo string")
+    """Literal edge cases, and the priorities and statuses of all orders under the names of tiers and sources."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    tier = F.when(F.col("o_orderpriority") < "2", "major").when(F.col("o_orderpriority") < "3", "minor").when(F.col("o_orderpriority") < "4", "ordinary").otherwise(F.col("o_orderpriority"))
+    geo = F.when(k % 5 == 0, "birth").when(k % 5 == 1, "death").when(k % 5 == 2, "citizenship").when(k % 5 == 3, "gazetteer")
+    rows = _values(spark, TIER_ROWS, "id long, tier string, geo string").union(o.select(k, tier, geo))
     return rows.select("id", T.code_of(F.col("tier"), ("ordinary", "minor", "major"), 0).alias("tier_code"), T.code_of(F.col("geo"), ("birth", "death", "citizenship", "gazetteer"), 4).alias("geo_code"))
 
 
@@ -138,11 +150,24 @@ ENTITIES = [
     {"id": "Q221", "type": "item", "labels": {}, "sitelinks": {}, "claims": {"P17": [_snak({"id": "Q38"})]}},
 ]
 LINES = [(i, json.dumps(e)) for i, e in enumerate(ENTITIES)]
-ENTITY_CTE = f"e AS (SELECT j::JSON AS j FROM (VALUES {_sql_values(LINES)}) t(i, j))"
+#: An entity of every customer: a person, a place, or one with statements to leave out; <k> is the customer's key, <y> a year of three digits.
+MADE = [
+    {"id": "QC<k>", "type": "item", "labels": {"en": {"value": "L <k>"}}, "descriptions": {"en": {"value": "d"}}, "sitelinks": {"enwiki": {"title": "T <k>"}, "dewiki": {"title": "T"}}, "claims": {"P31": [_snak({"id": "Q5"})], "P570": [_snak({"time": "+1<y>-00-00T00:00:00Z"})], "P569": [_snak({"time": "+0<y>-01-01T00:00:00Z"}, "deprecated"), _snak({"time": "-0<y>-01-01T00:00:00Z"})], "P27": [_snak({"id": "C<y>"}), _snak({"id": "C<k>"}, "preferred")], "P18": [_snak("i<k>.jpg", datatype="commonsMedia")]}},
+    {"id": "QC<k>", "type": "item", "labels": {"en": {"value": "Place <k>"}}, "sitelinks": {}, "claims": {"P625": [_snak({"latitude": "x<k>", "longitude": 1}), _snak({"latitude": "<y>", "longitude": "-0.<k>"})], "P17": [_snak({"id": ""}), _snak({"id": "C<y>"})]}},
+    {"id": "QC<k>", "type": "item", "labels": {}, "sitelinks": {"enwiki": {"title": "U <k>"}}, "claims": {"P31": [_snak({"id": "Q5"})], "P570": [_snak(None, snaktype="novalue"), _snak({"time": "-0<y>-03-15T00:00:00Z"}, "preferred"), _snak({"time": "+1<y>-03-15T00:00:00Z"})], "P19": [_snak({"id": "P<k>"})]}},
+]
+ENTITY_CTE = (
+    f"e AS (SELECT j::JSON AS j FROM (VALUES {_sql_values(LINES)}) t(i, j) UNION ALL SELECT replace(replace(CASE c_custkey % 3 "
+    + " ".join(f"WHEN {i} THEN '{json.dumps(e)}'" for i, e in enumerate(MADE)) + " END, '<k>', c_custkey::VARCHAR), '<y>', lpad((c_custkey % 1000)::VARCHAR, 3, '0'))::JSON FROM customer)"
+)
 
 
-def _entities(spark: SparkSession) -> DataFrame:
-    e = _values(spark, LINES, "i int, value string").select(F.from_json("value", C.ENTITY).alias("e"))
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    """The literal edge cases and the entities made of all customers."""
+    k = F.col("c_custkey")
+    made = F.get(F.array(*(F.lit(json.dumps(e)) for e in MADE)), (k % 3).cast("int"))
+    lines = table(spark, d, "customer").select(F.replace(F.replace(made, F.lit("<k>"), k.cast("string")), F.lit("<y>"), F.lpad((k % 1000).cast("string"), 3, "0")).alias("value"))
+    e = _values(spark, LINES, "i int, value string").select("value").union(lines).select(F.from_json("value", C.ENTITY).alias("e"))
     return e.withColumn("c", C.ranked(F.col("e.claims")))
 
 
@@ -168,7 +193,7 @@ def _sql_year(prop: str) -> str:
     f"FROM e WHERE list_contains({_sql_ids('P31')}, 'Q5') AND {_sql_year('P570')} IS NOT NULL AND json_extract(j, '$.sitelinks.enwiki') IS NOT NULL"
 )
 def json_entity_rows(spark, d):
-    e = _entities(spark)
+    e = _entities(spark, d)
     row = C.figure_row(F.col("e"), F.col("c"))
     return e.where(C.is_figure(F.col("e"), F.col("c"))).select(C.first(row["citizenships"]).alias("citizenship"), *(row[k].alias(k) for k in ("qid", "title", "birth_year", "death_year", "birth_place_qid", "has_image")))
 
@@ -177,7 +202,7 @@ def json_entity_rows(spark, d):
     f"WITH {ENTITY_CTE} SELECT json_extract_string(j, '$.id') AS qid, len(json_keys(coalesce(json_extract(j, '$.sitelinks'), '{{}}')))::INT AS sitelink_count, coalesce(list_sum(list_transform(json_keys(json_extract(j, '$.claims')), lambda k: json_array_length(json_extract(j, '$.claims.' || k)))), 0)::INT AS claim_count FROM e"
 )
 def entity_counts(spark, d):
-    e = _entities(spark)
+    e = _entities(spark, d)
     return e.select(F.col("e.id").alias("qid"), F.coalesce(F.size("e.sitelinks"), F.lit(0)).alias("sitelink_count"), C.statement_count(F.col("e.claims")).alias("claim_count"))
 
 
@@ -186,7 +211,7 @@ def entity_counts(spark, d):
     f"SELECT json_extract_string(j, '$.id') AS qid, json_extract_string(j, '$.labels.en.value') AS label, c.lat AS lat, c.lon AS lon, {_sql_ids('P17')}[1] AS country_qid FROM p"
 )
 def place_rows(spark, d):
-    e = _entities(spark)
+    e = _entities(spark, d)
     row = C.place_row(F.col("e"), F.col("c"))
     return e.select(*(row[k].alias(k) for k in ("qid", "label", "lat", "lon", "country_qid")))
 
@@ -199,9 +224,10 @@ def props_field(spark, d):
 TIMES = [("+1879-03-14T00:00:00Z",), ("-0044-03-15T00:00:00Z",), ("+0000-01-01",), ("1800",), ("",), ("x12-",), ("+99999999999-01-01",)]
 
 
-@query(f"SELECT t, CASE WHEN starts_with(t, '-') THEN -1 ELSE 1 END * TRY_CAST(nullif(regexp_extract(t, '^.([0-9]+)-', 1), '') AS INT) AS y FROM (VALUES {_sql_values(TIMES)}) v(t)")
+@query(f"SELECT t, CASE WHEN starts_with(t, '-') THEN -1 ELSE 1 END * TRY_CAST(nullif(regexp_extract(t, '^.([0-9]+)-', 1), '') AS INT) AS y FROM (SELECT t FROM (VALUES {_sql_values(TIMES)}) v(t) UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END || strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' FROM orders)")
 def parse_year(spark, d):
-    return _values(spark, TIMES, "t string").select("t", T.parse_year(F.col("t")).alias("y"))
+    dates = table(spark, d, "orders").select(F.concat(F.when(F.col("o_orderkey") % 2 == 0, "+").otherwise("-"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z")))
+    return _values(spark, TIMES, "t string").union(dates).select("t", T.parse_year(F.col("t")).alias("y"))
 
 
 # Texts.
@@ -279,9 +305,9 @@ YEARS = [(-1500,), (-101,), (-100,), (-99,), (-1,), (0,), (1,), (100,), (101,),
 SQL_ORD = "({0})::VARCHAR || CASE WHEN ({0}) // 10 % 10 = 1 THEN 'th' WHEN ({0}) % 10 = 1 THEN 'st' WHEN ({0}) % 10 = 2 THEN 'nd' WHEN ({0}) % 10 = 3 THEN 'rd' ELSE 'th' END"
 
 
-@query(f"SELECT y, CASE WHEN y > 0 THEN {SQL_ORD.format('(y - 1) // 100 + 1')} || ' century' ELSE {SQL_ORD.format('floor((-y - 1) / 100.0)::BIGINT + 1')} || ' century BCE' END AS era FROM (VALUES {_sql_values(YEARS)}) v(y)")
+@query(f"WITH {FIGURES} SELECT y, CASE WHEN y > 0 THEN {SQL_ORD.format('(y - 1) // 100 + 1')} || ' century' ELSE {SQL_ORD.format('floor((-y - 1) / 100.0)::BIGINT + 1')} || ' century BCE' END AS era FROM (SELECT y FROM (VALUES {_sql_values(YEARS)}) v(y) UNION ALL SELECT death_year FROM figures)")
 def century_label(spark, d):
-    return _values(spark, YEARS, "y int").select("y", T.century(F.col("y")).alias("era"))
+    return _values(spark, YEARS, "y int").union(B.figures(spark, d).select("death_year")).select("y", T.century(F.col("y")).alias("era"))
 
 
 SQL_YEAR = "CASE WHEN {0} < 0 THEN (-{0})::VARCHAR || ' BCE' ELSE {0}::VARCHAR END"
@@ -378,15 +404,25 @@ def article_left_join(spark, d):
     return links.attach_articles(docs, arts).select("doc_id", "quality", F.size("links").alias("n_links"))
 
 
-PAGE_LINKS = [(1, ["Ada", ":ada_Lovelace", "File:x.png", "Bo#life", "ada"]), (2, ["old name", "New", "Nowhere"]), (3, []), (4, ["Bo", "bo", "Old name"])]
+#: Links of every customer's page: the same title twice, an old title, other namespaces, one that nobody has.
+LINKED = "['cust_' || (c_custkey * 7 % 150 + 1), 'Old ' || (c_custkey * 3 % 50), 'File:x.png', ':Cust ' || (c_custkey * 7 % 150 + 1) || '#life', 'Nowhere ' || c_custkey, 'Cust ' || c_custkey]"
 
 
-@query("SELECT * FROM (VALUES (1, ['Q1', 'Q9', 'Q2']), (2, ['Q4']), (4, ['Q2', 'Q4'])) v(page_id, qids)")
+@query(
+    f"WITH p AS (SELECT c_custkey AS page_id, unnest({LINKED}) AS t, unnest(range(6)) AS pos FROM customer), l AS (SELECT page_id, pos, upper(substr({SQL_TITLE}, 1, 1)) || substr({SQL_TITLE}, 2) AS link FROM p WHERE NOT starts_with(t, 'File:')), "
+    "hops AS (SELECT 'Old ' || n_nationkey AS source, 'Cust ' || (n_nationkey + 1) AS target FROM nation), titles AS (SELECT 'Cust ' || c_custkey AS title, CASE WHEN c_custkey % 10 = 0 THEN 'QQ' ELSE 'Q' END || c_custkey AS qid FROM customer), "
+    "hit AS (SELECT page_id, qid, min(pos) AS pos FROM l LEFT JOIN hops ON link = source JOIN titles ON coalesce(target, link) = title GROUP BY 1, 2) SELECT page_id, string_agg(qid, ',' ORDER BY pos) AS qids FROM hit GROUP BY 1"
+)
 def link_resolution(spark, d):
-    pages = _values(spark, PAGE_LINKS, "page_id int, links array<string>")
-    hops = _values(spark, [("Old name", "New")], "source string, target string")
-    titles = _values(spark, [("Ada", "Q1", 0), ("Ada Lovelace", "Q9", 1), ("Bo", "Q8", 2), ("Bo", "Q2", 5), ("New", "Q4", 3)], "title string, qid string, row_idx int")
-    return links.resolve(pages, hops, titles)
+    """Links between the pages of all customers; every tenth title stands twice, and its last row counts."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select("c_custkey")
+    to = (k * 7 % 150 + 1).cast("string")
+    listed = F.array(F.concat(F.lit("cust_"), to), F.concat(F.lit("Old "), k * 3 % 50), F.lit("File:x.png"), F.concat(F.lit(":Cust "), to, F.lit("#life")), F.concat(F.lit("Nowhere "), k), F.concat(F.lit("Cust "), k))
+    hops = table(spark, d, "nation").select(F.concat(F.lit("Old "), "n_nationkey").alias("source"), F.concat(F.lit("Cust "), F.col("n_nationkey") + 1).alias("target"))
+    title = F.concat(F.lit("Cust "), k).alias("title")
+    titles = c.select(title, F.concat(F.lit("Q"), k).alias("qid"), k.alias("row_idx")).union(c.where(k % 10 == 0).select(title, F.concat(F.lit("QQ"), k), k + 10_000_000_000))
+    return links.resolve(c.select(k.alias("page_id"), listed.alias("links")), hops, titles).select("page_id", F.array_join("qids", ",").alias("qids"))
 
 
 ANCHORS = [("First", ["Customer#000000001", "Customer#000000002", "Nobody"]), ("Second", ["Customer#000000004", "Customer#000000005", "Customer#000000007"])]
@@ -567,9 +603,7 @@ def title_dedupe(spark, d):
 
 @query(f"WITH {PLACED}, c AS (SELECT qid, row_idx, floor(x / 500)::BIGINT AS cx, floor(y / 500)::BIGINT AS cy FROM placed), n AS (SELECT *, count(*) OVER (PARTITION BY cx, cy) AS n, row_number() OVER (PARTITION BY cx, cy ORDER BY row_idx) AS k FROM c) SELECT qid FROM n WHERE n <= 8 OR (k - 1) % 6 = 0")
 def carpet_thinning(spark, d):
-    c = positions(spark, d).select("qid", "row_idx", spatial.cell(F.col("x"), 500.0).alias("cx"), spatial.cell(F.col("y"), 500.0).alias("cy"))
-    w = Window.partitionBy("cx", "cy")
-    return c.withColumns({"n": F.count("*").over(w), "k": F.row_number().over(w.orderBy("row_idx"))}).where((F.col("n") <= 8) | (F.pmod(F.col("k") - 1, F.lit(6)) == 0)).select("qid")
+    return spatial.thinned(B.layout(spark, d).select("qid", "row_idx", "x", "y"), 500.0, ident="row_idx").select("qid")
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place, (sum(strlen(c_name)) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) - strlen(c_name))::BIGINT AS starts FROM customer UNION ALL SELECT NULL, count(*), sum(strlen(c_name))::BIGINT FROM customer")
@@ -639,11 +673,44 @@ def chord_deviation_bands(spark, d):
     return _rounded(stats.deviation_stats(_points(spark, d), v, F.floor(F.hypot("x", "y") / 1000)))
 
 
-@query("WITH g AS (SELECT i // 32 AS i, i % 32 AS j, sin(i) * 3 AS h FROM range(1024) t(i)), s AS (SELECT lead(h) OVER (PARTITION BY i ORDER BY j) - h AS v FROM g) SELECT round(degrees(atan(quantile_cont(v, 0.95) FILTER (v > 0))), 5) AS up, round(degrees(atan(quantile_cont(-v, 0.95) FILTER (v < 0))), 5) AS down, round(avg((v > 0.5)::INT) FILTER (v > 0), 5) AS steep_up, round(avg((-v > 0.5)::INT) FILTER (v < 0), 5) AS steep_down FROM s")
+#: How many figures stand in each cell of a raster of 64 by 64, empty ones too, as heights.
+RASTER = f"""{PLACED}, hist AS (SELECT least(floor((x + 9000) / 18000 * 64), 63)::INT AS i, least(floor((y + 9000) / 18000 * 64), 63)::INT AS j, count(*) AS n FROM placed GROUP BY 1, 2),
+raster AS (SELECT (k // 64)::INT AS i, (k % 64)::INT AS j, coalesce(n, 0)::DOUBLE AS h FROM range(4096) t(k) LEFT JOIN hist ON hist.i = k // 64 AND hist.j = k % 64)"""
+
+
+def _raster(spark, d):
+    cells = spark.range(4096).select(F.floor(F.col("id") / 64).cast("int").alias("i"), (F.col("id") % 64).cast("int").alias("j"))
+    return cells.join(density_hist2d(spark, d), ["i", "j"], "left").select("i", "j", F.coalesce("n", F.lit(0)).cast("double").alias("h"))
+
+
+def _sql_gradient(by: str, along: str) -> str:
+    w = f"(PARTITION BY {by} ORDER BY {along})"
+    return f"(coalesce(lead(h) OVER {w}, h) - coalesce(lag(h) OVER {w}, h)) / (CASE WHEN {along} IN (0, 63) THEN 1 ELSE 2 END * 281.25::DOUBLE)"
+
+
+WIND = (0.8, -0.6)
+SLOPES = f"{RASTER}, slopes AS (SELECT i, j, {_sql_gradient('i', 'j')} * {WIND[0]}::DOUBLE + {_sql_gradient('j', 'i')} * ({WIND[1]}::DOUBLE) AS v FROM raster)"
+
+
+@query(f"WITH {SLOPES} SELECT i, j, round(v, 9) AS slope FROM slopes")
+def wind_slopes(spark, d):
+    """The gradient along the wind of the binned figures."""
+    return stats.wind_slopes(_raster(spark, d), 281.25, WIND).select("i", "j", _r(F.col("slope"), 9).alias("slope"))
+
+
+@query(f"WITH {SLOPES} SELECT round(degrees(atan(quantile_cont(v, 0.95) FILTER (v > 0))), 5) AS up, round(degrees(atan(quantile_cont(-v, 0.95) FILTER (v < 0))), 5) AS down, round(avg((v > 0.01)::INT) FILTER (v > 0), 5) AS steep_up, round(avg((-v > 0.01)::INT) FILTER (v < 0), 5) AS steep_down FROM slopes")
 def slope_asymmetry(spark, d):
-    g = spark.range(1024).select(F.floor(F.col("id") / 32).alias("i"), (F.col("id") % 32).alias("j"), (F.sin("id") * 3).alias("h"))
-    slopes = g.select((F.lead("h").over(Window.partitionBy("i").orderBy("j")) - F.col("h")).alias("v"))
-    return _rounded(stats.slope_asymmetry(slopes, F.col("v"), 0.5), 5)
+    return _rounded(stats.slope_asymmetry(stats.wind_slopes(_raster(spark, d), 281.25, WIND), F.col("slope"), 0.01), 5)
+
+
+PRICE = "l_extendedprice * (1 - l_discount) * ln(2 + l_quantity)"
+
+
+@query("SELECT l_returnflag AS flag, " + ", ".join(f"round(quantile_cont({PRICE}, {q}), 4) AS {n}" for n, q in (("p05", 0.05), ("mid", 0.5), ("p95", 0.95), ("p99", 0.99))) + " FROM lineitem GROUP BY 1")
+def exact_quantiles(spark, d):
+    """Quantiles of a continuous column of a large table, by selection."""
+    rows = table(spark, d, "lineitem")
+    return _rounded(quantiles(rows, F.expr(PRICE), {"p05": 0.05, "mid": 0.5, "p95": 0.95, "p99": 0.99}, F.col("l_returnflag")), 4).withColumnRenamed("group", "flag")
 
 
 @query(f"WITH {POINTS} SELECT round(min(r / 3), 6) AS least, round(median(r / 3), 6) AS mid, round(max(r / 3), 6) AS most FROM points")
@@ -791,17 +858,16 @@ def ordered_by_radius(spark, d):
     return m.select(F.row_number().over(Window.orderBy(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("place"), "label")
 
 
-@query("WITH g AS (SELECT i // 32 AS i, i % 32 AS j, sin(i) AS h FROM range(1024) t(i)) SELECT i, j, round(lead(h) OVER (PARTITION BY i ORDER BY j) - h, 6) AS dj, round(lead(h) OVER (PARTITION BY j ORDER BY i) - h, 6) AS di FROM g")
+@query(f"WITH {RASTER} SELECT i, j, round(lead(h) OVER (PARTITION BY i ORDER BY j) - h, 6) AS dj, round(lead(h) OVER (PARTITION BY j ORDER BY i) - h, 6) AS di FROM raster")
 def neighbour_diff(spark, d):
-    g = spark.range(1024).select(F.floor(F.col("id") / 32).alias("i"), (F.col("id") % 32).alias("j"), F.sin("id").alias("h"))
     along = lambda a, b: _r(F.lead("h").over(Window.partitionBy(a).orderBy(b)) - F.col("h"))
-    return g.select("i", "j", along("i", "j").alias("dj"), along("j", "i").alias("di"))
+    return _raster(spark, d).select("i", "j", along("i", "j").alias("dj"), along("j", "i").alias("di"))
 
 
 @query(f"WITH {TIERED} SELECT landmark_tier, count(*) AS n, round(avg(radius), 4) AS radius, round(avg({SQL_SCALE}), 6) AS scale, sum((lon IS NOT NULL)::INT)::BIGINT AS located FROM t GROUP BY 1")
 def placement_chain(spark, d):
     """The whole chain: radius, angle, tier and size, summed up by tier."""
-    return placed(spark, d).groupBy("landmark_tier").agg(F.count("*").alias("n"), _r(F.avg("radius"), 4).alias("radius"), _r(F.avg("book_scale")).alias("scale"), F.sum(F.col("lon").isNotNull().cast("int")).alias("located"))
+    return placement.tiers(stored(positions(spark, d), "positions")).groupBy("landmark_tier").agg(F.count("*").alias("n"), _r(F.avg("radius"), 4).alias("radius"), _r(F.avg("book_scale")).alias("scale"), F.sum(F.col("lon").isNotNull().cast("int")).alias("located"))
 
 
 @query()
@@ -818,9 +884,8 @@ def heightmap(spark, d):
 
 @query()
 def avalanche(spark, d):
-    """(i, j, height) of 64 x 64 cells of spiral dunes after the sand slide."""
-    rows = terrain.field_rows(spark, 64)
-    return _cells(spark, terrain.avalanche(terrain._grid(rows, "dunes", 64), terrain.WORLD / 64), "height")
+    """(i, j, height) of 64 x 64 cells after the sand slide: heaps as high as figures stand in each."""
+    return _cells(spark, terrain.avalanche(terrain.histogram(B.layout(spark, d), 64) * 100.0, terrain.WORLD / 64), "height")
 
 
 def _cells(spark: SparkSession, grid, name: str) -> DataFrame:

@@ -22,9 +22,9 @@ REGIONS = {f"region {k}": f"C{k}" for k in range(25)}
 GAZETTEER = {"min_pool": 30, "aliases": {"C26": "C1", "C25": "C2"}, "ignore": ["no region 3"], "regions": REGIONS}
 
 
-def _claim(prop: str, *parts: Column | str) -> Column:
+def _claim(prop: str, *parts: Column | str, kind: str = "x") -> Column:
     value = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    return F.concat(F.lit(f'"{prop}":[{{"rank":"normal","mainsnak":{{"snaktype":"value","datatype":"x","datavalue":{{"value":{{'), value, F.lit("}}}}]"))
+    return F.concat(F.lit(f'"{prop}":[{{"rank":"normal","mainsnak":{{"snaktype":"value","datatype":"{kind}","datavalue":{{"value":{{'), value, F.lit("}}}}]"))
 
 
 def _time(year: Column) -> Column:
@@ -41,11 +41,18 @@ def _subjects(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _more(ident) -> tuple[Column, ...]:
+    """Claims that only some figures have: a gender, an occupation, an image, one external id or two."""
+    k = F.col("row_idx")
+    outer = lambda prop: _claim(prop, '"id":"', k.cast("string"), '"', kind="external-id")
+    return (F.when(k % 4 != 0, ident("P21", F.concat(F.lit("G"), k % 2))), F.when(k % 6 != 0, ident("P106", F.concat(F.lit("J"), k % 9))), F.when(k % 3 == 0, _claim("P18", '"file":"a.jpg"')), F.when(k % 2 == 0, outer("P214")), F.when(k % 8 == 0, outer("P227")))
+
+
 def entity_dump(spark: SparkSession, d: str) -> str:
     """The folder of a JSON dump with an entity a line: a figure of each order, a place of each supplier."""
     f = _subjects(spark, d)
     ident = lambda p, c: _claim(p, '"id":"', c, '"')
-    claims = F.concat_ws(",", ident("P31", F.lit("Q5")), F.when(F.col("birth_year").isNotNull(), _claim("P569", '"time":"', _time(F.col("birth_year")), '"')), _claim("P570", '"time":"', _time(F.col("death_year")), '"'), ident("P27", F.col("citizen")), ident("P19", F.col("birth")), ident("P20", F.col("death")))
+    claims = F.concat_ws(",", ident("P31", F.lit("Q5")), F.when(F.col("birth_year").isNotNull(), _claim("P569", '"time":"', _time(F.col("birth_year")), '"')), _claim("P570", '"time":"', _time(F.col("death_year")), '"'), ident("P27", F.col("citizen")), ident("P19", F.col("birth")), ident("P20", F.col("death")), *_more(ident))
     text = F.concat(F.lit('{"en":{"value":"'), F.col("description"), F.lit('"}}'))
     figures = f.select(F.concat(F.lit('{"type":"item","id":"'), "qid", F.lit('","labels":{},"descriptions":'), F.coalesce(text, F.lit("{}")), F.lit(',"claims":{'), claims, F.lit('},"sitelinks":{"enwiki":{"title":"'), "title", F.lit('"}}},')).alias("value"))
     p = _places(spark, d)
@@ -68,10 +75,18 @@ SUBJECTS = f"""{FIGURES}, subjects AS (SELECT row_idx, qid, replace(title, '#',
   row_idx % 5 = 0 AS ignored, row_idx % 29 AS named FROM figures WHERE death_year < 1900 AND row_idx % 13 <> 0)"""
 
 
-@query(f"WITH {SUBJECTS} SELECT qid, title, birth_year, death_year, citizen, 1::INT AS sitelink_count, (CASE WHEN birth_year IS NULL THEN 5 ELSE 6 END)::INT AS claim_count FROM subjects")
+SQL_OUTER = "((row_idx % 2 = 0)::INT + (row_idx % 8 = 0)::INT)"
+
+
+@query(
+    f"WITH {SUBJECTS} SELECT qid, title, birth_year, death_year, CASE WHEN ignored THEN 'no region 3, ' ELSE 'poet of ' END || 'region ' || named AS description, citizen AS citizenships, 1::INT AS sitelink_count, "
+    f"(5 + (birth_year IS NOT NULL)::INT + (row_idx % 4 <> 0)::INT + (row_idx % 6 <> 0)::INT + (row_idx % 3 = 0)::INT + {SQL_OUTER})::INT AS claim_count, {SQL_OUTER}::INT AS identifier_count, row_idx % 3 = 0 AS has_image, "
+    "CASE WHEN row_idx % 4 <> 0 THEN 'G' || (row_idx % 2) END AS gender, birth AS birth_place_qid, death AS death_place_qid, CASE WHEN row_idx % 6 <> 0 THEN 'J' || (row_idx % 9) ELSE '' END AS occupations, 'Q5' AS instance_of_qids FROM subjects"
+)
 def dump_figures(spark, d):
-    """Stages 1 and 2: the dump read, parsed and filtered."""
-    return _read(spark, d)[1].select("qid", "title", "birth_year", "death_year", F.get("citizenships", F.lit(0)).alias("citizen"), "sitelink_count", "claim_count")
+    """Stages 1 and 2: the dump read, parsed and filtered; all fifteen columns, lists joined by commas."""
+    rows = _read(spark, d)[1]
+    return rows.select(*(F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes))
 
 
 def _found(spark: SparkSession, d: str, path: str, rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 
 from conftest import SF
 from oracle import same
-from quillmap.plans import atlas, stages  # noqa: F401
+from quillmap.plans import atlas, lookups, stages  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(atlas.SQL))
