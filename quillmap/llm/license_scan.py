@@ -1,7 +1,7 @@
 """Licence scans: base phrases, and notices found by an exact set-similarity join.
 
 A notice is a set of words; a text block (a line, and with a line of wrapped text the
-lines after it, RUN in all) meets it if it holds THRESHOLD of them at least. Words are ordered by the number of documents that hold them, rarest first. A
+lines after it, however short, until there are SPAN words) meets it if it holds THRESHOLD of them at least. Words are ordered by the number of documents that hold them, rarest first. A
 block that meets a notice of m words holds t = ceil(THRESHOLD m) of them, so it holds one
 of the notice's first m - t + 1 words (prefix filter) and t words of all notices (length
 filter); from a shared word on, so many must still be left on both sides (positional
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 THRESHOLD = 0.8
-#: Lines of at most so many characters count as wrapped, and so many of them make a block.
-WIDTH, RUN = 100, 5
+#: Lines of at most so many characters count as wrapped, and a block grows by them until it has so many words: the longest notice, and what may stand before it on its line.
+WIDTH, SPAN = 100, 48
 #: Words once A-Z are lower case, and what parts words in a text as it stands.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -52,21 +52,20 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def blocks_of(text: Column) -> Column:
-    """The block that begins with each line: it ends before a line without a word, a long line, or after RUN lines.
+    """The block that begins with each line: the lines after it while it has under SPAN words, up to a long line or one without a word.
 
     A block holds what its shorter beginnings hold, so these need no blocks of their own.
     """
-    lines = F.split(text, "\n")
+    n = lambda line: F.size(F.array_remove(F.split(line, GAP), ""))
+    lines = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("words"), (F.length(line) <= WIDTH).alias("open"), n(line).alias("n")))
 
     def grown(block: Column, line: Column) -> Column:
-        more = block["open"] & (F.length(line) <= WIDTH) & line.rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-        return F.struct(F.when(more, F.concat(block["words"], F.lit(" "), line)).otherwise(block["words"]).alias("words"), more.alias("open"))
+        more = block["open"] & line["open"] & (line["n"] > 0) & (block["n"] < SPAN)
+        return F.struct(F.when(more, F.concat(block["words"], F.lit(" "), line["words"])).otherwise(block["words"]).alias("words"), more.alias("open"), (block["n"] + line["n"]).alias("n"))
 
-    def block(line: Column, i: Column) -> Column:
-        start = F.struct(line.alias("words"), (F.length(line) <= WIDTH).alias("open"))
-        return F.aggregate(F.slice(lines, i + 2, RUN - 1), start, grown, lambda b: b["words"])
-
-    return F.transform(lines, block)
+    # The lines are bound to a name, or every step would split the text again.
+    every = F.transform(F.array(lines), lambda ls: F.transform(ls, lambda line, i: F.when(line["open"], F.aggregate(F.slice(ls, i + 2, SPAN), line, grown, lambda b: b["words"])).otherwise(line["words"])))
+    return every[0]
 
 
 def notices(docs: DataFrame, templates=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
@@ -126,12 +125,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The same in DuckDB, by plain comparison of every block with every notice."""
-    word, says = WORD, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    word = WORD
     phrases = ", ".join(f"({i}, '{p}', '{label}')" for i, (p, label) in enumerate(PHRASES.items()))
     templates = ", ".join(f"({i}, '{label}', '{t}')" for i, (label, t) in enumerate(NOTICES))
     low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
-    more = [f"goes[i + {k}]" for k in range(2, RUN + 1)]
-    run = f"CASE WHEN NOT short[i + 1] THEN 1 {' '.join(f'WHEN NOT coalesce({m}, false) THEN {k + 1}' for k, m in enumerate(more))} ELSE {RUN} END"
     return f"""
 WITH docs AS (SELECT doc_id, {low} AS low, regexp_extract_all({low}, '{word}') AS w FROM documents),
 phrases(k, phrase, label) AS (VALUES {phrases}),
@@ -142,9 +139,11 @@ base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DI
 templates(k, label, t) AS (VALUES {templates}),
 sets AS (SELECT k, label, list_distinct(string_split(t, ' ')) AS s FROM templates),
 vocabulary AS (SELECT list_distinct(flatten(list(s))) AS v FROM sets),
-lines AS (SELECT doc_id, string_split(low, chr(10)) AS l FROM docs),
-wrapped AS (SELECT doc_id, l, list_transform(l, lambda x: len(x) <= {WIDTH}) AS short, list_transform(l, lambda x: len(x) <= {WIDTH} AND regexp_matches(x, '{says}')) AS goes FROM lines),
-blocks AS (SELECT doc_id, array_to_string(l[i + 1 : i + {run}], ' ') AS block FROM wrapped, unnest(range(len(l))) AS u(i)),
+lines AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(low, chr(10)) AS l FROM docs)),
+counted AS (SELECT *, len(regexp_extract_all(line, '{word}')) AS n, len(line) <= {WIDTH} AS short FROM lines),
+running AS (SELECT *, sum(n) OVER w AS words, sum((NOT (short AND n > 0))::INT) OVER w AS stops FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+blocks AS (SELECT a.doc_id, string_agg(b.line, ' ' ORDER BY b.i) AS block FROM running a JOIN running b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + {SPAN}
+  WHERE b.i = a.i OR a.short AND b.stops = a.stops AND b.words - b.n - a.words + a.n < {SPAN} GROUP BY a.doc_id, a.i),
 held AS (SELECT doc_id, list_intersect(list_distinct(regexp_extract_all(block, '{word}')), v) AS b FROM blocks, vocabulary),
 met AS (SELECT doc_id, label, len(list_intersect(b, s)) / len(s)::DOUBLE AS c FROM held, sets WHERE len(list_intersect(b, s)) >= ceil({THRESHOLD} * len(s) - 1e-9)),
 own AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM met GROUP BY doc_id)

@@ -323,6 +323,12 @@ def test_wrapped_notices_are_found(spark):
     gpl = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License.\n */"
     mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction'
     bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+    for width in (15, 25, 40, 80, 99):
+        import textwrap
+
+        wrapped = [(i, "Some code.\n\n" + "\n".join("# " + x for x in textwrap.wrap(t, width)) + "\n\nx = 1") for i, (_, t) in enumerate(license_scan.NOTICES)]
+        found = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan(spark.createDataFrame(wrapped, "doc_id long, text string")).collect()}
+        assert all(label in found[i] for i, (label, _) in enumerate(license_scan.NOTICES)), width
     parted = mit.replace("copy\n", "copy\n\n")
     docs = spark.createDataFrame(list(enumerate([gpl, mit, bsd, parted, mit.replace("\n", " " + "x" * 100 + "\n")])), "doc_id long, text string")
     got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan(docs).collect()}
