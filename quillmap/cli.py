@@ -5,10 +5,11 @@ from __future__ import annotations
 import argparse
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import anchors, articles, placement, stats, terrain, topology
+from .operators import anchors, articles, placement, rasters, stats, terrain, topology
 from .sources import binaries, dumps, layouts
 from .sources.storage import optional, required
 
@@ -76,8 +77,11 @@ def heightmap(spark: SparkSession, a: argparse.Namespace) -> None:
         grid, size = terrain.window(spark, a.crop_x, a.crop_z, a.crop_size, a.res, knobs), a.crop_size
         binaries.write_raster(a.out, H=grid, world_size=size)
         return
-    grid, books, envelope = terrain.heightmap(points, a.res, ground=knobs)
-    binaries.write_raster(a.out, H=grid, density=books, envelope=envelope, world_size=terrain.WORLD)
+    rows = rasters.heights(points, a.res, ground=knobs).toPandas()  # one raster, of the caller's size, into one file
+    grids = {name: np.empty((a.res, a.res)) for name in ("height", "density", "envelope")}
+    for name, grid in grids.items():
+        grid[rows.i, rows.j] = rows[name]
+    binaries.write_raster(a.out, H=grids["height"], density=grids["density"], envelope=grids["envelope"], world_size=terrain.WORLD)
 
 
 def mesh(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -13,7 +13,7 @@ from ..functions import claims as C
 from ..functions import geometry as G
 from ..functions import noise
 from ..functions import text as T
-from ..operators import anchors, articles, links, placement, spatial, stats, terrain, topology
+from ..operators import anchors, articles, links, placement, rasters, spatial, stats, terrain, topology
 from ..sources import dumps, layouts
 from ..operators.quantiles import quantiles
 from ..sources.storage import shared_folder, stored
@@ -870,24 +870,49 @@ def placement_chain(spark, d):
     return placement.tiers(stored(positions(spark, d), "positions")).groupBy("landmark_tier").agg(F.count("*").alias("n"), _r(F.avg("radius"), 4).alias("radius"), _r(F.avg("book_scale")).alias("scale"), F.sum(F.col("lon").isNotNull().cast("int")).alias("located"))
 
 
-@query()
+def _sql_blurred(source: str, out: str, sigma: float) -> str:
+    """CTEs that blur a raster of 64 x 64 along i, then j, its rims mirrored."""
+    n = max(1, int(4 * sigma + 0.5))
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-n, n + 1)]
+    kernel = ", ".join(f"({k}, {w / sum(weights)!r}::DOUBLE)" for k, w in zip(range(-n, n + 1), weights))
+    fold = lambda c: f"CASE WHEN ({c} + k + 128) % 128 < 64 THEN ({c} + k + 128) % 128 ELSE 127 - ({c} + k + 128) % 128 END"
+    one = lambda name, of, a, b: f"{name} AS (SELECT c.i, c.j, sum(w * s.v) AS v FROM {of} c CROSS JOIN (VALUES {kernel}) t(k, w) JOIN {of} s ON s.{b} = c.{b} AND s.{a} = {fold('c.' + a)} GROUP BY c.i, c.j)"
+    return f"{one(out + '_i', source, 'i', 'j')}, {one(out, out + '_i', 'j', 'i')}"
+
+
+#: The same raster with i along y, as the height field has it.
+FIELD = f"""{PLACED}, bins AS (SELECT least(floor((y + 9000) / 18000 * 64), 63)::INT AS i, least(floor((x + 9000) / 18000 * 64), 63)::INT AS j, count(*) AS n FROM placed WHERE abs(x) <= 9000 AND abs(y) <= 9000 GROUP BY 1, 2),
+field AS (SELECT (k // 64)::INT AS i, (k % 64)::INT AS j, coalesce(n, 0)::DOUBLE AS v FROM range(4096) t(k) LEFT JOIN bins ON bins.i = k // 64 AND bins.j = k % 64)"""
+
+
+@query(
+    f"WITH {FIELD}, {_sql_blurred('field', 'smooth', 220 / 281.25)}, top AS (SELECT quantile_cont(v, 0.98) AS top FROM smooth), share AS (SELECT i, j, CASE WHEN top > 0 THEN least(greatest(v / top, 0), 1) ELSE 0 END AS v FROM smooth, top), "
+    f"{_sql_blurred('share', 'again', 400 / 281.25)} SELECT i, j, round(v, 9) AS density FROM again"
+)
 def density_field(spark, d):
-    """(i, j, density) of 64 x 64 cells: counts in Spark, blurs as array kernels; the tests compare it with numpy."""
-    return _cells(spark, terrain.density(terrain.histogram(B.layout(spark, d), 64)), "density")
+    """(i, j, density) of 64 x 64 cells: counts, two blurs tile by tile, an exact percentile between them."""
+    return rasters.density(B.layout(spark, d), 64, tile=24).select("i", "j", _r(F.col("v"), 9).alias("density"))
 
 
 @query()
 def heightmap(spark, d):
-    """(i, j, height) of 64 x 64 cells with the envelope of the placed points."""
-    return _cells(spark, terrain.heightmap(B.layout(spark, d), 64)[0], "height")
+    """(i, j, height) of 64 x 64 cells with the envelope of the placed points; noise is beyond SQL, the tests compare it with array kernels."""
+    return rasters.heights(B.layout(spark, d), 64, tile=24).select("i", "j", "height")
 
 
-@query()
-def avalanche(spark, d):
-    """(i, j, height) of 64 x 64 cells after the sand slide: heaps as high as figures stand in each."""
-    return _cells(spark, terrain.avalanche(terrain.histogram(B.layout(spark, d), 64) * 100.0, terrain.WORLD / 64), "height")
+def _sql_slide(passes: int = 18) -> str:
+    most, out, before = math.tan(math.radians(33.0)) * 281.25, ["s0 AS MATERIALIZED (SELECT i, j, v * 100 AS v FROM field)"], "s0"
+    for p in range(passes):
+        for by, along in (("j", "i"), ("i", "j")):
+            name, w = f"s{p + 1}{along}", f"(PARTITION BY {by} ORDER BY {along})"
+            flow = lambda d: f"coalesce(sign({d}) * greatest(abs({d}) - {most!r}::DOUBLE, 0) * 0.25::DOUBLE, 0)"
+            out.append(f"{name} AS MATERIALIZED (SELECT i, j, v + {flow('up')} - {flow('down')} AS v FROM (SELECT i, j, v, lead(v) OVER {w} - v AS up, v - lag(v) OVER {w} AS down FROM {before}))")
+            before = name
+    return ", ".join(out) + f" SELECT i, j, round(v, 5) AS height FROM {before}"
 
 
-def _cells(spark: SparkSession, grid, name: str) -> DataFrame:
-    n = len(grid)
-    return spark.createDataFrame([(k // n, k % n, float(h)) for k, h in enumerate(grid.ravel())], f"i int, j int, {name} double")
+@query(f"WITH {FIELD}, {_sql_slide()}")
+def avalanche(spark, d):
+    """(i, j, height) of 64 x 64 cells after the sand slide: heaps as high as figures stand in each."""
+    heaps = rasters.counted(B.layout(spark, d), 64).withColumn("v", F.col("v") * 100)
+    return rasters.avalanche(heaps, 64, terrain.WORLD / 64, tile=24).select("i", "j", _r(F.col("v"), 5).alias("height"))
