@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,9 +58,10 @@ class Encoder:
     """The tokenizer, called once for each distinct part of the texts of a batch.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of
-    its pieces between blanks and line feeds. Pieces of plain characters consist of the
-    parts that its pattern matches; new parts are encoded many to a call and told apart
-    again by their last ids, which alone end a word. All other pieces are encoded whole.
+    its pieces between blanks and line feeds, which Arrow parts, numbers and puts together
+    again. Pieces of plain characters consist of the parts that its pattern matches; new
+    parts are encoded many to a call and told apart again by their last ids, which alone
+    end a word. All other pieces are encoded whole.
     Pieces longer than LONGEST are forgotten after their batch.
     A tokenizer of another make, which PROBE shows, encodes every text whole.
     """
@@ -83,12 +85,16 @@ class Encoder:
         return self.by_parts(texts) if self.parted else [self.whole(t) for t in texts]
 
     def by_parts(self, texts: list[str]) -> list[bytes]:
-        split = [(t.lower() if (t.isascii() or SAFE_TEXT.fullmatch(t)) and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
+        low = [(t.lower() if (t.isascii() or SAFE_TEXT.fullmatch(t)) and "<|" not in t else t).replace("\n", " ") for t in texts]
+        split = pc.split_pattern(pa.array(low, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
         if len(self.known) > KEEP:
             self.known = {"": b""}
         known = self.known
-        plain, fresh = {}, set()
-        new = set().union(*split) - known.keys()
+        plain, fresh, every = {}, set(), coded.dictionary.to_pylist()
+        got = list(map(known.get, every))
+        at = [i for i, ids in enumerate(got) if ids is None]
+        new = [every[i] for i in at]
         for piece in new:
             if (piece.isascii() and piece.isprintable() or SAFE.fullmatch(piece)) and "<|" not in piece:
                 low = piece.lower()
@@ -106,10 +112,15 @@ class Encoder:
         long = [piece for piece in (*fresh, *new) if len(piece) > LONGEST]
         for piece, parts in plain.items():
             known[piece] = part(parts[0]) if len(parts) == 1 else join(map(part, parts))
-        out = [join(map(part, pieces)) for pieces in split]
+        for i, piece in zip(at, new):
+            got[i] = part(piece)
+        ids = pa.array(got, pa.large_binary()).take(coded.indices)
         for piece in long:
             known.pop(piece, None)
-        return out
+        # The ids of all pieces stand one after another; a text's begin where its first piece's do.
+        data, starts = ids.buffers()[2], np.frombuffer(ids.buffers()[1], np.int64)
+        cuts = starts[split.offsets.to_numpy()].tolist()
+        return [data[a : b].to_pybytes() if b > a else b"" for a, b in zip(cuts, cuts[1:])]
 
     def _learn(self, parts: list[str], at_once: int = 256) -> None:
         groups = [parts[a : a + at_once] for a in range(0, len(parts), at_once)]
