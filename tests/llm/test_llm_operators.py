@@ -240,6 +240,37 @@ def test_large_bucket_goes_in_chunks(spark):
     assert near_dedup.links(same, junk, shared, chunk=8).count() == 0
 
 
+def test_long_near_copies_go_in_smaller_chunks_and_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LONG", 40)
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    rng = random.Random(12)
+    rows = []
+    for g, (length, copies) in enumerate(((3000, 7), (900, 12), (60, 5), (20_000, 3))):
+        base = words(rng, length).split()
+        for c in range(copies):
+            w = list(base)
+            for _ in range(length // 200):
+                w[rng.randrange(length)] = words(rng, 1)
+            rows.append((g * 100 + c, " ".join(w)))
+    docs = spark.createDataFrame(rows + [(900 + i, words(rng, 300)) for i in range(20)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
+    assert got == {d: d // 100 * 100 if d < 900 else d for d in got} and len(got) == 47
+
+
+def test_recall_of_near_copies(spark):
+    rng = random.Random(13)
+    rows = []
+    for g in range(150):
+        base = words(rng, 160).split()
+        copy = list(base)
+        for _ in range(rng.randint(1, 3)):  # a changed word touches five shingles of a side: similarity from 0.82 on
+            copy[rng.randrange(160)] = words(rng, 1)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
+    assert sum(got[2 * g + 1] == 2 * g for g in range(150)) >= 149 and all(got[2 * g] == 2 * g for g in range(150))
+
+
 def test_frequent_shingles_are_counted_exactly(spark):
     rng = random.Random(5)
     shared = words(rng, 10)
