@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import anchors, articles, placement, rasters, stats, terrain, topology
 from .sources import binaries, dumps, layouts
-from .sources.storage import optional, required
+from .sources.storage import optional, required, stored
 
 #: Half a book's length, and how far books keep from a monument's centre.
 HALF_BOOK, CLEAR = 0.29, 2.3
@@ -27,7 +27,9 @@ def _put(df: DataFrame, path: str) -> None:
 
 def figures(spark: SparkSession, a: argparse.Namespace) -> None:
     out = a.out.removesuffix(".parquet") + ".trial.parquet" if a.limit else a.out
-    _put(dumps.figures(spark, required(spark, a.dump, "dump"), a.limit), out)
+    rows, seen = stats.counted(dumps.figures(spark, required(spark, a.dump, "dump"), a.limit), "figures", born=F.col("birth_year").isNotNull())
+    _put(rows, out)
+    print("kept {n} figures, {born} with a birth year".format(**seen.get))
 
 
 def prefilter(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -38,21 +40,34 @@ def prefilter(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def read_articles(spark: SparkSession, a: argparse.Namespace) -> None:
-    _put(dumps.with_articles(_table(spark, a.rows, "figures"), dumps.pages(spark, required(spark, a.dump, "dump"), a.limit)), a.out)
+    out = dumps.with_articles(_table(spark, a.rows, "figures"), dumps.pages(spark, required(spark, a.dump, "dump"), a.limit))
+    out, seen = stats.counted(out, "articles", matched=F.col("lead_text").isNotNull())
+    _put(out, a.out)
+    print("joined {n} rows, {matched} with article ({pct:.1f} %)".format(pct=100 * seen.get["matched"] / max(1, seen.get["n"]), **seen.get))
 
 
 def cut(spark: SparkSession, a: argparse.Namespace) -> None:
-    _put(articles.quality_cut(_table(spark, a.rows, "figures with articles"), a.min_article_words), a.out)
+    words = F.col("article_word_count")
+    rows, seen = stats.counted(_table(spark, a.rows, "figures with articles"), "cut", none=words.isNull(), short=words < a.min_article_words)
+    _put(articles.quality_cut(rows, a.min_article_words), a.out)
+    kept = seen.get["n"] - seen.get["none"] - seen.get["short"]
+    print("read {n} rows: {none} without article, {short} under {least} words; kept {kept} ({pct:.1f} %)".format(least=a.min_article_words, kept=kept, pct=100 * kept / max(1, seen.get["n"]), **seen.get))
 
 
 def places(spark: SparkSession, a: argparse.Namespace) -> None:
-    _put(dumps.places(spark, required(spark, a.dump, "dump"), _table(spark, a.rows, "figures"), a.limit), a.out)
+    rows = _table(spark, a.rows, "figures")
+    found, seen = stats.counted(dumps.places(spark, required(spark, a.dump, "dump"), rows, a.limit), "places", located=F.col("lat").isNotNull())
+    _put(found, a.out)
+    needed = dumps.needed_places(rows).count()
+    print("matched {n} places of {needed} needed ({pct:.1f} %), {located} with coordinates".format(needed=needed, pct=100 * seen.get["n"] / max(1, needed), **seen.get))
 
 
 def place(spark: SparkSession, a: argparse.Namespace) -> None:
     found = placement.locate(_table(spark, a.figures, "figures"), _table(spark, a.places, "places"), binaries.load_gazetteer(a.gazetteer))
     rows = found.withColumns({"sitelinks": F.col("sitelink_count"), "words": F.col("article_word_count"), "row_idx": F.xxhash64("qid")})
-    _put(placement.tiers(placement.place(rows, a.seed)), a.out)
+    placed, seen = stats.counted(placement.tiers(placement.place(rows, a.seed)), "place", located=F.col("lon").isNotNull(), major=F.col("landmark_tier") == "major")
+    _put(placed, a.out)
+    print("placed {n} figures, {located} by longitude, {major} major".format(**seen.get))
 
 
 def monuments(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -65,8 +80,11 @@ def relax(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = _table(spark, a.placement, "placement")
     discs = [(r["x"], r["y"], CLEAR) for r in _table(spark, a.teleporters, "monuments").select("x", "y").collect()]  # a monument list is small by design
     points = rows.select(F.col("row_idx").alias("id"), "x", "y", (F.col("book_scale") * HALF_BOOK).alias("r"))
-    moved = topology.settled(topology.relax(points, a.rounds, discs)).select("id", *(F.col(c).alias(f"new_{c}") for c in ("x", "y", "radius", "angle")))
+    relaxed = stored(topology.relax(points, a.rounds, discs), "relaxed")
+    moved = topology.settled(relaxed).select("id", *(F.col(c).alias(f"new_{c}") for c in ("x", "y", "radius", "angle")))
     both = rows.join(moved, rows["row_idx"] == moved["id"])
+    told = topology.move_stats(relaxed).first()
+    print("relaxed: median move {:.2f}, largest {:.1f}, {} nudged; {} pairs still too near".format(told["mid"] or 0.0, told["most"] or 0.0, told["nudged"], topology.residual(relaxed).first()["pairs"]))
     _put(both.select(*(F.col(f"new_{c}").alias(c) if c in ("x", "y", "radius", "angle") else F.col(c) for c in rows.columns)), a.out)
 
 

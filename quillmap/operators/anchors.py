@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import century
+from ..sources.storage import stored
+from .quantiles import quantiles
 
 
 def members(anchors: DataFrame, figures: DataFrame) -> DataFrame:
@@ -18,17 +20,20 @@ def members(anchors: DataFrame, figures: DataFrame) -> DataFrame:
 def summarize(members: DataFrame) -> DataFrame:
     """A monument for each label, also one without any located member: centroid, seat (most sitelinks, the first on ties), median death year and its century, members, longitude spread (seam ignored).
 
-    Medians hold the distinct years of a label; a label has as many members as its list names.
+    Medians are selected, so a label may have any number of members; its lists have as many entries as the label names people.
     """
+    members = stored(members, "members")
     here = F.col("qid").isNotNull() & F.col("geo_source").isNotNull()
     only = lambda c: F.when(here, F.col(c))
     best = F.struct(F.col("sitelinks"), -F.col("pos"))
-    return members.groupBy("label").agg(
+    middle = quantiles(members.where(here), F.col("death_year"), {"mid_year": 0.5}, F.col("label")).withColumnRenamed("group", "of")
+    rows = members.groupBy("label").agg(
         F.avg(only("x")).alias("x"), F.avg(only("y")).alias("y"), F.max_by(only("qid"), F.when(here, best)).alias("seat_qid"), F.max_by(only("name"), F.when(here, best)).alias("seat_title"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda m: m["name"]).alias("people"),
-        F.transform(F.array_sort(F.collect_list(F.when(here, F.struct("pos", "qid")))), lambda m: m["qid"]).alias("member_qids"), F.median(only("death_year")).alias("mid_year"),
+        F.transform(F.array_sort(F.collect_list(F.when(here, F.struct("pos", "qid")))), lambda m: m["qid"]).alias("member_qids"),
         F.count_if(here).cast("int").alias("n_members"), F.coalesce(F.max(only("country_lon")) - F.min(only("country_lon")), F.lit(0.0)).alias("lon_spread"),
-    ).withColumn("era", century(F.col("mid_year")))
+    )
+    return rows.join(middle, F.col("label").eqNullSafe(F.col("of")), "left").drop("of").withColumn("era", century(F.col("mid_year")))
 
 
 def require(monuments: DataFrame, least: int = 2, spread: float = 40.0) -> DataFrame:

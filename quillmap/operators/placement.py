@@ -72,7 +72,7 @@ def place(figures: DataFrame, seed: int = noise.SEED) -> DataFrame:
     without a longitude turns by a hash of its id, or by a column `turn` in [0, 1) if there is one.
     """
     q, death = F.col("qid"), F.coalesce("death_year", F.lit(G.NOW))
-    turn = F.col("turn") if "turn" in figures.columns else F.when(F.col("lon").isNull(), noise.residue(q))
+    turn = F.col("turn") if "turn" in figures.columns else noise.residue(F.when(F.col("lon").isNull(), q))  # located ids stay out of Arrow
     rows = figures.withColumns({"nr": noise.normal(q, "radius", seed), "ns": noise.normal(q, "scatter", seed), "na": noise.normal(q, "angle", seed), "date_uncertainty": G.uncertainty(F.coalesce("birth_year", F.lit(G.NOW)), death), "base_angle": G.base_angle(F.col("lon"), turn), "sitelinks": F.coalesce("sitelinks", F.lit(0))})
     rows = rows.withColumn("radius", G.era_radius(death) + G.JITTER * F.col("nr") + G.SCATTER * F.col("ns") * F.col("date_uncertainty"))
     rows = rows.withColumn("radius", G.reflect(F.col("radius")))

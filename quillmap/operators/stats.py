@@ -79,6 +79,12 @@ def running_offsets(rows: DataFrame, keys: list[str], size: str) -> DataFrame:
     return out.unionByName(end.select(*(F.lit(None).cast(dict(out.dtypes)[k]).alias(k) for k in keys), "place", "starts"))
 
 
+def counted(rows: DataFrame, name: str, **of: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and what the pass that an action makes over them saw: n, and how many meet each condition."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count("*").alias("n"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in of.items())), seen
+
+
 def watched(rows: DataFrame, kept: Column, name: str) -> tuple[DataFrame, Observation]:
     """The rows that are kept, and what one pass over all saw: n, kept and pct, once an action has run."""
     seen = Observation(name)

@@ -462,9 +462,12 @@ def country_mean_lon(spark, d):
 SPAWN = [(0, "Q3"), (1, "Q1"), (2, "Q999999999"), (3, "Q7")]
 
 
-@query(f"WITH {FIGURES} SELECT pos, s.qid, title FROM (VALUES {_sql_values(SPAWN)}) s(pos, qid) JOIN figures f ON s.qid = f.qid")
+@query(f"WITH {PLACED}, s(pos, want) AS (SELECT * FROM (VALUES {_sql_values(SPAWN)}) v UNION ALL SELECT 10 + s_suppkey, 'Q' || s_suppkey * 3 FROM supplier) SELECT pos, want, qid, title, round(x, 3) AS x FROM s LEFT JOIN placed ON want = qid")
 def spawn_anchors(spark, d):
-    return _values(spark, SPAWN, "pos int, qid string").join(B.figures(spark, d).select("qid", "title"), "qid").orderBy("pos").select("pos", "qid", "title")
+    """Where wanted ids stand: literal ones, and three times each supplier's key, of which some are no figure's."""
+    k = F.col("s_suppkey")
+    wanted = _values(spark, SPAWN, "pos long, want string").union(table(spark, d, "supplier").select(k + 10, F.concat(F.lit("Q"), k * 3)))
+    return layouts.spawns(B.layout(spark, d), wanted).select("pos", "want", "qid", "title", _r(F.col("x"), 3).alias("x"))
 
 
 POINTS = f"{PLACED}, points AS (SELECT row_idx AS id, x, y, {SQL_SCALE} * 3 AS r FROM placed)"
@@ -649,7 +652,7 @@ def density_hist2d(spark, d):
 
 @query(f"WITH {PLACED}, h AS (SELECT least(floor((x + 9000) / 18000 * 64), 63)::INT AS i, least(floor((y + 9000) / 18000 * 64), 63)::INT AS j, count(*) AS n FROM placed GROUP BY 1, 2) SELECT round(quantile_cont(n, 0.98), 6) AS p98 FROM h")
 def density_percentile(spark, d):
-    return density_hist2d(spark, d).agg(_r(F.percentile("n", 0.98)).alias("p98"))
+    return _rounded(quantiles(stored(density_hist2d(spark, d), "cells"), F.col("n"), {"p98": 0.98}))
 
 
 SPAN_SQL = "s AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM placed)"
@@ -667,12 +670,6 @@ def _rounded(df: DataFrame, n: int = 6) -> DataFrame:
 DEVIATION_SQL = "round(avg((v IS NOT NULL)::INT), 6) AS coverage, round(sqrt(avg(v ** 2)), 6) AS rms, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, round(max(v), 6) AS most, round(avg(v), 6) AS mean"
 
 
-@query(f"WITH {POINTS}, q AS (SELECT id, sqrt(x * x + y * y) AS r, CASE WHEN id % 9 <> 0 THEN abs(sin(id)) END AS v FROM points) SELECT floor(r / 1000)::BIGINT AS band, {DEVIATION_SQL} FROM q GROUP BY 1")
-def chord_deviation_bands(spark, d):
-    v = F.when(F.col("id") % 9 != 0, F.abs(F.sin("id")))
-    return _rounded(stats.deviation_stats(_points(spark, d), v, F.floor(F.hypot("x", "y") / 1000)))
-
-
 #: How many figures stand in each cell of a raster of 64 by 64, empty ones too, as heights.
 RASTER = f"""{PLACED}, hist AS (SELECT least(floor((x + 9000) / 18000 * 64), 63)::INT AS i, least(floor((y + 9000) / 18000 * 64), 63)::INT AS j, count(*) AS n FROM placed GROUP BY 1, 2),
 raster AS (SELECT (k // 64)::INT AS i, (k % 64)::INT AS j, coalesce(n, 0)::DOUBLE AS h FROM range(4096) t(k) LEFT JOIN hist ON hist.i = k // 64 AND hist.j = k % 64)"""
@@ -703,6 +700,28 @@ def slope_asymmetry(spark, d):
     return _rounded(stats.slope_asymmetry(stats.wind_slopes(_raster(spark, d), 281.25, WIND), F.col("slope"), 0.01), 5)
 
 
+#: Points in units of the raster's cells, and how far the drawn facets lie from a smooth surface there; null at the rim.
+CHORDS = f"""{RASTER}, spots AS (SELECT row_idx AS id, sqrt(x * x + y * y) AS r, (x + 9000) / 281.25::DOUBLE AS p, (y + 9000) / 281.25::DOUBLE AS q FROM placed),
+part AS (SELECT id, r, floor(p)::INT AS i, floor(q)::INT AS j, p - floor(p) AS a, q - floor(q) AS b FROM spots),
+four AS (SELECT part.*, h00.h AS h00, h10.h AS h10, h01.h AS h01, h11.h AS h11 FROM part LEFT JOIN raster h00 ON h00.i = part.i AND h00.j = part.j LEFT JOIN raster h10 ON h10.i = part.i + 1 AND h10.j = part.j
+  LEFT JOIN raster h01 ON h01.i = part.i AND h01.j = part.j + 1 LEFT JOIN raster h11 ON h11.i = part.i + 1 AND h11.j = part.j + 1),
+gaps AS (SELECT id, r, abs((CASE WHEN b <= a THEN (1 - a) * h00 + (a - b) * h10 + b * h11 ELSE (1 - b) * h00 + (b - a) * h01 + a * h11 END) - ((1 - a) * (1 - b) * h00 + a * (1 - b) * h10 + (1 - a) * b * h01 + a * b * h11)) AS v FROM four)"""
+
+
+@query(f"WITH {CHORDS} SELECT floor(r / 1000)::BIGINT AS band, {DEVIATION_SQL} FROM gaps GROUP BY 1")
+def chord_deviation_bands(spark, d):
+    """How far the facets of a raster of figures lie from its smooth surface under every figure, by distance from the centre."""
+    raster = stored(_raster(spark, d), "raster")
+    to = lambda c: ((F.col(c) + 9000) / 281.25)
+    inside = lambda c: (F.col(c) >= 0) & (F.col(c) < 63)
+    points = stored(_points(spark, d).select("id", F.hypot("x", "y").alias("r"), to("x").alias("row"), to("y").alias("col")), "chords")
+    here = points.where(inside("row") & inside("col"))
+    flat = spatial.chord_height(here, raster).withColumnRenamed("h", "flat")
+    smooth = spatial.bilinear(here, raster, 64).withColumnRenamed("h", "smooth")
+    both = points.join(flat, "id", "left").join(smooth, "id", "left")
+    return _rounded(stats.deviation_stats(both, F.abs(F.col("flat") - F.col("smooth")), F.floor(F.col("r") / 1000)))
+
+
 PRICE = "l_extendedprice * (1 - l_discount) * ln(2 + l_quantity)"
 
 
@@ -715,8 +734,7 @@ def exact_quantiles(spark, d):
 
 @query(f"WITH {POINTS} SELECT round(min(r / 3), 6) AS least, round(median(r / 3), 6) AS mid, round(max(r / 3), 6) AS most FROM points")
 def scale_range(spark, d):
-    s = B.layout(spark, d).select("book_scale")
-    return s.agg(_r(F.min("book_scale")).alias("least"), _r(F.median("book_scale")).alias("mid"), _r(F.max("book_scale")).alias("most"))
+    return _rounded(quantiles(B.layout(spark, d), F.col("book_scale"), {"least": 0.0, "mid": 0.5, "most": 1.0}))
 
 
 @query(f"WITH {PLACED} SELECT round(1 - sqrt(avg(cos(angle)) ** 2 + avg(sin(angle)) ** 2), 6) AS dispersion FROM placed")

@@ -10,12 +10,14 @@ from ..operators.links import attach_articles, resolve
 from .storage import stored
 from .wikitext import parse_articles
 
+#: What a dump writes as [] where a map without entries would stand; inside a string its quotes would be escaped.
+EMPTY = r'"(claims|labels|descriptions|sitelinks|aliases)":\s*\[\]'
 PAGE = "title string, ns int, redirect struct<_title:string>, revision struct<text:struct<_VALUE:string>>"
 
 
 def entity_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of each entity of a JSON array written one to a line; bz2 files are split by Hadoop. Brackets, blanks and trailing commas go."""
-    value = F.regexp_replace(F.rtrim("value"), r",+\s*$", "")
+    """(value) of each entity of a JSON array written one to a line; bz2 files are split by Hadoop. Brackets, blanks and trailing commas go; empty maps that a dump writes as lists become maps."""
+    value = F.regexp_replace(F.regexp_replace(F.rtrim("value"), r",+\s*$", ""), EMPTY, '"$1":{}')
     return spark.read.text(path).select(F.trim(value).alias("value")).where(~F.col("value").isin("", "[", "]"))
 
 
@@ -38,9 +40,14 @@ def prefilter(rows: DataFrame, death_year_max: int = 2000, keep_missing_descript
     return kept if keep_missing_description else kept.where(F.col("description").isNotNull())
 
 
+def needed_places(rows: DataFrame) -> DataFrame:
+    """(need) of the places that figures were born or died in, each once."""
+    return rows.select(F.explode(F.array("birth_place_qid", "death_place_qid")).alias("need")).where("need <> ''").distinct()
+
+
 def places(spark: SparkSession, path: str, rows: DataFrame, limit: int | None = None) -> DataFrame:
     """`limit` stops after so many lines. The seven place columns of the entities that figures were born or died in; the id is cut from the line, so that only needed lines are parsed. Malformed ones are skipped."""
-    need = rows.select(F.explode(F.array("birth_place_qid", "death_place_qid")).alias("need")).where("need <> ''").distinct()
+    need = needed_places(rows)
     lines = entity_lines(spark, path)
     lines = (lines.limit(limit) if limit else lines).withColumn("qid", F.regexp_extract("value", r'^\{"type":\s*"item",\s*"id":\s*"(Q[0-9]+)"', 1)).where("qid <> ''")
     e = entities(lines.join(need, lines["qid"] == need["need"], "left_semi"), strict=False)
@@ -68,7 +75,7 @@ def with_articles(rows: DataFrame, wiki: DataFrame) -> DataFrame:
     content = wiki.where("redirect IS NULL").select("title", "text")
     parsed = parse_articles(content).withColumn("article_idx", F.xxhash64("title", "lead_text"))
     out = attach_articles(rows, parsed)
-    ids = rows.select("title", "qid", F.xxhash64("qid").alias("row_idx"))
+    ids = rows.select("title", "qid", F.monotonically_increasing_id().alias("row_idx"))  # in the order of the figures' table
     qids = resolve(out.select(F.col("qid").alias("page_id"), "links"), redirects, ids)
     joined = out.drop("links").join(qids, F.col("qid") == F.col("page_id"), "left").drop("page_id")
     return joined.withColumn("outgoing_qids", F.coalesce("qids", F.array().cast("array<string>"))).drop("qids")

@@ -36,11 +36,16 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def spawns(layout: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pos, want, qid, title, x, y): each id of wanted(pos, want) with its row of a layout, nulls where there is none."""
+    return wanted.join(layout, wanted["want"] == layout["qid"], "left").select("pos", "want", "qid", "title", "x", "y")
+
+
 def spawn_rows(layout: DataFrame, wanted: list[str]) -> tuple[list[dict], list[str]]:
     """(rows, missing): qid, title, x and y, rounded to one place, of the ids in the order wanted, and the ids without a row."""
     spark = layout.sparkSession
     asks = spark.createDataFrame(list(enumerate(wanted)), "pos int, want string")
-    got = asks.join(layout, asks["want"] == layout["qid"], "left").select("pos", "want", "qid", "title", "x", "y").orderBy("pos").collect()
+    got = spawns(layout, asks).orderBy("pos").collect()
     rows = [{"qid": r["qid"], "title": r["title"], "x": round(r["x"], 1), "y": round(r["y"], 1)} for r in got if r["qid"] is not None]
     return rows, [r["want"] for r in got if r["qid"] is None]
 

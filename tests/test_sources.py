@@ -36,6 +36,16 @@ def test_malformed_lines_fail_or_are_skipped(spark, tmp_path):
     assert dumps.entities(lines, strict=False).count() == len(atlas.ENTITIES)
 
 
+def test_empty_maps_written_as_lists(spark, tmp_path):
+    human = {"type": "item", "id": "Q77", "labels": [], "descriptions": [], "sitelinks": {"enwiki": {"title": "E"}}, "claims": {"P31": [atlas._snak({"id": "Q5"})], "P570": [atlas._snak({"time": "+1700-01-01T00:00:00Z"})]}}
+    bare = {"type": "item", "id": "Q78", "labels": {"en": {"value": 'said "claims":[] once'}}, "claims": [], "sitelinks": [], "aliases": []}
+    path = dump(tmp_path / "d.json.bz2", [json.dumps(human) + ",", json.dumps(bare, separators=(",", ":")) + ","])
+    got = {r["qid"]: r for r in dumps.figures(spark, path).collect()}  # strict: a malformed line would fail
+    assert set(got) == {"Q1", "Q2", "Q77"} and got["Q77"]["description"] is None
+    labels = [r["label"] for r in dumps.entities(dumps.entity_lines(spark, path)).select(F.col("e.labels")["en"]["value"].alias("label")).collect()]
+    assert 'said "claims":[] once' in labels
+
+
 def test_places_parse_only_needed_lines(spark, tmp_path):
     ordered = [{"type": "item", "id": e["id"]} | e for e in atlas.ENTITIES]
     path = tmp_path / "p.json"
