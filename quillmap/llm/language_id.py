@@ -177,6 +177,13 @@ def predict(docs: DataFrame, filters: LanguageFilters, id_column: str = "doc_id"
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Fit on rows that aren't held out, predict for all: doc_id, held_out, lang_pred, score."""
+    """Fit on rows that aren't held out, predict for all: doc_id, held_out, lang_pred, score.
+
+    Null texts and texts without a letter are `und` with score 0; rows of null id are
+    never held out, rows of null lang teach nothing. Repeated rows stay; ties go to the
+    first language in order, also between languages whose filters hold no gram, as that of
+    a language of two documents or more without a gram in common. An empty table, or one
+    without a lang to learn, gives `und` throughout, or no row.
+    """
     filters = fit(docs.where(~common.held_out("doc_id", 4, 2)))
     return predict(docs, filters).withColumn("held_out", common.held_out("doc_id", 4, 2)).select("doc_id", "held_out", "lang_pred", "score")

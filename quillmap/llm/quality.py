@@ -160,6 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_line
     bad documents that the field takes for good are learned as good, unless all would be.
     Long documents are learned in runs of RUN lines, whose features see the lines around;
     the calibration takes whole documents.
+
+    Rows of null id or null label teach nothing, null texts read as empty, an id with
+    several labels has their mean and one with several rows teaches by each. Without
+    labelled rows every text scores alike.
     """
     ids = common.labelled_ids(labels, "quality", 5, 0, sample_docs)
 
@@ -239,6 +243,11 @@ def lines(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+    """doc_id, held_out, score, predicted for every row of docs.
+
+    Null and empty texts are one empty line; repeated rows stay and score alike, null ids
+    stay null and are never held out, texts are read whole, other columns are not read. An
+    empty table gives no row.
+    """
     out = score(docs, fit(docs, labels))
     return out.select("doc_id", common.held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_lines")

@@ -255,7 +255,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, frame_bytes: int =
 
 
 def read(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and shard of every document, decoded from the files."""
+    """doc_id, start, n_tokens, ids_crc32 and shard of every document, decoded from the files.
+
+    A row for each document written, repeated ones too, null ids as null; an empty text
+    has its end id alone. A damaged or cut shard is an error. No shards, no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,5 +286,5 @@ def read(shards: DataFrame) -> DataFrame:
 
 
 def export(docs: DataFrame, tokenizer_path: str, order: tuple[Column, ...] = ()) -> DataFrame:
-    """Write docs to the shared folder and read every document back from the files."""
+    """Write docs to the shared folder and read every document back from the files; nulls, ties, repeated rows and empty tables as in `write` and `read`."""
     return read(write(docs, common.shared_dir(docs.sparkSession, "tokens"), tokenizer_path, order=order))

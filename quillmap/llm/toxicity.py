@@ -219,6 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 10_000, least_odd
     documents at most. Ordinary words of two clean documents never count as misspellings. The weights are fitted on one half
     of the sample with words learned from the other, so that words never seen before
     count as they will in use; the words of the final model come from both halves.
+
+    Rows of null id or null label teach nothing, null texts read as empty, an id with
+    several labels has their mean and one with several rows teaches by each. Without a
+    toxic row to learn from the lexicon is empty and every text scores alike.
     """
     spark = docs.sparkSession
     ids = common.labelled_ids(labels, "toxic", 3, 1, sample_docs)
@@ -303,7 +307,12 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
 
 def detect(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+    """doc_id, held_out, score, predicted for every row of docs.
+
+    Null and empty texts have no match and the score of a text without one; repeated rows
+    stay and score alike, null ids stay null and are never held out, texts are read whole,
+    other columns are not read. An empty table gives no row.
+    """
     out = score(docs, fit(docs, labels))
     return out.select("doc_id", common.held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_matches")
 

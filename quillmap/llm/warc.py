@@ -229,7 +229,13 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> Da
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Write all pages to the shared folder and read the records back from the archives."""
+    """Write all pages to the shared folder and read the records back from the archives.
+
+    A null html is an empty payload. Null page_ids stay null and are never referred to. Each
+    repeated row is a record of its own; of equal payloads of 100 bytes or more that of
+    the smallest page_id is the response. Other columns are not read. An empty table gives
+    no row.
+    """
     folder = common.shared_dir(pages.sparkSession, "warc")
     write(pages, folder).agg(F.sum("records")).collect()
     return read(pages.sparkSession, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_offset", "file")
