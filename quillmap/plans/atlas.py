@@ -454,6 +454,15 @@ def anchor_centroid(spark, d):
     return s.select("label", _r(F.col("x"), 4).alias("x"), _r(F.col("y"), 4).alias("y"), "seat_title", F.col("mid_year").cast("double").alias("mid_year"), "n_members", _r(F.col("lon_spread")).alias("lon_spread"))
 
 
+@query(
+    f"WITH {BEST}, m AS (SELECT label, round_even(median(death_year), 0)::BIGINT AS y, count(*)::INT AS n_members FROM names JOIN best ON name = title GROUP BY label) "
+    f"SELECT label, n_members, CASE WHEN y > 0 THEN {SQL_ORD.format('(y - 1) // 100 + 1')} || ' century' ELSE {SQL_ORD.format('floor((-y - 1) / 100.0)::BIGINT + 1')} || ' century BCE' END AS era FROM m"
+)
+def monument_eras(spark, d):
+    """The century of the median death year of each monument's members."""
+    return anchors.summarize(_members(spark, d)).select("label", "n_members", "era")
+
+
 @query(f"WITH {PLACES} SELECT country_qid, round(avg(lon), 6) AS lon FROM places WHERE country_qid IS NOT NULL GROUP BY 1")
 def country_mean_lon(spark, d):
     return _places(spark, d).where("country_qid IS NOT NULL").groupBy("country_qid").agg(_r(F.avg("lon")).alias("lon"))
