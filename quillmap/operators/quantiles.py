@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..sources.storage import dropped, stored
 
@@ -11,22 +14,18 @@ from ..sources.storage import dropped, stored
 SORTED, DIGIT = 65_536, 16
 
 
-def ordered_code(x: Column) -> Column:
-    """A 64-bit integer for a double, in the order of doubles: zeros are equal, infinities outermost, NaN last; null stays null.
+@F.arrow_udf(LongType())
+def _code(values: pa.Array) -> pa.Array:
+    x = values.fill_null(0.0).to_numpy(zero_copy_only=False) + 0.0  # a zero has no sign
+    bits = x.view(np.int64)
+    code = np.where(bits < 0, -(bits & np.iinfo(np.int64).max), bits)
+    code[np.isnan(x)] = (2047 << 52) + 1
+    return pa.array(code, mask=values.is_null().to_numpy(zero_copy_only=False))
 
-    Sign, exponent and mantissa by exact arithmetic: dividing by a power of two loses
-    nothing, and the logarithm's floor, which may be one off, is put right.
-    """
-    a = F.abs(x.cast("double"))
-    guess = F.greatest(F.floor(F.log2(F.when((a > 0) & (a < float("inf")) & ~F.isnan(a), a).otherwise(1.0))), F.lit(-1022)).cast("int")
-    power = lambda e: F.pow(F.lit(2.0), e)
-    e = F.when(guess > 1023, 1023).when((guess > -1022) & (a < power(guess)), guess - 1).when((guess < 1023) & (a >= power(guess + 1)), guess + 1).otherwise(guess)
-    small = a < 2.0**-1022
-    field = F.when(small, F.lit(0)).otherwise(e + 1023).cast("long")
-    inside = F.when(small, a / 2.0**-1022).otherwise(a / power(e) - 1)
-    code = field * (1 << 52) + (inside * float(1 << 52)).cast("long")
-    code = F.when(F.isnan(a), (2047 << 52) + 1).when(a == float("inf"), 2047 << 52).otherwise(code)
-    return F.when(x.isNull(), None).otherwise(F.when((x < 0) & ~F.isnan(a), -code).otherwise(code))
+
+def ordered_code(x: Column) -> Column:
+    """A 64-bit integer for a double, in the order of doubles: its bits, which Spark has no function for, so they go through Arrow; zeros are equal, infinities outermost, NaN last; null stays null."""
+    return _code(x.cast("double"))
 
 
 def quantiles(rows: DataFrame, value: Column, shares: dict[str, float], by: Column | None = None) -> DataFrame:
@@ -37,12 +36,13 @@ def quantiles(rows: DataFrame, value: Column, shares: dict[str, float], by: Colu
     buckets that hold a wanted rank; when the kept ones have at most SORTED rows their rows
     are sorted. So no task gathers the values of a group, however many rows it has, and
     four passes are the most. Null values do not count; a group without a value, and an
-    empty table, gives null. `rows` are read once a pass and should be stored.
+    empty table, gives null. Values and codes are stored once, and a pass reads them.
     """
     names = list(shares)
     base = rows.select((F.lit(0) if by is None else by).alias("g"), value.cast("double").alias("v"))
+    base = stored(base.withColumn("code", ordered_code(F.col("v"))), "codes")
     groups = base.select("g").distinct() if by is not None else base.sparkSession.range(1).select(F.lit(0).alias("g"))
-    base = base.where(F.col("v").isNotNull()).withColumn("code", ordered_code(F.col("v")))
+    every, base = base, base.where(F.col("v").isNotNull())
     counts = base.groupBy("g").agg(F.count("*").alias("size"))
     position = F.element_at(F.array(*(F.lit(float(shares[n])) for n in names)), F.col("which") + 1) * (F.col("size") - 1)
     wanted = counts.select("g", "size", F.explode(F.array(*(F.lit(i) for i in range(len(names))))).alias("which")).withColumn("at", position)
@@ -70,7 +70,8 @@ def quantiles(rows: DataFrame, value: Column, shares: dict[str, float], by: Colu
     ranked = inside(wanted).withColumn("place", F.row_number().over(order) - 1).select(F.col("g").alias("rg"), F.col("bucket").alias("rb"), "place", "v")
     met = wanted.where("found IS NULL").join(ranked, F.col("g").eqNullSafe(F.col("rg")) & (F.col("bucket") == F.col("rb")) & (F.col("rank") == F.col("place"))).select(*kept, F.col("v").alias("found"))
     both = stored(wanted.where("found IS NOT NULL").select(*kept, "found").union(met), "quantiles")
-    for table in tables:
+    groups = stored(groups, "groups")
+    for table in (*tables, every):
         dropped(table)
     low, high = F.max(F.when(F.col("end") == 0, F.col("found"))), F.max(F.when(F.col("end") == 1, F.col("found")))
     part = F.max("at") - F.floor(F.max("at"))
