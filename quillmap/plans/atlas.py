@@ -501,10 +501,7 @@ bad AS (SELECT *, (want - (d + 1e-9::DOUBLE)) * 0.9::DOUBLE AS step FROM pairs W
 
 @query(f"WITH {ROUND} SELECT a, b, round(d, 4) AS d FROM bad")
 def subsumed_pairs(spark, d):
-    p = _points(spark, d)
-    ri = p.select(F.col("id").alias("a"), F.col("r").alias("ra"))
-    pairs = spatial.pairs_within(p, 7.02).join(ri, "a").join(ri.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
-    return pairs.where(F.col("d") < 0.9 * F.greatest("ra", "rb")).select("a", "b", _r(F.col("d"), 4).alias("d"))
+    return topology.violations(_points(spark, d), 7.02).select("a", "b", _r(F.col("d"), 4).alias("d"))
 
 
 SQL_MOVED = f"""{ROUND}, m AS (SELECT a AS id, (xa - xb) / (d + 1e-9::DOUBLE) * step AS px, (ya - yb) / (d + 1e-9::DOUBLE) * step AS py FROM bad UNION ALL SELECT b, (xb - xa) / (d + 1e-9::DOUBLE) * step, (yb - ya) / (d + 1e-9::DOUBLE) * step FROM bad),
