@@ -60,23 +60,36 @@ def range_histogram(points: DataFrame, bins: int = 800) -> DataFrame:
     return inside.crossJoin(F.broadcast(edges)).groupBy(place("x").alias("i"), place("y").alias("j")).agg(F.count("*").alias("n"))  # edges: one row
 
 
-def running_offsets(rows: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """rows with `place` (from 0) and `starts`, the sum of the sizes before a row in key order, and one row more with null keys, the number of rows and the whole sum.
+def _by_ranges(rows: DataFrame, keys: list[str], sizes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows with `place` (from 0) and for every size c `c_at`, the sum of it before a row in the order of the keys; and one row of the number of rows, rows_, and of whole sums.
 
     Rows are range-partitioned and stored with the number of their range; sums go over
-    ranges first, whose number is that of tasks, then within each range.
+    ranges first, whose number is that of tasks, then within each range. The rows
+    themselves are joined with nothing but the sums of ranges.
     """
+    cut = stored(rows.repartitionByRange(*keys).withColumn("block_", F.spark_partition_id()), "offsets")
+    sums = cut.groupBy("block_").agg(F.count("*").alias("rows_"), *(F.sum(F.col(c).cast("long")).alias(c) for c in sizes))
+    before = Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select(F.col("block_").alias("b_"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_ahead_") for c in ("rows_", *sizes)))
+    inside = Window.partitionBy("block_").orderBy(*keys)
+    held = cut.withColumns({"place": F.row_number().over(inside) - 1} | {f"{c}_at": F.sum(F.col(c).cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c) for c in sizes})
+    held = held.join(F.broadcast(ahead), F.col("block_") == F.col("b_"))  # a row a range
+    out = held.select(*rows.columns, (F.col("rows__ahead_") + F.col("place")).alias("place"), *((F.col(f"{c}_ahead_") + F.col(f"{c}_at")).alias(f"{c}_at") for c in sizes))
+    return out, sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows_", *sizes)))
+
+
+def numbered(rows: DataFrame, keys: list[str], sizes: list[str]) -> tuple[DataFrame, list[int]]:
+    """rows with `place` and `c_at` for every size c, as in `running_offsets`, and how many rows there are and the whole sums."""
+    out, whole = _by_ranges(rows, keys, sizes)
+    return out, list(whole.first())
+
+
+def running_offsets(rows: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows with `place` (from 0) and `starts`, the sum of the sizes before a row in key order, and one row more with null keys, the number of rows and the whole sum."""
     names = [f"key{i}" for i in range(len(keys))]
-    cut = rows.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(size).cast("long").alias("n")).repartitionByRange(*names)
-    cut = stored(cut.withColumn("block", F.spark_partition_id()), "offsets")
-    sums = cut.groupBy("block").agg(F.sum("n").alias("m"), F.count("*").alias("k"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sums.select(F.col("block").alias("b"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k"))
-    inside = Window.partitionBy("block").orderBy(*names)
-    placed = cut.withColumns({"at": F.row_number().over(inside) - 1, "sum": F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")})
-    out = placed.join(F.broadcast(ahead), F.col("block") == F.col("b")).select(*(F.col(n).alias(k) for k, n in zip(keys, names)), (F.col("k") + F.col("at")).alias("place"), (F.col("m") + F.col("sum")).alias("starts"))
-    end = sums.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("place"), F.coalesce(F.sum("m"), F.lit(0)).alias("starts"))
-    return out.unionByName(end.select(*(F.lit(None).cast(dict(out.dtypes)[k]).alias(k) for k in keys), "place", "starts"))
+    out, whole = _by_ranges(rows.select(*(F.col(k).alias(c) for k, c in zip(keys, names)), F.col(size).cast("long").alias("size")), names, ["size"])
+    out = out.select(*(F.col(c).alias(k) for k, c in zip(keys, names)), "place", F.col("size_at").alias("starts"))
+    return out.unionByName(whole.select(*(F.lit(None).cast(dict(out.dtypes)[k]).alias(k) for k in keys), F.col("rows_").alias("place"), F.col("size").alias("starts")))
 
 
 def counted(rows: DataFrame, name: str, **of: Column) -> tuple[DataFrame, Observation]:

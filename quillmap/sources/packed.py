@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
-from ..operators.stats import running_offsets
+from ..operators.stats import numbered
 from .storage import dropped, shared_folder, stored
 
 #: Rows of a batch, and of a partition unless the option `rows` says otherwise.
@@ -341,23 +341,15 @@ def _assembled(path: str, pieces: list[str | bytes], parts: DataFrame, folder: s
     dropped(parts)
 
 
-def _numbered(layout: DataFrame, columns: list) -> tuple[DataFrame, int]:
-    """The columns with each row's place in row_idx order, and how many rows there are; stored."""
-    rows = stored(layout.select("row_idx", *columns), "numbered")
-    at = running_offsets(rows.select("row_idx", F.lit(1).alias("one")), ["row_idx"], "one").select(F.col("row_idx").alias("of"), "place").where("of IS NOT NULL")
-    out = stored(rows.join(at, F.col("row_idx") == F.col("of")).drop("of"), "numbered")
-    dropped(rows)
-    return out, out.count()
-
-
 def write_positions(layout: DataFrame, path: str, each: int = ROWS) -> int:
     """The positions file of a layout, in row_idx order, which must be unique: tasks make the bytes of `each` rows, one file is put together from theirs."""
     codes = [F.col("x").cast("float"), F.col("y").cast("float"), T.code_of(F.col("landmark_tier"), TIERS, 0).alias("tier"), T.code_of(F.col("geo_source"), SOURCES, 4).alias("geo"), T.angle_byte(F.col("base_angle")).alias("lon"), T.to_byte((F.col("book_scale") - 0.8) / 1.8).alias("scale")]
-    rows, n = _numbered(layout, codes)
+    held = stored(layout.select("row_idx", *codes), "numbered")  # the ranges' bounds are a pass of their own
+    rows, (n,) = numbered(held, ["row_idx"], [])
     of = lambda c, kind: (c, lambda t: t.column(c).to_numpy().astype(kind).tobytes())
     parts, folder = _parts(rows, [of(c, kind) for c, kind in POSITIONS], each, None, "positions")
     _assembled(path, [struct.pack("<I", n), *(c for c, _ in POSITIONS)], parts, folder, None)
-    dropped(rows)
+    dropped(held)
     return n
 
 
@@ -368,16 +360,12 @@ def write_meta(layout: DataFrame, path: str, each: int = ROWS, level: int = 9) -
     and pack the bytes of `each` rows, and one file is put together from theirs.
     """
     texts = ("title", "description")
-    rows, n = _numbered(layout, [*(F.coalesce(c, F.lit("")).alias(c) for c in texts), "birth_year", "death_year"])
-    held, ends = rows, []
-    for c in texts:
-        at = running_offsets(rows.select(F.col("place").alias("key"), F.octet_length(c).alias("n")), ["key"], "n").toDF("key", "again", f"{c}_at")
-        ends.append(at.where("key IS NULL").first()[f"{c}_at"])
-        held = held.join(at.where("key IS NOT NULL").drop("again"), F.col("place") == F.col("key")).drop("key")
+    rows = stored(layout.select("row_idx", *(F.coalesce(c, F.lit("")).alias(c) for c in texts), "birth_year", "death_year"), "numbered")
+    held, (n, *ends) = numbered(rows.withColumns({f"{c}_size": F.octet_length(c) for c in texts}), ["row_idx"], [f"{c}_size" for c in texts])
     if max(ends) >= 1 << 32:
         raise ValueError("texts of 4 GB do not fit the format")
     year = lambda c: (c, lambda t: t.column(c).fill_null(NO_YEAR).to_numpy().astype("<i2").tobytes())
-    stops = lambda c: (f"{c}_ends", lambda t: (t.column(f"{c}_at").to_numpy() + np.array([len(x.encode()) for x in t.column(c).to_pylist()], np.int64)).astype("<u4").tobytes())
+    stops = lambda c: (f"{c}_ends", lambda t: (t.column(f"{c}_size_at").to_numpy() + np.array([len(x.encode()) for x in t.column(c).to_pylist()], np.int64)).astype("<u4").tobytes())
     blob = lambda c: (c, lambda t: "".join(t.column(c).to_pylist()).encode())
     sections = [stops("title"), stops("description"), year("birth_year"), year("death_year"), blob("title"), blob("description")]
     parts, folder = _parts(held, sections, each, level, "meta")
