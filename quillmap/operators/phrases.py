@@ -23,20 +23,22 @@ def phrases_in(rows: DataFrame, phrases: DataFrame, text: str = "text", ident: s
     """(ident, phrases): for each row of rows(ident, text) that names any, the phrases on word boundaries, the longest at each place, from left to right and without overlap.
 
     Phrases with `skip` are found like others, and take their place, but are not told.
-    Texts become token grams of just the lengths that phrases have, from tokens that
-    begin one; an equi-join on the gram finds the phrases, so the work of a text does not
-    grow with their number. Idents are unique; null texts name nothing; texts are read
+    Texts become runs of tokens as long as the longest phrase; those whose first token
+    begins a phrase become grams of just the lengths that phrases have, and an equi-join
+    finds the phrases, so the work of a text grows with its length and not with their number. Idents are unique; null texts name nothing; texts are read
     whole.
     """
     table = phrase_table(phrases)
     sizes = sorted(r["size"] for r in table.select("size").distinct().collect())  # of tokens in a phrase
     if not sizes:
         return rows.select(ident, F.array().cast("array<string>").alias("phrases")).limit(0)
-    t = F.col("t")
     words = rows.where(F.col(text).isNotNull()).select(F.col(ident).alias("ident"), tokens(F.col(text)).alias("t"))
-    begins = F.filter(F.transform(t, lambda w, i: F.when(w.rlike(r"(?U)^\w"), i)), lambda i: i.isNotNull())
-    gram = lambda i, n: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(t, i + 1, F.lit(n)), "").alias("gram"))
-    grams = words.select("ident", F.explode(begins).alias("at"), "t").select("ident", F.explode(F.filter(F.array(*(gram(F.col("at"), n) for n in sizes)), lambda g: g["at"] + g["n"] <= F.size(t))).alias("g")).select("ident", "g.*")
+    ahead = [F.slice("t", i + 1, F.greatest(F.size("t") - i, F.lit(0))).alias(f"w{i}") for i in range(sizes[-1])]
+    runs = words.select("ident", F.posexplode(F.arrays_zip(*ahead)).alias("at", "w")).select("ident", "at", "w.*")  # a row holds as many tokens as a phrase, not its text
+    begins = table.select(F.element_at(tokens(F.col("phrase")), 1).alias("w0")).distinct()
+    runs = runs.join(begins, "w0", "left_semi")
+    gram = lambda n: F.struct(F.lit(n).alias("n"), F.concat(*(f"w{i}" for i in range(n))).alias("gram"))
+    grams = runs.select("ident", "at", F.explode(F.array(*map(gram, sizes))).alias("g")).select("ident", "at", "g.*").where(F.col("gram").isNotNull())  # null beyond the text's end
     met = grams.join(table.select("phrase", "skip", "size"), (F.col("gram") == F.col("phrase")) & (F.col("n") == F.col("size")))
     hits = met.groupBy("ident").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "phrase", "skip"))).alias("hits"))  # of one text
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("told"))
