@@ -11,14 +11,17 @@ ENTITY = (
     "type string, id string, labels map<string,struct<value:string>>, descriptions map<string,struct<value:string>>, "
     f"claims map<string,array<struct<rank:string,mainsnak:{SNAK}>>>, sitelinks map<string,struct<title:string>>"
 )
+#: Properties that rows read; no others are ranked.
+READ = ("P18", "P19", "P20", "P21", "P27", "P31", "P106", "P131", "P17", "P569", "P570", "P625")
 
 
 def ranked(claims: Column) -> Column:
-    """Property -> its statements that aren't deprecated and have a value, preferred ones first, each rank in input order."""
-    ok = lambda a: F.filter(a, lambda s: (F.coalesce(s["rank"], F.lit("normal")) != "deprecated") & (s["mainsnak"]["snaktype"] == "value"))
-    place = lambda s, i: F.struct(F.when(s["rank"] == "preferred", 0).otherwise(1).alias("r"), i.alias("i"), s["mainsnak"].alias("mainsnak"))
-    order = lambda x, y: F.when(x["r"] != y["r"], x["r"] - y["r"]).otherwise(x["i"] - y["i"])
-    return F.transform_values(claims, lambda _, a: F.array_sort(F.transform(ok(a), place), order))
+    """Property that rows read -> its statements that aren't deprecated and have a value, preferred ones first, each rank in input order."""
+    valued = lambda s: s["mainsnak"]["snaktype"] == "value"
+    rank = lambda s: F.coalesce(s["rank"], F.lit("normal"))
+    first = lambda a: F.filter(a, lambda s: (rank(s) == "preferred") & valued(s))
+    rest = lambda a: F.filter(a, lambda s: ~rank(s).isin("preferred", "deprecated") & valued(s))
+    return F.transform_values(F.map_filter(claims, lambda p, _: p.isin(*READ)), lambda _, a: F.concat(first(a), rest(a)))
 
 
 def usable(statements: Column, prop: str) -> Column:

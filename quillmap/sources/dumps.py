@@ -17,15 +17,19 @@ PAGE = "title string, ns int, redirect struct<_title:string>, revision struct<te
 
 def entity_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value) of each entity of a JSON array written one to a line; bz2 files are split by Hadoop. Brackets, blanks and trailing commas go; empty maps that a dump writes as lists become maps."""
-    value = F.regexp_replace(F.regexp_replace(F.rtrim("value"), r",+\s*$", ""), EMPTY, '"$1":{}')
-    return spark.read.text(path).select(F.trim(value).alias("value")).where(~F.col("value").isin("", "[", "]"))
+    lines = spark.read.text(path).select(F.trim(F.rtrim("value", F.lit(", \t\r\f\v"))).alias("value")).where(~F.col("value").isin("", "[", "]"))
+    return lines.select(F.when(F.contains("value", F.lit("[]")), F.regexp_replace("value", EMPTY, '"$1":{}')).otherwise(F.col("value")).alias("value"))
 
 
 def entities(lines: DataFrame, strict: bool = True) -> DataFrame:
-    """(e, c): parsed entities and their ranked statements. A malformed line fails the job, or is skipped if not strict."""
+    """(e, c): parsed entities and their ranked statements. A malformed line fails the job, or is skipped if not strict.
+
+    A filter would be moved below the parser, and then parses a line again for each column
+    it names; so both go through a list of one, which filters stay above.
+    """
     value = F.when(~F.col("value").isin("", "[", "]"), F.col("value"))  # filters may be moved past the parser
-    e = lines.select(F.from_json(value, C.ENTITY, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("e"))
-    return e.where("e.id IS NOT NULL").withColumn("c", C.ranked(F.col("e.claims")))
+    e = lines.select(F.explode(F.array(F.from_json(value, C.ENTITY, {"mode": "FAILFAST" if strict else "PERMISSIVE"}))).alias("e"))
+    return e.where("e.id IS NOT NULL").select("e", F.explode(F.array(C.ranked(F.col("e.claims")))).alias("c"))
 
 
 def figures(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

@@ -124,3 +124,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q = figures_stream(spark, str(folder)).writeStream.format("memory").queryName("figures_now").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r["qid"] for r in spark.table("figures_now").collect()] == ["Q1"]
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    """Filters on parsed columns stay above the parser, and a statement's rank keeps the order of the line."""
+    path = dump(tmp_path / "d.json.bz2")
+    rows = dumps.prefilter(dumps.figures(spark, path), 1900)
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_json(") == 1 and rows.count() == 1
+    ranks = [("a", "normal"), ("b", "deprecated"), ("c", "preferred"), ("d", None), ("e", "preferred")]
+    human = {"type": "item", "id": "Q90", "sitelinks": {"enwiki": {"title": "E"}}, "claims": {"P31": [atlas._snak({"id": "Q5"})], "P570": [atlas._snak({"time": "+1700-01-01T00:00:00Z"})], "P27": [atlas._snak({"id": i}) | ({"rank": r} if r else {}) for i, r in ranks]}}
+    path = dump(tmp_path / "r.json.bz2", [json.dumps(human) + " , \t"])
+    assert [r["citizenships"] for r in dumps.figures(spark, path).where("qid = 'Q90'").collect()] == [["c", "e", "a", "d"]]
