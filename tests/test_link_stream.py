@@ -54,3 +54,14 @@ def test_a_late_redirect_tells_waiting_links_again(spark, tmp_path):
     links.follow(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "cp"), files=1)
     rows = [tuple(r) for r in spark.read.schema(links.RESOLVED).parquet(str(tmp_path / "out")).where("page = 'Ada' AND pos = 0").orderBy("turn").collect()]
     assert rows == [("Ada", 0, "Old Bob", 0), ("Ada", 0, "Bob", 1)]
+
+
+def test_links_and_redirects_meet_by_a_join(spark):
+    """No Python function holds state; of repeated rows and several redirects the greatest target is the last word."""
+    rows = [r for part in PAGES.values() for r in part] * 2
+    pages = spark.createDataFrame(rows, "title string, redirect string, text string")
+    told = links.resolved(links.told(pages))
+    assert "TransformWithState" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["target"], r["turn"]) for r in told.where("page = 'Cy' AND pos = 1").collect()} == {("Old Bob", 0), ("Aaron", 1), ("Bob", 1)}
+    titles = spark.createDataFrame(TITLES, "title string, qid string, row_idx int")
+    assert {r["page"]: r["qids"] for r in links.outgoing(told, titles).collect()}["Cy"] == ["Q1", "Q2"]
