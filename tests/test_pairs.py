@@ -66,3 +66,14 @@ def test_rounds_of_all_points_read_no_older_rounds(spark):
     assert out.count() == 62 and seen[0] > 50
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert "relax-deltas" not in text and "Join" not in text
+
+
+def test_zones_of_one_disc_are_compared_once(spark, monkeypatch):
+    """Also in several lists, with a repeated and a null zone; the join meets a disc, not its zones."""
+    monkeypatch.setattr(spatial, "SPOT", 8)
+    points = frame(spark, [(1, (0.0, 0.0, 1.0)), (2, (3.0, 0.0, 1.0)), (3, (40.0, 0.0, 1.0))])
+    zones = spark.createDataFrame([(k, 1.0, 0.0, 2.5) for k in range(50)] + [(7, 1.0, 0.0, 2.5), (None, 39.0, 0.0, 4.0)], "zone int, zx double, zy double, zr double")
+    met = spatial.within_zones(points, zones)
+    got = sorted(((r["id"], r["zone"], r["d"]) for r in met.collect()), key=str)
+    assert got == sorted([(i, k, d) for i, d in ((1, 1.0), (2, 2.0)) for k in [*range(50), 7]] + [(3, None, 1.0)], key=str)
+    assert "Generate inline(zones" in met._jdf.queryExecution().optimizedPlan().toString()
