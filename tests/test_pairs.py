@@ -77,3 +77,19 @@ def test_zones_of_one_disc_are_compared_once(spark, monkeypatch):
     got = sorted(((r["id"], r["zone"], r["d"]) for r in met.collect()), key=str)
     assert got == sorted([(i, k, d) for i, d in ((1, 1.0), (2, 2.0)) for k in [*range(50), 7]] + [(3, None, 1.0)], key=str)
     assert "Generate inline(zones" in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounds_over_tiles_equal_rounds_one_by_one(spark, monkeypatch):
+    """Seven rounds, so two passes, where crowds lie across borders and corners of tiles; a pass reads and stores the points once."""
+    rng = np.random.default_rng(11)
+    xy = np.concatenate([rng.normal(c, 4, (60, 2)) for c in ((0, 0), (1024, 3), (1020, 1024), (-1024, 500), (512, 2048))])
+    points = frame(spark, [(i, (*p, float(rng.uniform(1, 3)))) for i, p in enumerate(xy)] + [(900, (1030.0, 1.0, 1.0))])
+    zones, kept = [(1024.0, 0.0, 5.0)], []
+    monkeypatch.setattr(topology, "dropped", kept.append)
+    seen, plain = [], []
+    got = {r["id"]: (r["x"], r["y"]) for r in topology.relax(points, 7, zones, seen=seen).collect()}
+    assert len(kept) == 2
+    monkeypatch.setattr(topology, "FULL", 10)
+    want = {r["id"]: (r["x"], r["y"]) for r in topology.relax(points, 7, zones, seen=plain).collect()}
+    assert len(got) == len(want) == 301 and seen == plain and len(seen) == 7
+    assert all(math.dist(got[i], want[i]) < 1e-6 for i in want)
