@@ -1,13 +1,12 @@
 """Near-duplicates by consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies. A shingle's inverse document frequency stops growing below a
-   share of documents (MIN_SHARE), so only shingles above it need a count, and there are
-   at most (mean distinct shingles) / MIN_SHARE of these at any size. A large group of
-   near copies raises the counts of what its members share, though they should still
-   meet; so the share is high, and half of a weight does not depend on the count:
-   tf (1 + idf / max idf) / 2. One pass adds up a
-   sketch of fixed size, which never counts too low; a second counts exactly, over all
-   documents, the shingles in the sketch's heavy cells.
+1. Document frequencies of every shingle, exact. Documents go to blocks by a hash; a block
+   sends its different shingles, with the number of its documents that hold each, to the
+   ranges of hashes that they belong to. A range adds up what it was sent and answers
+   each block in the order of its question; blocks that hold no recurring shingle get no
+   answer. So no table of shingles is collected or broadcast. A large group of near copies
+   raises the counts of what its members share, though they should still meet; so idf is
+   added to its greatest value: tf (1 + idf / max idf) / 2, idf = ln(1 + N / df).
 2. Improved consistent weighted sampling: with r, c ~ Gamma(2, 1) and b ~ U(0, 1) from a
    hash of shingle and sample, t = floor(ln w / r + b), ln a = ln c - r (t - b + 1); the
    shingle of least a, with its t, is the sample. Two texts share one with the
@@ -36,8 +35,8 @@ from pyspark.sql import functions as F
 
 from . import common, shingles
 
-MIN_SHARE = 0.05
-CELLS, RANGES = 1 << 22, 256
+#: Bytes of text of a block and of a range of hashes; a small table has 256 blocks.
+BLOCK, RANGE = 8 << 20, 8 << 20
 BANDS, ROWS = 12, 4
 #: Texts of a chunk, and shingles that count as one more text, so that a chunk of long texts holds fewer.
 CHUNK, LONG = 256, 8192
@@ -60,22 +59,35 @@ def samplers() -> tuple[np.ndarray, ...]:
 
 
 class Weights:
-    """Shingle -> (1 + idf / max idf) / 2 with idf = ln(1 + N / max(df, floor)), from sorted frequent shingles."""
+    """Shingle -> (1 + idf / max idf) / 2 with idf = ln(1 + N / df), from the recurring shingles here or counts that come with a text; others are in one document."""
 
-    def __init__(self, n_docs: int, grams: np.ndarray, df: np.ndarray, floor: float):
+    def __init__(self, n_docs: int, grams: np.ndarray = np.zeros(0, np.uint64), df: np.ndarray = np.zeros(0, np.uint32)):
         order = np.argsort(grams)
-        self.grams = grams[order]
-        self.idf = (0.5 + 0.5 * np.log1p(n_docs / df[order]) / np.log1p(n_docs / floor)).astype(np.float32)
+        self.n_docs, self.grams, self.df = max(1, n_docs), grams[order], df[order]
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, text: str, df: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles of a text, ascending, and their weights tf * idf."""
         grams, tf = np.unique(shingles.of(text), return_counts=True)
-        idf = np.ones(len(grams), np.float32)
+        return grams, self.weigh(tf, _unpacked(df) if df else self.counts(grams))
+
+    def counts(self, grams: np.ndarray) -> np.ndarray:
+        df = np.ones(len(grams), np.uint32)
         if len(self.grams):
             at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
             known = self.grams[at] == grams
-            idf[known] = self.idf[at[known]]
-        return grams, tf.astype(np.float32) * idf
+            df[known] = self.df[at[known]]
+        return df
+
+    def weigh(self, tf: np.ndarray, df: np.ndarray) -> np.ndarray:
+        return tf.astype(np.float32) * (0.5 + 0.5 * np.log1p(self.n_docs / df) / np.log1p(self.n_docs)).astype(np.float32)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint32).tobytes())
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.uint32)
 
 
 def signature(grams: np.ndarray, weights: np.ndarray, block: int = 2048) -> np.ndarray:
@@ -107,69 +119,136 @@ def signature(grams: np.ndarray, weights: np.ndarray, block: int = 2048) -> np.n
     return keys.view(np.int64)
 
 
-def frequencies(docs: DataFrame) -> Weights:
-    """Weights from the exact document frequencies of all frequent shingles of docs(text)."""
-    texts = docs.select("text")
+def blocked(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """docs(doc_id, text) with the block that each row goes to, their number, and the bits of a hash that name its range."""
+    n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = -(-size // min(BLOCK, max(1 << 16, size >> 8))) + 1
+    bits = min(16, max(4, (size // RANGE).bit_length()))
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))), n_docs, bits
+
+
+def _edges(grams: np.ndarray, bits: int) -> np.ndarray:
+    """Where each range of hashes starts among ascending shingles, and where the last one ends."""
+    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.append(np.searchsorted(grams, starts), len(grams))
+
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def asked(rows: DataFrame, bits: int, tasks: int) -> DataFrame:
+    """(block, part, grams, n): the different shingles of a block in a range of hashes, ascending, and how many of its documents hold each."""
+
+    def sent(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        grams, n = np.unique(np.concatenate(held), return_counts=True)
+        ends = _edges(grams, bits)
+        parts = [p for p in range(1 << bits) if ends[p] < ends[p + 1]]
+        cut = lambda x, p: x[ends[p] : ends[p + 1]]
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array(parts, pa.int32()), pa.array([cut(grams, p).tobytes() for p in parts], pa.binary()), pa.array([_packed(cut(n, p)) for p in parts], pa.binary())], ["block", "part", "grams", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.own("near_dedup")
-        cells, held, size, n = np.zeros(CELLS, np.uint32), [], 0, 0
+        at, held = None, []
         for batch in batches:
-            for text in common.texts(batch):
-                held.append((np.unique(shingles.of(text)) >> np.uint64(42)).astype(np.uint32))
-                size, n = size + len(held[-1]), n + 1
-                if size > 1 << 21:
-                    cells += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
-                    held, size = [], 0
+            for block, text in zip(batch.column("block").to_pylist(), common.texts(batch)):
+                if block != at and held:
+                    yield sent(at, held)
+                    held = []
+                at = block
+                held.append(np.unique(shingles.of(text)))
         if held:
-            cells += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
-        pack = zstandard.ZstdCompressor(level=1)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(-1, RANGES), pa.int32()), "n": pa.array([n] + [0] * RANGES, pa.int64()), "cells": pa.array([b"", *(pack.compress(x.tobytes()) for x in cells.reshape(RANGES, -1))], pa.binary())})
-
-    few = texts.coalesce(common.tasks_for(texts, 2, 256 << 20))  # a sketch weighs the same whatever its task reads
-    rows = common.written(few.mapInArrow(sketch, "part int, n long, cells binary"), "sketch")
-    n_docs = rows.agg(F.sum("n")).first()[0] or 0
-    floor = max(1.0, MIN_SHARE * n_docs)
-
-    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for part, cells in zip(batch.column("part").to_pylist(), batch.column("cells")):
-                x = np.frombuffer(unpack.decompress(cells.as_py()), np.uint32)
-                sums[part] = sums.get(part, 0) + x.astype(np.uint64)
-        for part, x in sums.items():
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(np.flatnonzero(x > floor) + part * (CELLS // RANGES), pa.int64())})
-
-    found = rows.where("part >= 0").repartition("part").mapInArrow(heavy, "cell long").toPandas().cell.to_numpy()
-    common.dropped(rows)
-    if not len(found):
-        return Weights(n_docs, np.zeros(0, np.uint64), np.zeros(0), floor)
-    is_heavy = np.zeros(CELLS, bool)
-    is_heavy[found] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(is_heavy))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield sent(at, held)
+
+    return rows.select("block", "text").repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(run, "block long, part int, grams binary, n binary")
+
+
+def _by_range(questions: DataFrame, tasks: int, told, schema: str) -> DataFrame:
+    """What `told` makes of each range: its number, its questions' blocks and shingles, and the document frequency of each shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.own("near_dedup")
-        keep, held, size = np.unpackbits(shared.value).astype(bool), [], 0
+        at, held = None, []
+
+        def done() -> pa.RecordBatch:
+            grams = [np.frombuffer(g, np.uint64) for _, g, _ in held]
+            _, where = np.unique(np.concatenate(grams), return_inverse=True)
+            df = np.bincount(where, np.concatenate([_unpacked(n) for _, _, n in held])).astype(np.uint32)[where]
+            return told(at, [b for b, _, _ in held], grams, df)
+
         for batch in batches:
-            for text in common.texts(batch):
-                g = np.unique(shingles.of(text))
-                held.append(g[keep[(g >> np.uint64(42)).astype(np.int64)]])
-                size += len(held[-1])
-                if size > 1 << 20:
-                    yield _counted(held)
-                    held, size = [], 0
+            for part, *question in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "grams", "n"))):
+                if part != at and held:
+                    yield done()
+                    held = []
+                at = part
+                held.append(question)
         if held:
-            yield _counted(held)
+            yield done()
+
+    return questions.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
-    exact = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > floor).toPandas()
-    return Weights(n_docs, exact.gram.to_numpy().view(np.uint64), exact.n.to_numpy(), floor)
 
+def answers(questions: DataFrame, tasks: int) -> DataFrame:
+    """(block, part, df): the document frequencies of a question's shingles, in its order; none where all are 1."""
 
-def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    grams, n = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_pydict({"gram": pa.array(grams.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+    def told(part: int, blocks: list[int], grams: list[np.ndarray], df: np.ndarray) -> pa.RecordBatch:
+        cuts = np.split(df, np.cumsum([len(g) for g in grams])[:-1])
+        out = [(b, _packed(x)) for b, x in zip(blocks, cuts) if x.max() > 1]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], ["block", "part", "df"])
+
+    return _by_range(questions, tasks, told, "block long, part int, df binary")
+
+
+def frequencies(docs: DataFrame) -> Weights:
+    """Weights from the exact document frequencies of all shingles of docs(text), collected: for tables whose recurring shingles fit a process. `near_classes` leaves them on the executors."""
+    rows, n_docs, bits = blocked(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text"))
+    tasks = common.parts_for(docs)
+
+    def told(part: int, blocks: list[int], grams: list[np.ndarray], df: np.ndarray) -> pa.RecordBatch:
+        found, first = np.unique(np.concatenate(grams), return_index=True)
+        more = df[first] > 1
+        return pa.RecordBatch.from_pydict({"gram": pa.array(found[more].view(np.int64)), "df": pa.array(df[first][more].astype(np.int64))})
+
+    exact = _by_range(asked(rows, bits, tasks), tasks, told, "gram long, df long").toPandas()
+    return Weights(n_docs, exact.gram.to_numpy(np.int64).view(np.uint64), exact.df.to_numpy(np.int64).astype(np.uint32))
+
+
+def signed(rows: DataFrame, found: DataFrame, shared, bits: int, tasks: int) -> DataFrame:
+    """`signatures` of rows(doc_id, text, block) by the answers to their blocks, with df: the frequencies of a text's different shingles, ascending, packed; empty if all are 1."""
+    told = found.select("block", "part", "df", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    told = told.unionByName(rows.select("block", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("df"), "doc_id", "text"))
+
+    def done(idents: list, texts: list[str], parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        sets = [np.unique(shingles.of(t), return_counts=True) for t in texts]
+        every = np.unique(np.concatenate([g for g, _ in sets]))
+        df, ends = np.ones(len(every), np.uint32), _edges(every, bits)
+        for part, counts in parts:
+            df[ends[part] : ends[part + 1]] = _unpacked(counts)
+        bands, packed = [], []
+        for grams, tf in sets:
+            own = df[np.searchsorted(every, grams)]
+            bands.append(signature(grams, shared.value.weigh(tf, own)) if len(grams) else [])
+            packed.append(_packed(own) if len(own) and own.max() > 1 else b"")
+        copies = [_copy(t) for t in texts]
+        sizes = [len(g) for g, _ in sets]
+        return pa.RecordBatch.from_arrays([pa.array(idents, pa.int64()), pa.array(copies, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "copy", "bands", "size", "df"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.own("near_dedup")
+        at, idents, texts, parts = None, [], [], []
+        for batch in batches:
+            for block, part, df, ident, text in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "df", "doc_id", "text"))):
+                if block != at and texts:
+                    yield done(idents, texts, parts)
+                    idents, texts, parts = [], [], []
+                at = block
+                if part is not None:
+                    parts.append((part, df))
+                else:
+                    idents.append(ident)
+                    texts.append(text or "")
+        if texts:
+            yield done(idents, texts, parts)
+
+    dealt = told.repartition(tasks, "block").sortWithinPartitions("block", F.col("part").asc_nulls_last())
+    return dealt.mapInArrow(run, "doc_id long, copy binary, bands array<long>, size long, df binary")
 
 
 def signatures(docs: DataFrame, shared) -> DataFrame:
@@ -180,7 +259,7 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
         for batch in batches:
             copies, bands, sizes = [], [], []
             for text in common.texts(batch):
-                copies.append(xxhash.xxh3_128_digest(shingles.words_of(text).tobytes()))
+                copies.append(_copy(text))
                 grams, weights = shared.value.of(text)
                 bands.append(signature(grams, weights) if len(grams) else [])
                 sizes.append(len(grams))
@@ -189,13 +268,12 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, copy binary, bands array<long>, size long")
 
 
-def linked(reps: list[int], texts: list[str], weights: Weights, similar: float = shingles.SIMILAR) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that join the texts' classes, and the first member of each class.
+def linked(reps: list[int], sets: list[tuple[np.ndarray, np.ndarray]], similar: float = shingles.SIMILAR) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links that join the classes of texts, given by their shingles and weights, and the first member of each class.
 
     Each text is compared with every later one that isn't in its class by then, so the
     classes are those of all pairs at the similarity or above.
     """
-    sets = [weights.of(t) for t in texts]
     total = np.array([w.sum(dtype=np.float64) for _, w in sets])
     root = np.arange(len(reps))
     sizes = [len(g) for g, _ in sets]
@@ -237,11 +315,19 @@ def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(bits), F.pmod(F.xxhash64("doc_id"), F.lit(words)) == F.col("word")).where(F.col("bits").bitwiseAND(bit("doc_id")) != 0).select("doc_id", "text")
 
 
-def verify(members: DataFrame, docs: DataFrame, shared) -> DataFrame:
-    """Links (kind 0: a, b) and class heads (kind 1: bucket, text) of buckets members(bucket, chunk, rep)."""
+def verify(members: DataFrame, docs: DataFrame, shared, known: DataFrame | None = None) -> DataFrame:
+    """Links (kind 0: a, b) and class heads (kind 1: bucket, text) of buckets members(bucket, chunk, rep).
+
+    Frequencies are those of known(doc_id, copy, df), a row for each text of an id; without it, those that `shared` holds.
+    """
     wanted = common.written(members.select("rep").distinct(), "wanted", of=members)
     one = likely(docs, wanted).join(wanted, F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.min("text").alias("text"))
-    rows = members.join(one, "rep").select("bucket", "chunk", "rep", "text")
+    if known is None:
+        one = one.withColumn("dfs", F.lit(None).cast("array<struct<copy:binary,df:binary>>"))
+    else:
+        dfs = known.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.collect_list(F.struct("copy", "df")).alias("dfs"))
+        one = one.join(dfs, "rep", "left")
+    rows = members.join(one, "rep").select("bucket", "chunk", "rep", "text", "dfs")
     rows = rows.repartition(common.parts_for(docs), "bucket", "chunk").sortWithinPartitions("bucket", "chunk", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,20 +336,20 @@ def verify(members: DataFrame, docs: DataFrame, shared) -> DataFrame:
 
         def done() -> None:
             if len(reps) > 1:
-                pairs, heads = linked(reps, held, shared.value)
+                pairs, heads = linked(reps, [shared.value.of(*x) for x in held])
                 found.extend((0, a, b) for a, b in pairs)
             else:
                 heads = reps
             found.extend((1, at[0], r) for r in heads)
 
         for batch in batches:
-            for bucket, chunk, rep, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "rep", "text"))):
+            for bucket, chunk, rep, text, dfs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "rep", "text", "dfs"))):
                 if (bucket, chunk) != at:
                     if at is not None:
                         done()
                     at, reps, held = (bucket, chunk), [], []
                 reps.append(rep)
-                held.append(text or "")
+                held.append((text or "", _own_df(text or "", dfs or [])))
             if found:
                 yield _links(found)
                 found = []
@@ -274,11 +360,24 @@ def verify(members: DataFrame, docs: DataFrame, shared) -> DataFrame:
     return rows.mapInArrow(run, "kind int, a long, b long")
 
 
+def _own_df(text: str, dfs: list[dict]) -> bytes:
+    """A text's frequencies, of those of all texts that share its id."""
+    if len(dfs) == 1:
+        return dfs[0]["df"]
+    copy = _copy(text) if dfs else b""
+    return next((x["df"] for x in dfs if x["copy"] == copy), b"")
+
+
+def _copy(text: str) -> bytes:
+    """A 128-bit hash of a text's words."""
+    return xxhash.xxh3_128_digest(shingles.words_of(text).tobytes())
+
+
 def _links(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["kind", "a", "b"])
 
 
-def links(reps: DataFrame, docs: DataFrame, shared, chunk: int = CHUNK) -> DataFrame:
+def links(reps: DataFrame, docs: DataFrame, shared, chunk: int = CHUNK, known: DataFrame | None = None) -> DataFrame:
     """(a, b) with a < b: links between different texts of weighted Jaccard similarity 0.8 or more that give the classes of reps(rep, bands, size); without sizes all texts count as short."""
     size = F.col("size") if "size" in reps.columns else F.lit(1).cast("long").alias("size")
     members = reps.select("rep", size, F.explode("bands").alias("bucket"))
@@ -289,7 +388,7 @@ def links(reps: DataFrame, docs: DataFrame, shared, chunk: int = CHUNK) -> DataF
     met, before = [], None
     for level in range(32):
         part = F.when(F.col("n") <= chunk, 0).otherwise(F.pmod(F.xxhash64("rep", "bucket", F.lit(level)), F.ceil(F.col("n") / chunk)))
-        out = common.written(verify(at.select("bucket", "rep", part.alias("chunk")), docs, shared), "links", of=docs, tasks=4)
+        out = common.written(verify(at.select("bucket", "rep", part.alias("chunk")), docs, shared, known), "links", of=docs, tasks=4)
         met.append(out)
         over = at.where(F.col("n") > chunk).agg(F.count("*")).first()[0]
         if not over or before is not None and over > 0.8 * before:
@@ -303,7 +402,7 @@ def links(reps: DataFrame, docs: DataFrame, shared, chunk: int = CHUNK) -> DataF
         return found
     whole = common.written(found, "links", of=members)
     rest = common.written(stragglers(large, classes(whole), chunk), "stragglers", of=start, tasks=4)
-    more = common.written(verify(rest, docs, shared), "links", of=docs, tasks=4)
+    more = common.written(verify(rest, docs, shared, known), "links", of=docs, tasks=4)
     return whole.union(more.where("kind = 0").select("a", "b")).distinct()
 
 
@@ -367,11 +466,16 @@ def near_classes(docs: DataFrame) -> DataFrame:
     table gives no row.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs))
-    sig = common.written(signatures(docs, shared), "signatures")
+    rows, n_docs, bits = blocked(docs)
+    tasks = common.parts_for(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(Weights(n_docs))
+    found = common.written(answers(asked(rows, bits, tasks), tasks), "frequencies")
+    sig = common.written(signed(rows, found, shared, bits, tasks), "signatures")
+    common.dropped(found)
     some = sig.where(F.col("doc_id").isNotNull() & (F.size("bands") > 0))
     reps = common.written(some.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size")), "copies", of=sig)
-    comp = classes(links(reps, docs, shared))
+    known = sig.where("doc_id IS NOT NULL").groupBy("doc_id", "copy").agg(F.first("df").alias("df"))
+    comp = classes(links(reps, docs, shared, known=known))
     heads = reps.join(comp, reps["rep"] == comp["v"], "left").select(F.col("copy").alias("c"), F.coalesce("l", "rep").alias("class_id"))
     return sig.select("doc_id", "copy", (F.size("bands") > 0).alias("some")).join(heads, (F.col("copy") == F.col("c")) & F.col("some") & F.col("doc_id").isNotNull(), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

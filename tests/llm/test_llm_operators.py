@@ -378,3 +378,29 @@ def test_mix_meets_targets_and_orders(spark):
     assert plan.where(F.exists("positions", lambda u: (u < 0) | (u >= 1))).count() == 0
     assert mixing.apply(docs).count() == plan.agg(F.sum("copies")).first()[0]
     assert sorted(mixing.plan(docs.repartition(7)).select("doc_id", "taken").collect()) == sorted(plan.select("doc_id", "taken").collect())
+
+
+def test_every_shingle_counts_its_documents(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 300)
+    monkeypatch.setattr(near_dedup, "RANGE", 300)
+    rng = random.Random(21)
+    base = [words(rng, 12) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(base) for _ in range(4))) for i in range(300)] + [(i % 3, None) for i in range(3)] + [(1, base[0]), (2, base[0]), (None, base[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    count: dict[int, int] = {}
+    for _, t in rows:
+        for g in set(shingles.of(t or "").tolist()):
+            count[g] = count.get(g, 0) + 1
+    w = near_dedup.frequencies(docs)  # also shingles of few documents: their share of a weight is not flat
+    assert dict(zip(w.grams.tolist(), w.df.tolist())) == {g: n for g, n in count.items() if n > 1} and w.n_docs == len(rows)
+    cut, n, bits = near_dedup.blocked(docs)
+    found = near_dedup.answers(near_dedup.asked(cut, bits, 4), 4)
+    got = near_dedup.signed(cut, found, spark.sparkContext.broadcast(near_dedup.Weights(n)), bits, 4).collect()
+    texts = {near_dedup._copy(t or ""): t or "" for _, t in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        grams = np.unique(shingles.of(texts[bytes(r["copy"])]))
+        df = near_dedup._unpacked(bytes(r["df"])).tolist() if r["df"] else [1] * len(grams)
+        assert df == [count[g] for g in grams.tolist()]
+        weights = w.of(texts[bytes(r["copy"])])[1]
+        assert r["bands"] == (near_dedup.signature(grams, weights).tolist() if len(grams) else [])
