@@ -82,6 +82,17 @@ class Weights:
         return tf.astype(np.float32) * (0.5 + 0.5 * np.log1p(self.n_docs / df) / np.log1p(self.n_docs)).astype(np.float32)
 
 
+def _dense(grams: np.ndarray) -> bytes:
+    """Ascending shingles as their differences, by planes of bytes, of which the upper ones hold little."""
+    steps = np.diff(grams, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.T).tobytes())
+
+
+def _shingles(dense: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(dense), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _packed(counts: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint32).tobytes())
 
@@ -141,7 +152,7 @@ def asked(rows: DataFrame, bits: int, tasks: int) -> DataFrame:
         ends = _edges(grams, bits)
         parts = [p for p in range(1 << bits) if ends[p] < ends[p + 1]]
         cut = lambda x, p: x[ends[p] : ends[p + 1]]
-        return pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array(parts, pa.int32()), pa.array([cut(grams, p).tobytes() for p in parts], pa.binary()), pa.array([_packed(cut(n, p)) for p in parts], pa.binary())], ["block", "part", "grams", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array(parts, pa.int32()), pa.array([_dense(cut(grams, p)) for p in parts], pa.binary()), pa.array([_packed(cut(n, p)) for p in parts], pa.binary())], ["block", "part", "grams", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.own("near_dedup")
@@ -167,7 +178,7 @@ def _by_range(questions: DataFrame, tasks: int, told, schema: str) -> DataFrame:
         at, held = None, []
 
         def done() -> pa.RecordBatch:
-            grams = [np.frombuffer(g, np.uint64) for _, g, _ in held]
+            grams = [_shingles(g) for _, g, _ in held]
             _, where = np.unique(np.concatenate(grams), return_inverse=True)
             df = np.bincount(where, np.concatenate([_unpacked(n) for _, _, n in held])).astype(np.uint32)[where]
             return told(at, [b for b, _, _ in held], grams, df)
@@ -455,6 +466,17 @@ def classes(edges: DataFrame) -> DataFrame:
     return comp
 
 
+def _freed(df: DataFrame, name: str) -> DataFrame:
+    """common.written, after which what was shuffled for it goes at once: these shuffles hold all texts and shingles."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return common.written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) of every row of docs(doc_id, text); class_id is the smallest doc_id of its class.
 
@@ -469,8 +491,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     rows, n_docs, bits = blocked(docs)
     tasks = common.parts_for(docs)
     shared = docs.sparkSession.sparkContext.broadcast(Weights(n_docs))
-    found = common.written(answers(asked(rows, bits, tasks), tasks), "frequencies")
-    sig = common.written(signed(rows, found, shared, bits, tasks), "signatures")
+    found = _freed(answers(asked(rows, bits, tasks), tasks), "frequencies")
+    sig = _freed(signed(rows, found, shared, bits, tasks), "signatures")
     common.dropped(found)
     some = sig.where(F.col("doc_id").isNotNull() & (F.size("bands") > 0))
     reps = common.written(some.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size")), "copies", of=sig)
