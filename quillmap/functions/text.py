@@ -49,7 +49,7 @@ def normalize_title(target: Column) -> Column:
     trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     t = F.regexp_replace(trim(target), r"(?U)^:\s*", "")
     t = trim(F.translate(F.substring_index(t, "#", 1), "_", " "))
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))
+    return F.get(F.transform(F.array(t), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))), F.lit(0))
 
 
 def is_skip_namespace(title: Column) -> Column:

@@ -17,9 +17,12 @@ def attach_articles(figures: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def resolve(pages: DataFrame, redirects: DataFrame, titles: DataFrame) -> DataFrame:
-    """(page_id, qids): pages(page_id, links) to ids by one redirect hop(source, target) and titles(title, qid, row_idx); first occurrences in order, unresolved ones dropped, the last row of a repeated title wins."""
+    """(page_id, qids): pages(page_id, links) to ids by one redirect hop(source, target) and titles(title, qid, row_idx); first occurrences in order, unresolved ones dropped, the last row of a repeated title wins.
+
+    A link is normalized once: through a list of one, as filters and join keys would else each repeat it.
+    """
     one = titles.groupBy("title").agg(F.max_by("qid", "row_idx").alias("qid"))
-    flat = pages.select("page_id", F.posexplode("links").alias("pos", "raw")).withColumn("link", normalize_title(F.col("raw"))).where((F.col("link") != "") & ~is_skip_namespace(F.col("link")))
+    flat = pages.select("page_id", F.posexplode("links").alias("pos", "raw")).select("page_id", "pos", F.explode(F.array(normalize_title(F.col("raw")))).alias("link")).where((F.col("link") != "") & ~is_skip_namespace(F.col("link")))
     hop = redirects.groupBy("source").agg(F.max("target").alias("target"))
     hit = flat.join(hop, flat["link"] == hop["source"], "left").withColumn("to", F.coalesce("target", "link")).join(one, F.col("to") == one["title"])
     first = hit.groupBy("page_id", "qid").agg(F.min("pos").alias("pos"))

@@ -136,3 +136,12 @@ def test_a_line_is_parsed_once(spark, tmp_path):
     human = {"type": "item", "id": "Q90", "sitelinks": {"enwiki": {"title": "E"}}, "claims": {"P31": [atlas._snak({"id": "Q5"})], "P570": [atlas._snak({"time": "+1700-01-01T00:00:00Z"})], "P27": [atlas._snak({"id": i}) | ({"rank": r} if r else {}) for i, r in ranks]}}
     path = dump(tmp_path / "r.json.bz2", [json.dumps(human) + " , \t"])
     assert [r["citizenships"] for r in dumps.figures(spark, path).where("qid = 'Q90'").collect()] == [["c", "e", "a", "d"]]
+
+
+def test_links_are_normalized_once(spark):
+    from quillmap.operators.links import resolve
+
+    pages = spark.createDataFrame([("p", [" :ada_L#x", "Ada L", "Help:y", "", "old", "gone"])], "page_id string, links array<string>")
+    out = resolve(pages, spark.createDataFrame([("Old", "Bob")], "source string, target string"), spark.createDataFrame([("Ada L", "Q1", 1), ("Bob", "Q2", 2)], "title string, qid string, row_idx long"))
+    assert [tuple(r) for r in out.collect()] == [("p", ["Q1", "Q2"])]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("(?U)^:") == 1
