@@ -57,6 +57,21 @@ def test_shared_spots_equal_brute_force(spark, monkeypatch):
     assert all(r["d"] == round(math.hypot(*(xy[r["a"]] - xy[r["b"]])), 4) for r in got)
 
 
+def test_pairs_of_spots_leave_their_tasks_only_as_rows_of_the_answer(spark, monkeypatch):
+    """Lists of idents go to the leaves, as a rim to few, and no pair is joined with them after."""
+    xy = np.random.default_rng(4).uniform(-200, 200, (2000, 2))
+    met = []
+    monkeypatch.setattr(spatial, "near_pairs", lambda *a, **k: (met.append((a, k)), quadtree.near_pairs(*a, **k))[1])
+    out = spatial.spot_pairs(frame(spark, [(i, (*p, 1.0)) for i, p in enumerate(xy)]), 0.5, 10_000)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    ((points, reach), how) = met[0]
+    assert quadtree.met_rows(points, reach, also=("ids",), tree=how["tree"]).count() < 2000 * 1.5
+    assert out.count() == len(close(xy, 0.5))
+    monkeypatch.setattr(quadtree, "ITEMS", 10)
+    cuts = [list(range(5))[c] for c in quadtree._cuts(np.array([4, 6, 50, 1, 2]))]
+    assert cuts == [[0, 1], [2], [3, 4]] and len(list(quadtree._cuts(np.zeros(99, int)))) == 1
+
+
 def test_rounds_of_all_points_read_no_older_rounds(spark):
     """Points without a place stay, and a crowded start stores each round once."""
     rng = np.random.default_rng(8)
