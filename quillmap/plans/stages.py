@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import anchors, articles, placement
 from ..sources import dumps
-from ..sources.storage import shared_folder, stored
+from ..sources.storage import dropped, removed, shared_folder, stored
 from . import bridge as B
 from .atlas import PLACES, _places, _r, _values, query
 from .bridge import FIGURES, SQL_ERA, SQL_UNCERTAINTY, sql_normal, sql_uniform
 
 #: Ids of places in the dump: this and the supplier's number, beyond all ids of figures.
 PLACE_ID = "Q9000000000"
+#: Rows of a dump's file at the most; files are packed, so a task reads each whole.
+ROWS = 16_384
+PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 REGIONS = {f"region {k}": f"C{k}" for k in range(25)}
 GAZETTEER = {"min_pool": 30, "aliases": {"C26": "C1", "C25": "C2"}, "ignore": ["no region 3"], "regions": REGIONS}
 
@@ -61,14 +64,26 @@ def entity_dump(spark: SparkSession, d: str) -> str:
     places = p.select(F.concat(F.lit('{"type":"item","id":"' + PLACE_ID), F.substring("qid", 2, 20), F.lit('","labels":{"en":{"value":"'), "qid", F.lit('"}},"claims":{'), claims, F.lit('},"sitelinks":{}},')).alias("value"))
     brackets = _values(spark, [("[",), ("]",)], "value string")
     path = shared_folder(spark, "entities")
-    brackets.union(figures).union(places).write.text(path)
+    brackets.union(figures).union(places).write.options(**PACKED, maxRecordsPerFile=ROWS).text(path)
     return path
 
 
-def _read(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+def _read(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Figures and the places that they were born or died in, both stored; the dump goes once both are read."""
     path = entity_dump(spark, d)
     rows = stored(dumps.prefilter(dumps.figures(spark, path), 1900), "figures")
-    return path, rows
+    ours = rows.withColumns({c: F.concat(F.lit(PLACE_ID), F.substring(c, 2, 20)) for c in ("birth_place_qid", "death_place_qid")})
+    found = stored(dumps.places(spark, path, ours), "places")
+    removed(spark, path)
+    return rows, found.withColumn("qid", F.concat(F.lit("P"), F.substring("qid", len(PLACE_ID) + 1, 20)))
+
+
+def _figures(spark: SparkSession, d: str) -> DataFrame:
+    """The figures alone, stored."""
+    path = entity_dump(spark, d)
+    rows = stored(dumps.prefilter(dumps.figures(spark, path), 1900), "figures")
+    removed(spark, path)
+    return rows
 
 
 SUBJECTS = f"""{FIGURES}, subjects AS (SELECT row_idx, qid, replace(title, '#', ' ') || ' ' || row_idx AS title, birth_year, death_year, words, 'C' || (row_idx % 40) AS citizen, 'P' || (row_idx % 150) AS birth, 'P' || (row_idx % 130) AS death,
@@ -85,20 +100,14 @@ SQL_OUTER = "((row_idx % 2 = 0)::INT + (row_idx % 8 = 0)::INT)"
 )
 def dump_figures(spark, d):
     """Stages 1 and 2: the dump read, parsed and filtered; all fifteen columns, lists joined by commas."""
-    rows = _read(spark, d)[1]
+    rows = _figures(spark, d)
     return rows.select(*(F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes))
 
 
-def _found(spark: SparkSession, d: str, path: str, rows: DataFrame) -> DataFrame:
-    ours = rows.withColumns({c: F.concat(F.lit(PLACE_ID), F.substring(c, 2, 20)) for c in ("birth_place_qid", "death_place_qid")})
-    return dumps.places(spark, path, ours).withColumn("qid", F.concat(F.lit("P"), F.substring("qid", len(PLACE_ID) + 1, 20)))
-
-
 @query(f"WITH {SUBJECTS}, {PLACES} SELECT qid, qid AS label, CASE WHEN lon IS NOT NULL THEN round(lat, 6) END AS lat, CASE WHEN lat IS NOT NULL THEN round(lon, 6) END AS lon, country_qid FROM places WHERE qid IN (SELECT birth FROM subjects UNION SELECT death FROM subjects)")
 def dump_places(spark, d):
     """Stage 5: the places that figures were born or died in."""
-    path, rows = _read(spark, d)
-    return _found(spark, d, path, rows).select("qid", "label", _r(F.col("lat")).alias("lat"), _r(F.col("lon")).alias("lon"), "country_qid")
+    return _read(spark, d)[1].select("qid", "label", _r(F.col("lat")).alias("lat"), _r(F.col("lon")).alias("lon"), "country_qid")
 
 
 LADDER = f"""{SUBJECTS}, {PLACES}, spots AS (SELECT qid, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lon END AS lon, country_qid FROM places),
@@ -114,8 +123,8 @@ located AS (SELECT r.*, coalesce(r.lon, p.lent) AS lon_at FROM rungs r LEFT JOIN
 @query(f"WITH {LADDER} SELECT qid, geo_source, country_qid, round(lon_at, 6) AS lon FROM located")
 def dump_located(spark, d):
     """Stages 1, 2, 5 and the location ladder of stage 6."""
-    path, rows = _read(spark, d)
-    return placement.locate(rows, _found(spark, d, path, rows), GAZETTEER).select("qid", "geo_source", "country_qid", _r(F.col("lon")).alias("lon"))
+    rows, found = _read(spark, d)
+    return placement.locate(rows, found, GAZETTEER).select("qid", "geo_source", "country_qid", _r(F.col("lon")).alias("lon"))
 
 
 def article_dump(spark: SparkSession, d: str) -> str:
@@ -130,18 +139,33 @@ def article_dump(spark: SparkSession, d: str) -> str:
     hops = f.where(k % 10 == 0).select(page(F.concat(F.lit("Old "), title), F.concat(F.lit('<redirect title="'), title, F.lit('"/><revision><text>#REDIRECT</text></revision>'))))
     path = shared_folder(spark, "wiki")
 
+    most = ROWS
+
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tag = lambda x: pa.RecordBatch.from_pydict({"value": [x]})
+        tag = lambda *x: pa.RecordBatch.from_pydict({"value": x})
         yield tag("<mediawiki>")
-        yield from batches
+        left = most
+        for batch in batches:
+            while batch.num_rows > left:
+                yield batch.slice(0, left)
+                yield tag("</mediawiki>", "<mediawiki>")  # where a file ends
+                batch, left = batch.slice(left), most
+            left -= batch.num_rows
+            yield batch
         yield tag("</mediawiki>")
 
-    content.union(hops).mapInArrow(framed, "value string").write.text(path)
+    content.union(hops).mapInArrow(framed, "value string").write.options(**PACKED, maxRecordsPerFile=most + 2).text(path)
     return path
 
 
 def _with_articles(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
-    return stored(articles.quality_cut(dumps.with_articles(rows, dumps.pages(spark, article_dump(spark, d)))), "articles-cut")
+    path, held = article_dump(spark, d), []
+    found = dumps.with_articles(rows, dumps.pages(spark, path), held)
+    removed(spark, path)
+    out = stored(articles.quality_cut(found), "articles-cut")
+    for table in (rows, *held):
+        dropped(table)
+    return out
 
 
 READ = "(row_idx % 300 + CASE WHEN row_idx % 10 = 0 THEN 16 ELSE 15 END)"
@@ -150,7 +174,7 @@ READ = "(row_idx % 300 + CASE WHEN row_idx % 10 = 0 THEN 16 ELSE 15 END)"
 @query(f"WITH {SUBJECTS}, a AS (SELECT *, {READ} AS n FROM subjects WHERE row_idx % 7 <> 0) SELECT qid, title || ' was (born) a poet.' AS lead_text, 7::INT AS lead_word_count, 1::INT AS lead_sentence_count, n::INT AS article_word_count, 1::INT AS article_section_count, 1::INT AS article_ref_count, 'S ' || row_idx AS short_description, qid AS first_link, 1::INT AS n_links FROM a WHERE n >= 100")
 def dump_articles(spark, d):
     """Stages 1 to 4: figures with their articles, links resolved through redirects, stubs cut."""
-    out = _with_articles(spark, d, _read(spark, d)[1])
+    out = _with_articles(spark, d, _figures(spark, d))
     return out.select("qid", "lead_text", "lead_word_count", "lead_sentence_count", "article_word_count", "article_section_count", "article_ref_count", "short_description", F.get("outgoing_qids", F.lit(0)).alias("first_link"), F.size("outgoing_qids").alias("n_links"))
 
 
@@ -160,9 +184,8 @@ def dump_articles(spark, d):
 )
 def dump_chain(spark, d):
     """Stages 1 to 6 in turn, summed up by the rung that located a figure; unlocated ones turn by blake2b."""
-    path, rows = _read(spark, d)
-    cut = _with_articles(spark, d, rows)
-    at = placement.locate(cut, _found(spark, d, path, cut), GAZETTEER)
+    rows, found = _read(spark, d)
+    at = placement.locate(_with_articles(spark, d, rows), found, GAZETTEER)
     figures = at.withColumns({"row_idx": F.substring("qid", 2, 20).cast("long"), "sitelinks": F.col("sitelink_count"), "words": F.col("article_word_count")})
     placed = placement.tiers(placement.place(figures))
     return placed.groupBy(F.coalesce("geo_source", F.lit("none")).alias("geo_source")).agg(F.count("*").alias("n"), _r(F.avg("radius"), 4).alias("radius"), _r(F.avg("lon"), 5).alias("lon"))

@@ -66,15 +66,17 @@ def pages(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame
     return rows.where("redirect IS NOT NULL OR text IS NOT NULL")
 
 
-def with_articles(rows: DataFrame, wiki: DataFrame) -> DataFrame:
+def with_articles(rows: DataFrame, wiki: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
     """Figures with their articles' measures and outgoing ids; redirects anywhere in the dump count.
 
     One scan of the dump: redirects and the articles of figures are stored, and both
-    branches read them from there.
+    branches read them from there. `held` gets that table, for the caller to drop.
     """
     titles = rows.select(F.col("title").alias("wanted")).distinct()
     hit = wiki.join(titles, F.coalesce("redirect", "title") == F.col("wanted"), "left_semi")
     wiki = stored(hit, "articles")
+    if held is not None:
+        held.append(wiki)
     redirects = wiki.where("redirect IS NOT NULL").select(F.col("title").alias("source"), F.col("redirect").alias("target"))
     content = wiki.where("redirect IS NULL").select("title", "text")
     parsed = parse_articles(content).withColumn("article_idx", F.xxhash64("title", "lead_text"))

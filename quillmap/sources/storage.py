@@ -30,8 +30,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete a stored table that a later one, stored too, has taken the place of."""
-    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    removed(df.sparkSession, df.stored_at)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that stages left and that all of its readers have stored from."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def required(spark: SparkSession, path: str, what: str) -> str:
