@@ -36,3 +36,9 @@ def test_articles_leave_only_the_last_table(spark, shared):
     out = stages.dump_articles(spark, SF)
     assert [n.rsplit("-", 1)[0] for n in os.listdir(shared)] == ["articles-cut"]
     assert out.count() > 500
+
+
+def test_places_are_read_before_the_dump_goes(spark, shared):
+    out = stages.dump_located(spark, SF)
+    assert sorted(n.rsplit("-", 1)[0] for n in os.listdir(shared)) == ["figures", "places"]
+    assert out.where("lon IS NOT NULL").count() > 500
