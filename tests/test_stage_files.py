@@ -42,3 +42,9 @@ def test_places_are_read_before_the_dump_goes(spark, shared):
     out = stages.dump_located(spark, SF)
     assert sorted(n.rsplit("-", 1)[0] for n in os.listdir(shared)) == ["figures", "places"]
     assert out.where("lon IS NOT NULL").count() > 500
+
+
+def test_the_chain_leaves_the_cut_and_its_places(spark, shared):
+    out = stages.dump_chain(spark, SF)
+    assert sorted(n.rsplit("-", 1)[0] for n in os.listdir(shared)) == ["articles-cut", "places"]
+    assert out.count() > 1
