@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillmap.operators import quadtree, spatial, topology
+from quillmap.plans import lookups
 from test_crowded import close, frame
 
 
@@ -94,6 +95,17 @@ def test_zones_of_one_disc_are_compared_once(spark, monkeypatch):
     assert "Generate inline(zones" in met._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_distance_is_rounded_before_zones_are_told_out(spark, monkeypatch):
+    points = frame(spark, [(1, (0.12345, 0.0, 1.0))])
+    monkeypatch.setattr(lookups, "_points", lambda *_: points)
+    monkeypatch.setattr(lookups, "table", lambda *_: spark.createDataFrame([(14_000 * k,) for k in range(1, 60)], "c_custkey long"))
+    met = lookups.many_zones(spark, "")
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" in plan and plan.index("Generate inline(zones") < plan.index("round(")  # printed from the top
+    zones = spark.createDataFrame([(k, 0.0, 0.0, 1.0) for k in range(3)], "zone int, zx double, zy double, zr double")
+    assert sorted((r["zone"], r["d"]) for r in spatial.within_zones(points, zones, digits=4).collect()) == [(k, round(0.12345, 4)) for k in range(3)]
+
+
 def test_rounds_over_tiles_equal_rounds_one_by_one(spark, monkeypatch):
     """Seven rounds, so two passes, where crowds lie across borders and corners of tiles; a pass reads and stores the points once."""
     rng = np.random.default_rng(11)
