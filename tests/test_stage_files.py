@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 import pytest
 
 from conftest import SF
-from quillmap.plans import stages
+from quillmap.plans import lookups, stages
 from quillmap.sources import storage
 
 
@@ -17,6 +17,7 @@ def shared(spark, tmp_path, monkeypatch):
     at = lambda _, name: f"{tmp_path}/{name}-{len(os.listdir(tmp_path))}"
     monkeypatch.setattr(storage, "shared_folder", at)
     monkeypatch.setattr(stages, "shared_folder", at)
+    monkeypatch.setattr(lookups, "shared_folder", at)
     return tmp_path
 
 
@@ -48,3 +49,10 @@ def test_the_chain_leaves_the_cut_and_its_places(spark, shared):
     out = stages.dump_chain(spark, SF)
     assert sorted(n.rsplit("-", 1)[0] for n in os.listdir(shared)) == ["articles-cut", "places"]
     assert out.count() > 1
+
+
+def test_the_stream_leaves_only_its_links(spark, shared):
+    out = lookups.link_stream(spark, SF)
+    assert [n.rsplit("-", 1)[0] for n in os.listdir(shared)] == ["links"]
+    assert all(n.endswith(".zstd.parquet") for n in os.listdir(f"{shared}/{os.listdir(shared)[0]}") if n.startswith("part-"))
+    assert out.count() == 1500 - 215
